@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partmill.llm import ngram_join, tables
+from partmill.llm import language_id, ngram_join, tables
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(tables.documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
+def op4_language_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from documents that are not held out."""
+    docs = tables.documents(spark, sf_dir)
+    profiles = language_id.learn_profiles(docs.where(~language_id.held_out()))
+    found = language_id.predict_languages(docs, profiles)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_language_rank_order)}
 
 ORACLE_SQL: dict[str, str] = {}
