@@ -18,7 +18,7 @@ def create(uri: str):
     """A binary stream that writes a new file; its folder is made where the store has folders."""
     store, path = open_store(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(path)
+    return store.open_output_stream(path, compression=None)
 
 
 def open_random(uri: str):
