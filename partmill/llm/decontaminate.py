@@ -78,6 +78,15 @@ def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def _verbatim(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int] | None:
+    """The alignment of the first exact copy of ``item``, which no other beats; None without one."""
+    m = len(item)
+    for at in np.flatnonzero(region[: max(0, len(region) - m + 1)] == item[0]):
+        if np.array_equal(region[at : at + m], item):
+            return MATCH * m, int(at), int(at) + m
+    return None
+
+
 def _matcher(n: int, seeds: np.ndarray, seed_item: np.ndarray, seed_pos: np.ndarray, items: list[np.ndarray], ids: list[int], needed: np.ndarray, threshold: float):
     lengths = np.array([len(w) for w in items], dtype=np.int64)
 
@@ -115,7 +124,7 @@ def _matcher(n: int, seeds: np.ndarray, seed_item: np.ndarray, seed_pos: np.ndar
                     # Diagonals can go on for long in a text that repeats a passage: the region then has as many items' lengths.
                     left = max(0, int(diagonal[a]) - room)
                     region = text_words[left : max(0, int(diagonal[b - 1])) + lengths[it] + room]
-                    score, start, end = align(items[it], region)
+                    score, start, end = _verbatim(items[it], region) or align(items[it], region)
                     if score >= threshold * MATCH * lengths[it]:
                         rows.append((doc_ids[lo + d], ids[it], score / (MATCH * lengths[it]), int(n_seeds[g]), left + start, left + end))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "n_seeds", "word_start", "word_end"])

@@ -97,7 +97,7 @@ def learn_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str =
     return out
 
 
-def _predictor(profiles: dict[str, list[int]], carried: list[str]):
+def _predictor(profiles: dict[str, list[int]]):
     langs = sorted(profiles)
     tables = []
     for lang in langs:
@@ -119,19 +119,21 @@ def _predictor(profiles: dict[str, list[int]], carried: list[str]):
                     near[k] = np.bincount(owner, away, n) / np.maximum(size * len(grams), 1)
                 best = near.argmin(axis=0) if langs else np.zeros(n, dtype=int)
                 known = (size > 0) & bool(langs)
-                out = pdf.iloc[lo:hi][carried].copy()
-                out["lang_pred"] = [langs[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)]
-                out["score"] = np.where(known, 1 - near.min(axis=0, initial=1.0), 0.0)
+                out = pdf.iloc[lo:hi].copy()
+                out["_lang_pred"] = [langs[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)]
+                out["_score"] = np.where(known, 1 - near.min(axis=0, initial=1.0), 0.0)
                 yield out
 
     return predict
 
 
-def predict_languages(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carry`` columns, ``lang_pred`` and ``score`` (0 to 1) of every row; the whole text counts."""
-    given = docs.select(*[F.col(c) for c in carry], F.col(text_col).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "_text")
-    return given.mapInPandas(_predictor(profiles, list(carry)), f"{fields}, lang_pred string, score double")
+def predict_languages(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), keep_text: bool = False) -> DataFrame:
+    """``carry`` columns, ``lang_pred`` and ``score`` (0 to 1) of every row; the whole text counts.  With ``keep_text`` the
+    carried columns hold the text, which then goes through the worker once, not twice."""
+    given = docs.select(*[F.col(c).alias("_text" if keep_text and c == text_col else f"_c{k}") for k, c in enumerate(carry)], *([] if keep_text else [F.col(text_col).alias("_text")]))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema)
+    found = given.mapInPandas(_predictor(profiles), f"{fields}, _lang_pred string, _score double")
+    return found.select(*[F.col("_text" if keep_text and c == text_col else f"_c{k}").alias(c) for k, c in enumerate(carry)], F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
 
 def held_out(id_col: str = "doc_id"):

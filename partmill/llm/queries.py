@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from partmill.llm import language_id, ngram_join, tables
+from partmill.llm import decontaminate, divergence_rules, language_id, mixing, ngram_join, pii_crf, secret_forest, tables, token_store, url_rules, warc
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +15,26 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(tables.documents(spark, sf_dir))
 
 
+def op2_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the base spans, and all spans with those that the field adds."""
+    found = pii_crf.find_personal_data(tables.documents(spark, sf_dir))
+    base = F.filter("pii", lambda s: s["base"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    added = (F.size("pii") - F.size(base)).cast("long")
+    return found.select("doc_id", *[count(k) for k in pii_crf.KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), added.alias("n_added"))
+
+
+#: The rules that the contract of op3 fixes.
+HOST_RULES = tuple(url_rules.Rule(f"||{name}", action) for name, action in (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")))
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url by the fixed host rules and the production patterns."""
+    found = url_rules.judge_urls(tables.pages(spark, sf_dir), HOST_RULES + url_rules.PATTERNS)
+    return found.select("page_id", "host", "path", "rule", "verdict", "pattern")
+
+
 def op4_language_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from documents that are not held out."""
     docs = tables.documents(spark, sf_dir)
@@ -22,6 +43,49 @@ def op4_language_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_language_rank_order)}
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, written to plane shards and read back."""
+    return token_store.read_token_digests(token_store.write_token_shards(tables.documents(spark, sf_dir), tokenizer_path()))
+
+
+def op6_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret of every document with the forest's score; the value itself only as a digest."""
+    found = secret_forest.scan_secrets(tables.documents(spark, sf_dir), secret_forest.train_forest(spark))
+    return found.select("doc_id", "start", "end", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
+
+
+def op7_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to segmented archives, read back and put together."""
+    return warc.describe_records(warc.read_archives(warc.write_archives(tables.pages(spark, sf_dir))))
+
+
+def op8_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the divergence verdict of every document."""
+    return divergence_rules.quality_rules(tables.documents(spark, sf_dir))
+
+
+def op9_benchmark_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best passage of every document and test item that align."""
+    return decontaminate.leaks_per_item(decontaminate.find_leaks(tables.documents(spark, sf_dir), tables.benchmark(spark, sf_dir)))
+
+
+def op10_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell, weight, probability and draw of every document under flattened source, language and topic marginals."""
+    return mixing.mix(tables.documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join, op2_pii_crf, op3_url_rules, op4_language_rank_order, op5_token_planes, op6_secret_forest, op7_warc_segments, op8_divergence_rules,
+        op9_benchmark_alignment, op10_raked_mix,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from partmill.sources.storage import read_table
 
-#: Rows of one Arrow batch: texts can be long, and a worker holds one batch of them.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch: texts can be long, and a worker holds one batch of them.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """Session settings that bound what a Python worker holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,3 +24,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return read_table(spark, sf_dir, "pages")
+
+
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return read_table(spark, sf_dir, "benchmark")
