@@ -177,5 +177,5 @@ def leaks_per_item(found: DataFrame) -> DataFrame:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without a passage of the benchmark (rows with a null id are matched by their text alone: they
     have no id to be dropped by, and stay)."""
-    leaked = materialize(find_leaks(docs, benchmark, id_col, text_col).select("doc_id").distinct(), "leaks")
-    return docs.join(leaked, F.col(id_col) == leaked["doc_id"], "left_anti")
+    leaked = materialize(find_leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_leaked")).distinct(), "leaks")
+    return docs.join(leaked, F.col(id_col) == F.col("_leaked"), "left_anti")

@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from partmill.sources.storage import materialize
 
 MARGINALS = ("source", "lang", "topic")
-FLATTEN, BUDGET, ROUNDS, TOLERANCE = 0.7, 0.75, 30, 1e-6
+FLATTEN, BUDGET, ROUNDS, TOLERANCE = 0.7, 0.75, 30, 1e-5
 #: Candidate scales tried in one pass over the cells, and passes.
-_SCALES, _PASSES = 32, 6
+_SCALES, _PASSES = 64, 4
 
 
 def topic_of(text: Column) -> Column:
@@ -64,32 +64,29 @@ def flattened_targets(cells: DataFrame, flatten: float = FLATTEN) -> dict[str, D
     return out
 
 
-def _rescaled(target: DataFrame, present: DataFrame) -> DataFrame:
-    """The targets of values that occur, summing to 1."""
-    there = target.join(present, "value", "left_semi").where("share > 0")
-    total = there.agg(F.sum("share").alias("total"))
-    return there.join(F.broadcast(total)).select("value", (F.col("share") / F.col("total")).alias("share"))  # one row
-
-
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with ``raked``: tokens after fitting, with the sum they had before."""
+    """``cells`` (source, lang, topic, tokens) with ``raked``: tokens after fitting, with the sum they had before.
+
+    A round is one job over the cells, which are written after it, and one that finds the largest change of a cell."""
     total = cells.agg(F.sum("tokens").cast("double")).first()[0]
     if not total:
         return cells.withColumn("raked", F.lit(0.0))
     wanted = {}
     for m in MARGINALS:
-        wanted[m] = materialize(_rescaled(targets[m], cells.select(F.col(m).alias("value")).distinct()).withColumn("want", F.col("share") * total).select(F.col("value").alias(m), "want"), f"mix-want-{m}")
+        there = targets[m].where("share > 0").join(cells.select(F.col(m).alias("value")).distinct(), "value", "left_semi")
+        shares = there.agg(F.sum("share")).first()[0] or 1.0
+        wanted[m] = materialize(there.select(F.col("value").alias(m), (F.col("share") / shares * total).alias("want")), f"mix-want-{m}")
     now = cells.withColumn("raked", F.col("tokens").cast("double"))
     for _ in range(rounds):
-        worst = []
+        new = now.withColumn("before", F.col("raked"))
         for m in MARGINALS:
-            have = now.groupBy(m).agg(F.sum("raked").alias("have"))
+            have = new.groupBy(m).agg(F.sum("raked").alias("have"))
             factor = have.join(wanted[m], m, "left").select(m, F.when(F.col("have") > 0, F.coalesce("want", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias("factor"))
-            factor = materialize(factor, f"mix-factor-{m}")
-            worst.append(factor.where("factor > 0").agg(F.max(F.abs(F.col("factor") - 1))).first()[0] or 0.0)
-            now = now.join(factor, m).withColumn("raked", F.col("raked") * F.col("factor")).drop("factor")
-        now = materialize(now.select(*cells.columns, "raked"), "mix-cells")
-        if max(worst) < tolerance:
+            new = new.join(factor, m).withColumn("raked", F.col("raked") * F.col("factor")).drop("factor")
+        new = materialize(new.select(*cells.columns, "before", "raked"), "mix-cells")
+        change = new.where("before > 0").agg(F.max(F.abs(F.col("raked") / F.col("before") - 1))).first()[0] or 0.0
+        now = new.drop("before")
+        if change < tolerance:
             break
     return now
 
