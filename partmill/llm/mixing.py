@@ -101,8 +101,9 @@ def common_scale(raked: DataFrame, budget: float = BUDGET) -> float:
     low, high = 0.0, 1.0 / ends[0]
     for _ in range(_PASSES):
         tried = [low + (high - low) * k / _SCALES for k in range(1, _SCALES + 1)]
-        drawn = raked.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), weight * s)) for s in tried]).first()
-        k = next((i for i, d in enumerate(drawn) if d >= budget * ends[2]), None)
+        each = raked.select("tokens", weight.alias("weight"), F.posexplode(F.array(*map(F.lit, tried))).alias("k", "scale"))
+        drawn = each.groupBy("k").agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * F.col("scale"))).alias("n"))
+        k = drawn.where(F.col("n") >= budget * ends[2]).agg(F.min("k")).first()[0]
         if k is None:
             return high
         low, high = (tried[k - 1] if k else low), tried[k]
