@@ -162,6 +162,8 @@ def _finder(carried: list[str]):
                     value, before, after = text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
                     rows.append((start, end, value, features_of(value, before, after, path if isinstance(path, str) else None)))
                     at.append(i)
+            if not rows:
+                continue
             out = pdf.iloc[at][carried].reset_index(drop=True)
             yield pd.concat([out, pd.DataFrame(rows, columns=["start", "end", "candidate", "f"])], axis=1)
 
