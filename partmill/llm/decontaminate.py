@@ -127,7 +127,8 @@ def _matcher(n: int, seeds: np.ndarray, seed_item: np.ndarray, seed_pos: np.ndar
                     score, start, end = _verbatim(items[it], region) or align(items[it], region)
                     if score >= threshold * MATCH * lengths[it]:
                         rows.append((doc_ids[lo + d], ids[it], score / (MATCH * lengths[it]), int(n_seeds[g]), left + start, left + end))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "n_seeds", "word_start", "word_end"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "n_seeds", "word_start", "word_end"])
 
     return match
 

@@ -94,7 +94,8 @@ def _count_tokens(wanted: frozenset[str]):
             for text in pdf["_text"]:
                 for token in wanted.intersection(_TOKEN.findall(text)):
                     total[token] = total.get(token, 0) + 1
-        yield pd.DataFrame({"token": list(total), "n": list(total.values())})
+        if total:
+            yield pd.DataFrame({"token": list(total), "n": list(total.values())})
 
     return count
 
@@ -131,8 +132,6 @@ def _judge(index: dict[str, list[Rule]], loose: list[Rule], carried: list[str]):
 
         known = frozenset(index)
         for pdf in batches:
-            if pdf.empty:  # text columns of an empty batch have no chunk, which can't be returned
-                continue
             patterns, actions = [], []
             for text, pattern, action in zip(pdf["_text"], pdf["_pattern"], pdf["_action"], strict=True):
                 best = Rule(pattern, action) if isinstance(pattern, str) else None

@@ -201,7 +201,8 @@ def _reader(segments: bool):
                     if size > _READ_BYTES * 4 or len(rows) >= 2000:
                         yield frame(rows)
                         rows, size = [], 0
-                yield frame(rows)
+                if rows:
+                    yield frame(rows)
 
     return read
 
@@ -232,6 +233,8 @@ def _decoder(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 except ValueError as e:
                     problem = str(e)
             rows += [(rec, page_id, url, kind, refers, digest, payload, problem)] * times
+        if not rows:
+            continue
         out = pd.DataFrame(rows, columns=["record_id", "page_id", "url", "type", "refers_record", "digest", "payload", "problem"])
         yield out.assign(page_id=out["page_id"].astype("Int64"))
 
