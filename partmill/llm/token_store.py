@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -45,12 +46,13 @@ MAGIC = b"PMPLANE1"
 #: Ids of a block, and ids after which a task begins another shard.
 BLOCK_IDS, SHARD_IDS = 1 << 16, 1 << 24
 #: Words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 #: Of a lower-cased byte: letter 1, digit 2, symbol other than an apostrophe 3, anything else 0.
 _KIND = np.zeros(256, dtype=np.uint8)
 for _a, _b, _k in ((33, 38, 3), (40, 47, 3), (48, 57, 2), (58, 64, 3), (91, 96, 3), (97, 122, 1), (123, 126, 3)):
     _KIND[_a : _b + 1] = _k
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
 #: How a tokenizer must split for its words to be encoded one by one.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -73,11 +75,14 @@ class WordEncoder:
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.remembered, self.by_word = remembered, splits_words(path)
+        # For a word of lower-case letters, normalising and splitting change nothing.
+        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.model._resize_cache(0)
         self._forget()
 
     def _forget(self) -> None:
@@ -95,7 +100,13 @@ class WordEncoder:
         self.number = {words[k]: i for i, k in enumerate(keep)}
 
     def _learn(self, words: list[bytes]) -> None:
-        found = [e.ids for lo in range(0, len(words), 4096) for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[lo : lo + 4096]], add_special_tokens=False)]
+        texts = [w.decode() for w in words]
+        plain = [bool(_PLAIN.fullmatch(t)) for t in texts]
+        order = sorted(range(len(words)), key=plain.__getitem__)
+        words, texts, split = [words[k] for k in order], [texts[k] for k in order], len(plain) - sum(plain)
+        found = []
+        for tokenizer, part in ((self.tokenizer, texts[:split]), (self.plain, texts[split:])):
+            found += [e.ids for lo in range(0, len(part), 4096) for e in tokenizer.encode_batch_fast(part[lo : lo + 4096], add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
