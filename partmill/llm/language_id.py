@@ -83,11 +83,11 @@ def learn_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str =
     """Language -> its n-gram codes by rank, from at most about ``per_lang`` documents a language (chosen by a hash of
     their text).  Rows with a null language or text are skipped.  Only the profiles come to the driver."""
     known = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = known.groupBy("lang").count()
-    # One share for all languages would starve the rare ones; the sizes have one row for each language.
-    share = sizes.select("lang", F.least(F.lit(1.0), per_lang / F.col("count")).alias("share"))
+    # One share for all languages would starve the rare ones; a row for each language with more than ``per_lang`` documents.
+    large = {r["lang"]: per_lang / r["count"] for r in known.groupBy("lang").count().where(F.col("count") > per_lang).collect()}
+    share = F.try_element_at(F.create_map(*[F.lit(x) for pair in large.items() for x in pair]), F.col("lang")) if large else F.lit(None).cast("double")
     u = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / (1 << 20)
-    chosen = known.join(share, "lang").where(u < F.col("share")).select("lang", "text")
+    chosen = known.where(u < F.coalesce(share, F.lit(1.0))).select("lang", "text")
     counts = chosen.mapInPandas(_count_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= profile)
