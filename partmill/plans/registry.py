@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partmill.plans import availability
+from partmill.plans import availability, dashboard, ledger
 
-_MODULES = (availability,)
+_MODULES = (availability, dashboard, ledger)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
