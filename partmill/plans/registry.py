@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partmill.plans import availability, dashboard, ledger
+from partmill.plans import availability, catalog, dashboard, ledger, orders
 
-_MODULES = (availability, dashboard, ledger)
+_MODULES = (availability, dashboard, catalog, orders, ledger)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
