@@ -15,7 +15,7 @@ from partmill.sources.storage import read_table as t
 
 PAGE = 50
 #: The search that the queries run, and the filters of the facets.
-WORDS, CODE = ("PART", "12"), "Brand#2-17"
+WORDS, CODE = ("RING", "BRAND#1"), "Brand#11-12"
 CHOSEN = {"brand": ("Brand#1", "Brand#2", "Brand#3"), "grupo": ("ECONOMY", "STANDARD")}
 
 _BAND = "CASE WHEN units IS NULL THEN 'unknown' WHEN units = 0 THEN 'sold_out' WHEN units <= 5 THEN 'low' WHEN units <= 20 THEN 'medium' ELSE 'high' END"
@@ -73,7 +73,7 @@ def search_ranked(spark, sf):
 
 
 def regex_whole_word(spark, sf):
-    return search_documents(spark, sf).where(F.col("text").rlike("(^|[^A-Z0-9])BRASS([^A-Z0-9]|$)")).select("part_id", "text")
+    return search_documents(spark, sf).where(F.col("text").rlike("(^|[^A-Z0-9])RING([^A-Z0-9]|$)")).select("part_id", "text")
 
 
 def code_compact_equal(spark, sf):
@@ -175,7 +175,7 @@ QUERIES = {
     "search_words_all": (search_words_all, _twin("part_id, name", " AND ".join(f"contains(text, '{w}')" for w in WORDS))),
     "search_code_exact": (search_code_exact, _twin("part_id, code", f"clave = {_KEY}")),
     "search_ranked": (search_ranked, _twin(f"part_id, code, CAST(CASE WHEN clave = {_KEY} THEN 0 WHEN starts_with(clave, {_KEY}) THEN 1 ELSE 2 END AS BIGINT) AS rank", f"starts_with(clave, {_KEY}) OR contains(text, '12')", f"ORDER BY rank, code, part_id LIMIT {PAGE}")),
-    "regex_whole_word": (regex_whole_word, _twin("part_id, text", "regexp_matches(text, '(^|[^A-Z0-9])BRASS([^A-Z0-9]|$)')")),
+    "regex_whole_word": (regex_whole_word, _twin("part_id, text", "regexp_matches(text, '(^|[^A-Z0-9])RING([^A-Z0-9]|$)')")),
     "code_compact_equal": (code_compact_equal, _twin("part_id, code", f"{sql_compact('code')} = {sql_compact(repr(CODE))}")),
     "grid_search": (grid_search, _twin("part_id", " OR ".join(f"contains(upper({c}), upper('rand#1'))" for c in ("code", "name", "brand")))),
     "stock_bands": (stock_bands, _twin("band, COUNT(*) AS parts, CAST(SUM(units) AS BIGINT) AS units", "", "GROUP BY 1")),

@@ -151,7 +151,7 @@ def set_union_ids(spark, sf):
 
 
 def set_except_stale(spark, sf):
-    return t(spark, sf, "part").select(F.col("p_partkey").alias("id")).exceptAll(t(spark, sf, "lineitem").where("l_returnflag = 'A'").select("l_partkey").distinct())
+    return t(spark, sf, "part").select(F.col("p_partkey").alias("id")).exceptAll(t(spark, sf, "lineitem").where("l_quantity > 49 AND l_returnflag = 'A'").select("l_partkey").distinct())
 
 
 def set_intersect_keys(spark, sf):
@@ -192,6 +192,6 @@ QUERIES = {
           WHEN s.p_brand IS NOT DISTINCT FROM c.p_brand AND s.p_size IS NOT DISTINCT FROM c.p_size THEN 'same' ELSE 'changed' END AS change FROM s FULL JOIN c ON s.p_partkey = c.p_partkey"""),
     "col_to_col": (col_to_col, "SELECT o_orderstatus, COUNT(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate GROUP BY 1"),
     "set_union_ids": (set_union_ids, "SELECT l_partkey AS id FROM lineitem WHERE l_quantity = 50 UNION SELECT user_id FROM events WHERE value > 99"),
-    "set_except_stale": (set_except_stale, "SELECT p_partkey AS id FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'"),
+    "set_except_stale": (set_except_stale, "SELECT p_partkey AS id FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'A'"),
     "set_intersect_keys": (set_intersect_keys, "SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0"),
 }
