@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import decimal
+import os
 from collections import Counter
 
 import duckdb
@@ -11,7 +12,7 @@ import pytest
 
 from partmill.plans import registry
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
