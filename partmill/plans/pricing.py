@@ -14,7 +14,6 @@ RULES = (
     (4, "brand", "Brand#2", "net_price", "800.00", 5, "1998-01-01", "1999-12-31"), (5, "item", "12", "net_price", "700.05", 1, None, None), (6, "all", None, "discount", "5.00", 40, None, None),
     (7, "item", "24", "discount", "33.33", 10, "2000-01-01", None), (8, "brand", "Brand#3", "discount", "7.50", 1, None, "1997-06-30"), (9, "all", None, "discount", "3.00", 10, None, None),
 )
-RANK = {"item": 3, "brand": 2, "all": 1}
 TODAY = "1998-06-15"
 _CENTS = "decimal(12,2)"
 
@@ -118,7 +117,6 @@ def priced_missing(spark, sf):
     return per.select("list", "priced", F.greatest(F.lit(total) - F.col("priced"), F.lit(0)).cast("long").alias("missing"))
 
 
-_PRICE = "CASE WHEN kind = 'net_price' THEN amount ELSE CAST(round(list_price * (100 - amount) / 100 + 0.0000001, 2) AS DECIMAL(12,2)) END"
 _FITS = f"""WITH {_rules_sql()}, i AS (SELECT p_partkey, p_brand, CAST(p_retailprice AS DECIMAL(12,2)) AS list_price FROM part),
 fit AS (SELECT i.*, rule.*, CASE target WHEN 'item' THEN 3 WHEN 'brand' THEN 2 ELSE 1 END AS specific,
   CAST(CASE WHEN kind = 'net_price' THEN amount * 100 ELSE floor((CAST(list_price * 100 AS BIGINT) * CAST((100 - amount) * 100 AS BIGINT) + 5000) // 10000) END AS BIGINT) AS cents
