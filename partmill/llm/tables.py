@@ -22,9 +22,10 @@ def dealt(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str, deal: bool = True) -> DataFrame:
     prepare(spark)
-    return dealt(read_table(spark, sf_dir, "documents"))
+    docs = read_table(spark, sf_dir, "documents")
+    return dealt(docs) if deal else docs
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
