@@ -2,12 +2,12 @@
 
 Plan
 ----
-1.  Every text is read once: hash of its word sequence, word count, one hash per band.  Texts with the same word sequence
+1.  Every text is read once: hash of its word sequence, size of its n-gram set, one hash per band.  Texts with the same word sequence
     are one *node*, named by their smallest id, so that copies cost nothing later.
 2.  Bands are shuffled on their hash.  Each bucket is a star around its smallest node (a ``min`` aggregate and a join, so
     a bucket of any size is spread), and connected components of the stars are the candidate groups.
 3.  Inside a candidate group all pairs are verified on their n-gram sets.  Small groups share tasks; a large group is cut
-    into blocks by length class and hash, and block meets block in a task of bounded size.  No pair leaves a task: it
+    into blocks by size class of the n-gram sets and hash, and block meets block in a task of bounded size.  No pair leaves a task: it
     returns link counts and a spanning star of each connected part.
 4.  Connected components of those stars are the classes.
 
@@ -34,7 +34,7 @@ from partmill.llm.textcore import mix, pieces, shingles, word_hashes
 from partmill.operators.graph import connected_components
 from partmill.sources.storage import materialize
 
-#: Words of the n-gram sets that one verification task holds for one side, and texts (the similarity matrix is square).
+#: N-grams of the sets that one verification task holds for one side, and texts (the similarity matrix is square).
 BLOCK_WORDS, BLOCK_TEXTS = 400_000, 1024
 
 
@@ -59,12 +59,12 @@ def _signer(n: int, bands: int, rows: int):
                         keys[b] = mix(keys[b] ^ least.astype(np.uint64))
                     keys[b] = mix(keys[b] ^ band_salt[b])
                 signed = iter(keys.T.astype(np.int64))
-                count = np.diff(offsets)
+                count = [len(np.unique(grams[a:b])) for a, b in zip(begin[:-1], begin[1:], strict=True)]
                 yield pd.DataFrame(
                     {
                         "doc_id": pdf["doc_id"].iloc[lo:hi],
                         "text_key": [hashlib.md5(words[offsets[i] : offsets[i + 1]].tobytes()).digest() if h else None for i, h in enumerate(has)],
-                        "n_words": count,
+                        "n_grams": count,
                         "bands": [next(signed) if h else None for h in has],
                     }
                 )
@@ -145,10 +145,10 @@ def ngram_jaccard_join(
     sequence) and ``n_copies`` (documents with this very word sequence, itself included)."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(
-        base.mapInPandas(_signer(n, bands, rows), "doc_id long, text_key binary, n_words long, bands array<long>"), "ngram-signatures"
+        base.mapInPandas(_signer(n, bands, rows), "doc_id long, text_key binary, n_grams long, bands array<long>"), "ngram-signatures"
     )
     nodes = signed.where("text_key is not null").groupBy("text_key").agg(
-        F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")
     )
     nodes = materialize(nodes, "ngram-nodes")
     banded = nodes.where("node is not null").select("node", F.explode("bands").alias("bucket"))
@@ -157,20 +157,20 @@ def ngram_jaccard_join(
     groups = connected_components(stars, "node", "hub", "ngram-candidates")
 
     members = materialize(nodes.drop("bands", "text_key").join(groups, "node"), "ngram-members")
-    sized = members.groupBy("component").agg(F.sum("n_words").alias("words"), F.count("*").alias("texts"))
-    weight = F.greatest(F.ceil(F.col("words") / BLOCK_WORDS), F.ceil(F.col("texts") / BLOCK_TEXTS))
+    sized = members.groupBy("component").agg(F.sum("n_grams").alias("grams"), F.count("*").alias("texts"))
+    weight = F.greatest(F.ceil(F.col("grams") / BLOCK_WORDS), F.ceil(F.col("texts") / BLOCK_TEXTS))
     sized = materialize(sized.withColumn("parts", weight), "ngram-groups")
-    words = sized.where("parts = 1").agg(F.sum("words")).first()[0] or 0
-    shared = max(1, math.ceil(2 * words / BLOCK_WORDS))
+    grams = sized.where("parts = 1").agg(F.sum("grams")).first()[0] or 0
+    shared = max(1, math.ceil(2 * grams / BLOCK_WORDS))
 
     small = members.join(sized.where("parts = 1").select("component"), "component")
     small = small.select("node", "copies", "component", F.array(F.struct(
         F.lit(-1).cast("long").alias("group"), F.pmod(F.xxhash64("component"), F.lit(shared)).alias("left"), F.lit(-1).cast("long").alias("right"),
         F.lit(0).cast("long").alias("side"), F.lit(False).alias("crossing"))).alias("blocks"))
-    # A large group: texts can only be linked to texts of the same or the next class of length (classes are 1/threshold wide).
+    # A large group: texts can only be linked to texts of the same or the next class of set size (classes are 1/threshold wide).
     large = members.join(sized.where("parts > 1").select("component"), "component")
-    large = large.withColumn("band", F.floor(F.log(F.greatest("n_words", F.lit(1))) / math.log(1 / threshold) + 1e-9))
-    bands_of = large.groupBy("component", "band").agg(F.sum("n_words").alias("words"), F.count("*").alias("texts"))
+    large = large.withColumn("band", F.floor(F.log(F.greatest("n_grams", F.lit(1))) / math.log(1 / threshold) + 1e-9))
+    bands_of = large.groupBy("component", "band").agg(F.sum("n_grams").alias("grams"), F.count("*").alias("texts"))
     bands_of = materialize(bands_of.select("component", "band", weight.cast("int").alias("parts")), "ngram-blocks")
     near = lambda by, name: bands_of.select("component", (F.col("band") + by).alias("band"), F.col("parts").alias(name))
     large = large.join(near(0, "parts"), ["component", "band"]).join(near(1, "below"), ["component", "band"], "left").join(near(-1, "above"), ["component", "band"], "left")

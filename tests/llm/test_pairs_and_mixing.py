@@ -89,6 +89,18 @@ def test_op1_families_in_blocks(spark, monkeypatch, block):
     assert got == want
 
 
+def test_op1_repeated_passages_in_blocks(spark, monkeypatch):
+    """A passage said once or several times has nearly the same n-gram set, though many more words."""
+    monkeypatch.setattr(ngram_join, "BLOCK_WORDS", 600)
+    monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", 16)
+    once = family(np.random.default_rng(5), 40, words=100)
+    texts = once + [" ".join([t] * (2 + k % 4)) for k, t in enumerate(once)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_jaccard_join(docs).collect()}
+    assert got == plain_join(rows)
+
+
 def test_one_of_each_class_stays(spark):
     rows = [(3, "a b c d e f"), (1, "A b, c d e f"), (2, "q r s"), (4, None), (5, ""), (None, "z z"), (None, "z z"), (1, "A b, c d e f")]
     docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, component string")
