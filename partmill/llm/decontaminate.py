@@ -1,14 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds join texts to test items, Smith-Waterman alignment scores the passage.
+"""Benchmark decontamination: n-gram seeds join texts to test items, Smith-Waterman alignment scores the passage.
 
-1.  Document frequency of every word n-gram of the benchmark, over all texts.
-2.  The seeds of an item are, in each window of ``window`` consecutive n-grams, the rarest one (ties: the earlier), so every
-    stretch of an item has a seed however often the item itself was copied into the corpus.
-3.  A text's seed hits are grouped by item and by diagonal; each group with hits from at least ``min_seeds`` seeds (fewer for
-    items that have fewer) is aligned: local alignment of the item's words with that region of the text, match +2,
-    mismatch -1, gap -1.  The score is the best alignment's over the perfect score (2 x item words).
+1.  The seeds of an item are all its word n-grams: an edit breaks the n-grams around it and no others, so every run of ``n``
+    unedited words of a copy has a seed, however often the item or its n-grams occur in the corpus.
+2.  A text's seed hits are grouped by item and by diagonal.  Each group with hits from at least ``min_seeds`` seeds (fewer for
+    items of few windows of ``window`` n-grams) whose region has words enough of the item for the threshold is aligned: local
+    alignment of the item's words with that region of the text, match +2, mismatch -1, gap -1.  The score is the best
+    alignment's over the perfect score (2 x item words).
 
 The benchmark is compared in blocks of at most ``BLOCK_ITEMS`` items, each one broadcast: a benchmark of any size is worked
-through, and what a worker holds is bounded.  Texts are never shuffled; only hits and counts are.
+through, and what a worker holds is bounded: ``HITS`` at once, or those of one text.  Texts are never shuffled.
 
 Nulls: rows with a null or wordless text match nothing; items with a null, empty or wordless text are skipped.  Items
 shorter than ``n`` words have one seed: all their words, which must be a whole run of ``n`` or fewer words of a text, so such
@@ -29,27 +29,11 @@ from partmill.sources.storage import materialize
 
 #: Test items compared in one pass over the texts; with their words, what is broadcast to a worker.
 BLOCK_ITEMS = 20_000
+#: Seed hits that a worker holds at once.
+HITS = 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
-def _frequencies(n: int, grams: np.ndarray):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(grams), dtype=np.int64)
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for lo, hi in pieces(texts):
-                found, begin = shingles(*word_hashes(texts[lo:hi]), n)
-                at = np.minimum(np.searchsorted(grams, found), len(grams) - 1)
-                hit = np.flatnonzero(grams[at] == found)
-                owner = np.searchsorted(begin, hit, side="right") - 1
-                once = np.unique(owner.astype(np.int64) * len(grams) + at[hit])
-                total += np.bincount(once % len(grams), minlength=len(grams))
-        some = np.flatnonzero(total)
-        yield pd.DataFrame({"gram": grams[some].astype(np.int64), "df": total[some]})
-
-    return count
-
-
 def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     """(score, first word, end) of the best local alignment of ``item`` in ``region``, by anti-diagonals in numpy.
 
@@ -90,6 +74,38 @@ def _verbatim(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int] | No
 def _matcher(n: int, seeds: np.ndarray, seed_item: np.ndarray, seed_pos: np.ndarray, items: list[np.ndarray], ids: list[int], needed: np.ndarray, threshold: float):
     lengths = np.array([len(w) for w in items], dtype=np.int64)
 
+    def in_lot(words, offsets, begin, hit, first, times_end) -> Iterator[tuple]:
+        times = times_end - first
+        which = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+        hit = np.repeat(hit, times)
+        owner = np.searchsorted(begin, hit, side="right") - 1
+        place = hit - begin[owner]
+        item, diagonal = seed_item[which], place - seed_pos[which]
+        order = np.lexsort((diagonal, item, owner))
+        owner, item, diagonal, which = owner[order], item[order], diagonal[order], which[order]
+        # A group: one text and item, diagonals that go on within half the item's length.
+        slack = np.maximum(lengths[item] // 2, 4)
+        new = (np.diff(owner, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0) | (np.diff(diagonal, prepend=0) > slack)
+        cuts = np.append(np.flatnonzero(new), len(new))
+        group = np.cumsum(new) - 1
+        distinct = np.unique(group * np.int64(len(seeds)) + which) // len(seeds)
+        n_seeds = np.bincount(distinct, minlength=len(cuts) - 1)
+        for g in np.flatnonzero(n_seeds >= needed[item[cuts[:-1]]]):
+            a, b = cuts[g], cuts[g + 1]
+            d, it = owner[a], item[a]
+            text_words = words[offsets[d] : offsets[d + 1]]
+            room = lengths[it] // 2 + 4
+            # Diagonals can go on for long in a text that repeats a passage: the region then has as many items' lengths.
+            left = max(0, int(diagonal[a]) - room)
+            region = text_words[left : max(0, int(diagonal[b - 1])) + lengths[it] + room]
+            least = threshold * MATCH * lengths[it]
+            # No alignment scores more than a match of every word that the region has.
+            if MATCH * np.isin(items[it], region).sum() < least:
+                continue
+            score, start, end = _verbatim(items[it], region) or align(items[it], region)
+            if score >= least:
+                yield d, ids[it], score / (MATCH * lengths[it]), int(n_seeds[g]), left + start, left + end
+
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts, doc_ids = pdf["text"].tolist(), pdf["doc_id"].tolist()
@@ -98,35 +114,17 @@ def _matcher(n: int, seeds: np.ndarray, seed_item: np.ndarray, seed_pos: np.ndar
                 words, offsets = word_hashes(texts[lo:hi])
                 found, begin = shingles(words, offsets, n)
                 first, last = np.searchsorted(seeds, found, "left"), np.searchsorted(seeds, found, "right")
-                hit = np.flatnonzero(last > first)
-                if not len(hit):
+                every = np.flatnonzero(last > first)
+                if not len(every):
                     continue
-                times = (last - first)[hit]
-                which = np.repeat(first[hit] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-                hit = np.repeat(hit, times)
-                owner = np.searchsorted(begin, hit, side="right") - 1
-                place = hit - begin[owner]
-                item, diagonal = seed_item[which], place - seed_pos[which]
-                order = np.lexsort((diagonal, item, owner))
-                owner, item, diagonal, which = owner[order], item[order], diagonal[order], which[order]
-                # A group: one text and item, diagonals that go on within half the item's length.
-                slack = np.maximum(lengths[item] // 2, 4)
-                new = (np.diff(owner, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0) | (np.diff(diagonal, prepend=0) > slack)
-                cuts = np.append(np.flatnonzero(new), len(new))
-                group = np.cumsum(new) - 1
-                distinct = np.unique(group * np.int64(len(seeds)) + which) // len(seeds)
-                n_seeds = np.bincount(distinct, minlength=len(cuts) - 1)
-                for g in np.flatnonzero(n_seeds >= needed[item[cuts[:-1]]]):
-                    a, b = cuts[g], cuts[g + 1]
-                    d, it = owner[a], item[a]
-                    text_words = words[offsets[d] : offsets[d + 1]]
-                    room = lengths[it] // 2 + 4
-                    # Diagonals can go on for long in a text that repeats a passage: the region then has as many items' lengths.
-                    left = max(0, int(diagonal[a]) - room)
-                    region = text_words[left : max(0, int(diagonal[b - 1])) + lengths[it] + room]
-                    score, start, end = _verbatim(items[it], region) or align(items[it], region)
-                    if score >= threshold * MATCH * lengths[it]:
-                        rows.append((doc_ids[lo + d], ids[it], score / (MATCH * lengths[it]), int(n_seeds[g]), left + start, left + end))
+                every_owner = np.searchsorted(begin, every, side="right") - 1
+                # Whole texts whose hits are held at once.
+                lots = np.cumsum((last - first)[every]) // HITS
+                ends = np.flatnonzero(np.diff(every_owner, append=-1)) + 1
+                ends = ends[np.diff(lots[ends - 1], append=-1) != 0]
+                for a, b in zip(np.append(0, ends[:-1]), ends, strict=True):
+                    hit = every[a:b]
+                    rows += [(doc_ids[lo + d], *found_row) for d, *found_row in in_lot(words, offsets, begin, hit, first[hit], last[hit])]
             if rows:
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "n_seeds", "word_start", "word_end"])
 
@@ -148,21 +146,13 @@ def find_leaks(
         rows = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).orderBy("item_id", "text").collect()
         words, offsets = word_hashes([r["text"] for r in rows])
         grams, begin = shingles(words, offsets, n)
-        known = np.unique(grams)
-        if not len(known):
+        if not len(grams):
             continue
-        df = np.zeros(len(known), dtype=np.int64)
-        for r in given.select("text").mapInPandas(_frequencies(n, known), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect():
-            df[np.searchsorted(known, np.uint64(r["gram"] & (1 << 64) - 1))] = r["df"]
-        rarity = df[np.searchsorted(known, grams)]
-        chosen = []
-        for k in range(len(rows)):
-            own = rarity[begin[k] : begin[k + 1]]
-            starts = range(max(1, len(own) - window + 1)) if len(own) else ()
-            chosen += [(int(grams[begin[k] + p]), k, p) for p in sorted({s + int(own[s : s + window].argmin()) for s in starts})]
-        chosen.sort()
-        seeds, seed_item, seed_pos = (np.array(x, dtype=t) for x, t in zip(zip(*chosen, strict=True), (np.uint64, np.int64, np.int64), strict=True))
-        needed = np.minimum(min_seeds, np.maximum(np.bincount(seed_item, minlength=len(rows)), 1))
+        seed_item = np.repeat(np.arange(len(rows)), np.diff(begin))
+        seed_pos = np.arange(len(grams)) - begin[seed_item]
+        order = np.argsort(grams, kind="stable")
+        seeds, seed_item, seed_pos = grams[order], seed_item[order], seed_pos[order]
+        needed = np.clip(np.diff(begin) // window, 1, min_seeds)
         items = [words[offsets[k] : offsets[k + 1]] for k in range(len(rows))]
         match = _matcher(n, seeds, seed_item, seed_pos, items, [r["item_id"] for r in rows], needed, threshold)
         out = out.unionByName(given.mapInPandas(match, schema))

@@ -156,6 +156,29 @@ def test_edited_copies_are_found(spark):
     assert decontaminate.find_leaks(frame.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("verbatim", [0, 5])
+def test_copies_edited_at_every_few_words_are_found(spark, monkeypatch, verbatim):
+    """Whatever else is in the corpus, and however few hits are held at once."""
+    monkeypatch.setattr(decontaminate, "HITS", 7, raising=False)
+    rng = np.random.default_rng(10)
+    word = lambda: "".join(rng.choice(list("abcdefghijklm"), 6))
+    fill = lambda n: " ".join(word() for _ in range(n))
+    items = [(k, fill(40)) for k in range(12)] + [(50 + k, fill(5)) for k in range(3)]
+    docs, want = [], set()
+    for item, text in items:
+        for every in (4, 5, 6) if item < 50 else (5,):
+            own = [word() if k % every == every - 2 else w for k, w in enumerate(text.split())]
+            docs.append((len(docs), f"{fill(20)} {' '.join(own)} {fill(20)}"))
+            want.add((len(docs) - 1, item))
+        for _ in range(verbatim):
+            docs.append((len(docs), f"{fill(9)} {text} {fill(9)}"))
+            want.add((len(docs) - 1, item))
+    docs += [(len(docs) + k, fill(60)) for k in range(20)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.leaks_per_item(decontaminate.find_leaks(frame, bench)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want
+
+
 def test_op9_finds_every_verbatim_item(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks_per_item(decontaminate.find_leaks(docs, bench)).collect()}
