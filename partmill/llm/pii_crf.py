@@ -14,7 +14,8 @@ conditional likelihood, with the forward-backward recursions in numpy.
 
 Decoding is exact Viterbi in numpy over batches of windows.  A window is made of tokens within ``REACH`` of a token that has
 a cue (digit, ``@``, a word for "dot"): no spelling of these kinds goes without one, so nothing else is decoded.
-A window longer than ``MAX_WINDOW`` tokens is cut where it has the longest run without cues, so memory is bounded.
+A window of any length is decoded whole: scores are made for ``CELLS`` tokens at a time, only back pointers (a byte a label)
+are kept for all.
 
 An added span is dropped where it overlaps a base span or a stretch that a base pattern found and rejected.
 
@@ -35,7 +36,9 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{bi}-{k}" for k in KINDS for bi in "BI"))
-REACH, MAX_WINDOW = 8, 4096
+REACH = 8
+#: Tokens, over all rows, that are scored at once.
+CELLS = 1 << 17
 
 # ---- fixed patterns ------------------------------------------------------------------------------------------------
 
@@ -98,7 +101,7 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, i
 # ---- word shapes ---------------------------------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\W\d_]+|[^\s]")
-#: Cue words; each class is one shape.  Those in ``_CUES`` open a window.
+#: Cue words; each class is one shape.  What opens a window is in ``_CUE_TEXT``.
 CUE_WORDS = {
     "w_phone": ("phone", "tel", "telephone", "telefon", "telefono", "mobile", "cell", "fax", "whatsapp"),
     "w_mail": ("mail", "email", "correo", "courriel"),
@@ -113,7 +116,6 @@ _CLASS = {w: c for c, ws in CUE_WORDS.items() for w in ws}
 _PUNCTUATION = "@.-+()[]:/,_%"
 SHAPES = ("none", "x", "X", "Xx", "letters", "d1", "d2", "d3", "d4", "d5", "d6", "d7+", "d12+", "other", *CUE_WORDS, *_PUNCTUATION)
 _SHAPE = {s: i for i, s in enumerate(SHAPES)}
-_CUES = np.array([s in ("@", "w_dot") or s[0] == "d" and s[1:2].isdigit() for s in SHAPES])
 S, L = len(SHAPES), len(LABELS)
 
 
@@ -167,15 +169,21 @@ _NEVER = -1e9
 
 def viterbi(field: Field, shape: np.ndarray, gap: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Best label of every token of every padded row."""
-    emit = field.emissions(shape, gap)
     rows, n = shape.shape
+    some = max(1, CELLS // rows)
+    padded = np.pad(shape, ((0, 0), (3, 3)))
     step = np.where(_ALLOWED, field.step, _NEVER)
-    score = emit[:, 0] + np.where(_START, 0, _NEVER)
     back = np.zeros((n, rows, L), dtype=np.int8)
-    for t in range(1, n):
+    for t in range(n):
+        if t % some == 0:
+            # Three neighbours on both sides belong to the scores of a part.
+            emit = field.emissions(padded[:, t : t + some + 6], np.pad(gap[:, t : t + some], ((0, 0), (3, 3))))[:, 3:-3]
+        if t == 0:
+            score = emit[:, 0] + np.where(_START, 0, _NEVER)
+            continue
         through = score[:, :, None] + step[None]
         back[t] = through.argmax(axis=1)
-        new = through.max(axis=1) + emit[:, t]
+        new = through.max(axis=1) + emit[:, t % some]
         score = np.where((t < length)[:, None], new, score)
     out = np.zeros((rows, n), dtype=np.int8)
     best = score.argmax(axis=1)
@@ -337,14 +345,8 @@ def _windows(text: str) -> list[tuple]:
         done = hi
     for lo, hi in stretches:
         start, end, shape, gap = tokens_of(text, lo, hi)
-        cue = np.flatnonzero(_CUES[shape])
-        while len(start):
-            n = len(start)
-            if n > MAX_WINDOW:
-                near = cue[(cue > 0) & (cue < MAX_WINDOW)]
-                n = MAX_WINDOW if len(near) < 2 else int(near[np.diff(near).argmax()] + max(1, np.diff(near).max() // 2))
-            out.append((start[:n], end[:n], shape[:n], gap[:n]))
-            start, end, shape, gap, cue = start[n:], end[n:], shape[n:], gap[n:], cue[cue >= n] - n
+        if len(start):
+            out.append((start, end, shape, gap))
     return out
 
 
@@ -375,7 +377,9 @@ def added_spans(field: Field, texts: list[str], lots: int = 512) -> list[list[tu
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     lo = 0
     while lo < len(windows):
-        hi = min(len(windows), lo + max(1, min(lots, (lots << 8) // max(1, len(windows[lo][1][0])))))
+        hi = lo + 1
+        while hi < min(len(windows), lo + lots) and (hi + 1 - lo) * len(windows[hi][1][0]) <= CELLS:
+            hi += 1
         lot = windows[lo:hi]
         lo = hi
         width = len(lot[-1][1][0])

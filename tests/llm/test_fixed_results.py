@@ -87,6 +87,23 @@ def test_field_finds_other_spellings_and_masks(spark):
     assert pii_crf.find_personal_data(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("number", ["(212) 555-1234\n", "212-555-1234, "])
+def test_long_lists_are_found_whole(number):
+    """2000 numbers are one stretch without gaps; every one lies in a span, as in a short list."""
+    for k, spans in zip((20, 2000), pii_crf.find_spans(pii_crf.default_field(), [number * 20, number * 2000]), strict=True):
+        places = [(i * len(number), i * len(number) + len(number.rstrip(", \n"))) for i in range(k)]
+        assert sum(any(s <= lo and hi <= e and kind == "phone" for s, e, kind, _ in spans) for lo, hi in places) == k
+
+
+def test_viterbi_in_parts_is_the_same(monkeypatch):
+    rng = np.random.default_rng(4)
+    field = pii_crf.default_field()
+    shape, gap, length = rng.integers(0, pii_crf.S, (5, 103)), rng.integers(0, 2, (5, 103)), np.array([103, 90, 41, 40, 1])
+    whole = pii_crf.viterbi(field, shape, gap, length)
+    monkeypatch.setattr(pii_crf, "CELLS", 37, raising=False)
+    assert (pii_crf.viterbi(field, shape, gap, length) == whole).all()
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(2)
     shape = rng.integers(0, pii_crf.S, (3, 4))
