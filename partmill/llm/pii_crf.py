@@ -12,8 +12,9 @@ neighbouring shapes and for the flag, plus a transition weight from the label be
 Weights are fitted on the driver to a small labelled table (``labelled_texts``) by full-batch Adam on the regularised
 conditional likelihood, with the forward-backward recursions in numpy.
 
-Decoding is exact Viterbi in numpy over batches of windows.  A window is made of tokens within ``REACH`` of a token that has
-a cue (digit, ``@``, a word for "dot"): no spelling of these kinds goes without one, so nothing else is decoded.
+Decoding is exact Viterbi in numpy over batches of windows.  A window is made of tokens within ``REACH`` words of a cue:
+digits, ``@``, a word for "dot", a bracketed word for "at", or a dot and one of the known ends of host names
+(``_CUE_TEXT``).  Every spelling of the labelled texts has one; spellings without any are not looked for.
 A window of any length is decoded whole: scores are made for ``CELLS`` tokens at a time, only back pointers (a byte a label)
 are kept for all.
 
@@ -338,7 +339,8 @@ def _windows(text: str) -> list[tuple]:
         lo = max(_back(text, cues[k], done), done)
         hi = _ahead(text, cues[k])
         k += 1
-        while k < len(cues) and cues[k] < hi:
+        # A stretch that begins where this one ends belongs to it, or what lies there would be cut.
+        while k < len(cues) and _back(text, cues[k], hi) <= hi:
             hi = max(hi, _ahead(text, cues[k]))
             k += 1
         stretches.append([lo, hi])
@@ -350,7 +352,12 @@ def _windows(text: str) -> list[tuple]:
     return out
 
 
-_CUE_TEXT = re.compile(r"[0-9]+|@|(?<![A-Za-z])(?:[Dd]ot|[Pp]unkt|[Pp]unto|[Pp]oint|DOT)(?![A-Za-z])")
+_ONE_OF = {c: "|".join(ws) for c, ws in CUE_WORDS.items()}
+_DOT_REST = "|".join(f"(?<=(?i:{w[0]}))(?i:{w[1:]})" for w in CUE_WORDS["w_dot"])
+#: Begins with one class of characters, by which the search skips.
+_CUE_TEXT = re.compile(
+    rf"[0-9@dDpP(\[.](?:(?<=[0-9])[0-9]*|(?<=@)|(?<![A-Za-z][A-Za-z])(?:{_DOT_REST})(?![A-Za-z])|(?<=[(\[])\s*(?i:{_ONE_OF['w_at']})\s*[)\]]|(?<=\.)\s*(?i:{_ONE_OF['w_tld']})(?![A-Za-z]))"
+)
 _WORDS_AHEAD = re.compile(rf"\S*(?:\s+\S+){{0,{REACH}}}")
 
 

@@ -95,6 +95,19 @@ def test_long_lists_are_found_whole(number):
         assert sum(any(s <= lo and hi <= e and kind == "phone" for s, e, kind, _ in spans) for lo, hi in places) == k
 
 
+def test_every_labelled_span_lies_in_a_window():
+    for text, spans in pii_crf.labelled_texts(3000, seed=5):
+        windows = pii_crf._windows(text)
+        assert all(any(w[0][0] <= s and e <= w[1][-1] for w in windows) for s, e, _ in spans), text
+        for part in (text[s:e] for s, e, _ in spans):
+            windows = pii_crf._windows(f"write to us or {part} for more")
+            assert any(w[0][0] <= 15 and 15 + len(part) <= w[1][-1] for w in windows), part
+    texts = ["write to ann(at)shop.com", "write to ann [AT] shop.org now", "write to ann (arroba) shop.net", "or write to ann at shop dOT com today"]
+    assert [[(t[s:e], k) for s, e, k in found] for t, found in zip(texts, pii_crf.added_spans(pii_crf.default_field(), texts), strict=True)] == [
+        [("ann(at)shop.com", "email")], [("ann [AT] shop.org", "email")], [("ann (arroba) shop.net", "email")], [("ann at shop dOT com", "email")],
+    ]
+
+
 def test_viterbi_in_parts_is_the_same(monkeypatch):
     rng = np.random.default_rng(4)
     field = pii_crf.default_field()
