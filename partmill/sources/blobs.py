@@ -8,10 +8,17 @@ from pyarrow import fs
 
 
 def open_store(uri: str) -> tuple[fs.FileSystem, str]:
-    """The store of ``uri`` and the path in it; plain paths and ``file:`` URIs are local, others go by their scheme."""
-    if uri.startswith("file:") or "://" not in uri:
+    """The store of ``uri`` and the path in it, by its scheme.
+
+    A path without a scheme is refused: Spark would resolve it against its default store, this process against its own disk
+    (``storage.shared_path`` gives whole URIs).  So is a scheme that pyarrow has no store for."""
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", uri)
+    if not scheme:
+        raise ValueError(f"{uri} names no store")
+    if scheme[1] == "file":
         return fs.LocalFileSystem(), re.sub(r"^file:/*", "/", uri)
-    return fs.FileSystem.from_uri(uri)
+    # Spark's names of a store that pyarrow knows by another.
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
 
 
 def create(uri: str):

@@ -6,19 +6,30 @@ Parquet there and reading it back, never by keeping blocks on executors.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its store's scheme, as Spark itself would resolve it (a plain path belongs to the default store)."""
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return named.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(named).toString()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; only where a session names none (tests, local mode) one is made and set."""
+    """The shared folder, with its scheme; only where a local session names none (tests) one is made and set.
+
+    On a cluster a folder of the driver's own would be another one on each machine, so there the setting must be there."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-partmill-")
         spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    return qualified(spark, named).rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
