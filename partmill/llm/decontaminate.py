@@ -7,28 +7,34 @@
     alignment of the item's words with that region of the text, match +2, mismatch -1, gap -1.  The score is the best
     alignment's over the perfect score (2 x item words).
 
-The benchmark is compared in blocks of at most ``BLOCK_ITEMS`` items, each one broadcast: a benchmark of any size is worked
-through, and what a worker holds is bounded: ``HITS`` at once, or those of one text.  Texts are never shuffled.
+Items of fewer than ``n`` words have no such seed: they are found wherever all their words stand in a row, with score 1.
 
-Nulls: rows with a null or wordless text match nothing; items with a null, empty or wordless text are skipped.  Items
-shorter than ``n`` words have one seed: all their words, which must be a whole run of ``n`` or fewer words of a text, so such
-items are matched on texts equal to them.  Repeated items or texts each give their rows.
+The benchmark is compared in blocks of about ``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters at most, each one broadcast: a
+benchmark of any size is worked through, and what a worker holds is bounded: ``HITS`` at once, or those of one text and item.
+Only texts go to the workers and nothing is shuffled.
+
+Nulls: rows with a null or wordless text match nothing; items with a null, empty or wordless text are skipped.  Rows are
+judged by their text alone, whatever their id is.  Repeated items or texts each give their rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partmill.llm.tables import columns_of, free_name
 from partmill.llm.textcore import pieces, shingles, word_hashes
-from partmill.sources.storage import materialize
 
-#: Test items compared in one pass over the texts; with their words, what is broadcast to a worker.
-BLOCK_ITEMS = 20_000
+#: Test items compared in one pass over the texts, and characters of them: what is broadcast to a worker.
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16 << 20
+#: Characters of short texts that are compared together.
+TOGETHER = 1 << 18
 #: Seed hits that a worker holds at once.
 HITS = 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -71,13 +77,48 @@ def _verbatim(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int] | No
     return None
 
 
-def _matcher(n: int, seeds: np.ndarray, seed_item: np.ndarray, seed_pos: np.ndarray, items: list[np.ndarray], ids: list[int], needed: np.ndarray, threshold: float):
-    lengths = np.array([len(w) for w in items], dtype=np.int64)
-
-    def in_lot(words, offsets, begin, hit, first, times_end) -> Iterator[tuple]:
-        times = times_end - first
+class _Block(NamedTuple):
+    """Test items of one pass: their words and ids; seeds with the item and place of each; whole short items by length."""
+
+    items: list[np.ndarray]
+    ids: list[int | None]
+    needed: np.ndarray
+    seeds: np.ndarray
+    seed_item: np.ndarray
+    seed_pos: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def _block_of(texts: list[str], ids: list[int | None], n: int, window: int, min_seeds: int) -> _Block:
+    words, offsets = word_hashes(texts)
+    items = [words[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    length = np.diff(offsets)
+    short = {}
+    for k in range(1, n):
+        which = np.flatnonzero(length == k)
+        if len(which):
+            grams, _ = shingles(np.concatenate([items[i] for i in which]), np.arange(len(which) + 1) * k, k)
+            order = np.argsort(grams, kind="stable")
+            short[k] = grams[order], which[order]
+    grams, begin = shingles(words, offsets, n)
+    seed_item = np.repeat(np.arange(len(items)), np.diff(begin))
+    seed_pos = np.arange(len(grams)) - begin[seed_item]
+    order = np.argsort(grams, kind="stable")
+    order = order[length[seed_item[order]] >= n]
+    return _Block(items, ids, np.clip(np.diff(begin) // window, 1, min_seeds), grams[order], seed_item[order], seed_pos[order], short)
+
+
+def _passages(block: _Block, n: int, threshold: float):
+    lengths = np.array([len(w) for w in block.items], dtype=np.int64)
+
+    def in_lot(words, offsets, begin, found, hit, seeds, seed_item, seed_pos) -> Iterator[tuple]:
+        """(text, item, score, n_seeds, word_start, word_end) of the passages that ``hit`` (places of n-grams) seed."""
+        first = np.searchsorted(seeds, found[hit], "left")
+        times = np.searchsorted(seeds, found[hit], "right") - first
         which = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
         hit = np.repeat(hit, times)
+        if not len(hit):
+            return
         owner = np.searchsorted(begin, hit, side="right") - 1
         place = hit - begin[owner]
         item, diagonal = seed_item[which], place - seed_pos[which]
@@ -90,72 +131,93 @@ def _matcher(n: int, seeds: np.ndarray, seed_item: np.ndarray, seed_pos: np.ndar
         group = np.cumsum(new) - 1
         distinct = np.unique(group * np.int64(len(seeds)) + which) // len(seeds)
         n_seeds = np.bincount(distinct, minlength=len(cuts) - 1)
-        for g in np.flatnonzero(n_seeds >= needed[item[cuts[:-1]]]):
+        for g in np.flatnonzero(n_seeds >= block.needed[item[cuts[:-1]]]):
             a, b = cuts[g], cuts[g + 1]
             d, it = owner[a], item[a]
-            text_words = words[offsets[d] : offsets[d + 1]]
+            text_words, own = words[offsets[d] : offsets[d + 1]], block.items[it]
             room = lengths[it] // 2 + 4
             # Diagonals can go on for long in a text that repeats a passage: the region then has as many items' lengths.
             left = max(0, int(diagonal[a]) - room)
             region = text_words[left : max(0, int(diagonal[b - 1])) + lengths[it] + room]
             least = threshold * MATCH * lengths[it]
             # No alignment scores more than a match of every word that the region has.
-            if MATCH * np.isin(items[it], region).sum() < least:
+            if MATCH * np.isin(own, region).sum() < least:
                 continue
-            score, start, end = _verbatim(items[it], region) or align(items[it], region)
+            score, start, end = _verbatim(own, region) or align(own, region)
             if score >= least:
-                yield d, ids[it], score / (MATCH * lengths[it]), int(n_seeds[g]), left + start, left + end
-
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts, doc_ids = pdf["text"].tolist(), pdf["doc_id"].tolist()
-            rows = []
-            for lo, hi in pieces(texts):
+                yield int(d), int(it), score / (MATCH * int(lengths[it])), int(n_seeds[g]), int(left + start), int(left + end)
+
+    def seeded(words, offsets) -> Iterator[tuple]:
+        found, begin = shingles(words, offsets, n)
+        times = np.searchsorted(block.seeds, found, "right") - np.searchsorted(block.seeds, found, "left")
+        every = np.flatnonzero(times)
+        if not len(every):
+            return
+        owner = np.searchsorted(begin, every, side="right") - 1
+        # Whole texts whose hits are held at once; one text's hits beyond that are taken an item class at a time.
+        lots = np.cumsum(times[every]) // HITS
+        ends = np.flatnonzero(np.diff(owner, append=-1)) + 1
+        ends = ends[np.diff(lots[ends - 1], append=-1) != 0]
+        for a, b in zip(np.append(0, ends[:-1]), ends, strict=True):
+            hit = every[a:b]
+            classes = 1 + int(times[hit].sum()) // (2 * HITS)
+            for k in range(classes):
+                own = slice(None) if classes == 1 else block.seed_item % classes == k
+                yield from in_lot(words, offsets, begin, found, hit, block.seeds[own], block.seed_item[own], block.seed_pos[own])
+
+    def whole(words, offsets) -> Iterator[tuple]:
+        for k, (keys, which) in block.short.items():
+            found, begin = shingles(words, offsets, k)
+            hit = np.flatnonzero(np.isin(found, keys))
+            owner = np.searchsorted(begin, hit, side="right") - 1
+            # The first place of each short item in each text.
+            _, at = np.unique(np.stack([owner.astype(np.uint64), found[hit]]), axis=1, return_index=True)
+            for h, d in zip(hit[at], owner[at], strict=True):
+                if offsets[d + 1] - offsets[d] >= k:
+                    start = int(h - begin[d])
+                    for it in which[np.searchsorted(keys, found[h], "left") : np.searchsorted(keys, found[h], "right")]:
+                        yield int(d), int(it), 1.0, 1, start, start + k
+
+    def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in batches:
+            texts = column.tolist()
+            out: list[list[dict]] = [[] for _ in texts]
+            for lo, hi in pieces(texts, TOGETHER):
                 words, offsets = word_hashes(texts[lo:hi])
-                found, begin = shingles(words, offsets, n)
-                first, last = np.searchsorted(seeds, found, "left"), np.searchsorted(seeds, found, "right")
-                every = np.flatnonzero(last > first)
-                if not len(every):
-                    continue
-                every_owner = np.searchsorted(begin, every, side="right") - 1
-                # Whole texts whose hits are held at once.
-                lots = np.cumsum((last - first)[every]) // HITS
-                ends = np.flatnonzero(np.diff(every_owner, append=-1)) + 1
-                ends = ends[np.diff(lots[ends - 1], append=-1) != 0]
-                for a, b in zip(np.append(0, ends[:-1]), ends, strict=True):
-                    hit = every[a:b]
-                    rows += [(doc_ids[lo + d], *found_row) for d, *found_row in in_lot(words, offsets, begin, hit, first[hit], last[hit])]
-            if rows:
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "n_seeds", "word_start", "word_end"])
+                for d, it, *rest in chain(seeded(words, offsets), whole(words, offsets)):
+                    out[lo + d].append(dict(zip(_FIELDS, (block.ids[it], *rest), strict=True)))
+            yield pd.Series(out, dtype=object)
 
     return match
 
 
+_FIELDS = ("item_id", "score", "n_seeds", "word_start", "word_end")
+_PASSAGES = "array<struct<item_id:long,score:double,n_seeds:long,word_start:long,word_end:long>>"
+#: Words of a seed, windows, seeds needed, and the least share of a perfect score.
+N_WORDS, N_WINDOW, MIN_SEEDS, THRESHOLD = 3, 4, 2, 0.5
+
+
+def leak_columns(text: Column, benchmark: DataFrame, n: int = N_WORDS, window: int = N_WINDOW, min_seeds: int = MIN_SEEDS, threshold: float = THRESHOLD) -> Iterator[Column]:
+    """For each block of ``benchmark`` (item_id, text) the array of a text's passages that align with its items."""
+    wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("text is not null")
+    size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    n_blocks = max(1, -(-size["n"] // BLOCK_ITEMS), -(-size["chars"] // BLOCK_CHARS))
+    for k in range(n_blocks):
+        rows = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).orderBy("item_id", "text").collect()
+        block = _block_of([r["text"] for r in rows], [r["item_id"] for r in rows], n, window, min_seeds)
+        if len(block.seeds) or block.short:
+            yield F.pandas_udf(_passages(block, n, threshold), _PASSAGES).asNondeterministic()(text)
+
+
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, window: int = 4, min_seeds: int = 2, threshold: float = 0.5
-) -> DataFrame:
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N_WORDS, window: int = N_WINDOW, min_seeds: int = MIN_SEEDS, threshold: float = THRESHOLD
+) -> DataFrame:
     """(doc_id, item_id, score, n_seeds, word_start, word_end): every text passage that aligns with a test item at
     ``threshold`` or more of the perfect score, the best passage of each (text row, item); words count from 0, end exclusive."""
-    spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("text is not null")
-    n_blocks = max(1, -(-wanted.count() // BLOCK_ITEMS))
-    schema = "doc_id long, item_id long, score double, n_seeds long, word_start long, word_end long"
-    out = spark.createDataFrame([], schema)
-    for block in range(n_blocks):
-        rows = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).orderBy("item_id", "text").collect()
-        words, offsets = word_hashes([r["text"] for r in rows])
-        grams, begin = shingles(words, offsets, n)
-        if not len(grams):
-            continue
-        seed_item = np.repeat(np.arange(len(rows)), np.diff(begin))
-        seed_pos = np.arange(len(grams)) - begin[seed_item]
-        order = np.argsort(grams, kind="stable")
-        seeds, seed_item, seed_pos = grams[order], seed_item[order], seed_pos[order]
-        needed = np.clip(np.diff(begin) // window, 1, min_seeds)
-        items = [words[offsets[k] : offsets[k + 1]] for k in range(len(rows))]
-        match = _matcher(n, seeds, seed_item, seed_pos, items, [r["item_id"] for r in rows], needed, threshold)
-        out = out.unionByName(given.mapInPandas(match, schema))
+    out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, n_seeds long, word_start long, word_end long")
+    for found in leak_columns(F.col("text"), benchmark, n, window, min_seeds, threshold):
+        out = out.unionByName(given.select("doc_id", found.alias("found")).select("doc_id", F.inline("found")))
     return out
 
 
@@ -165,8 +227,9 @@ def leaks_per_item(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a passage of the benchmark (rows with a null id are matched by their text alone: they
-    have no id to be dropped by, and stay)."""
-    leaked = materialize(find_leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_leaked")).distinct(), "leaks")
-    return docs.join(leaked, F.col(id_col) == F.col("_leaked"), "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has no passage of the benchmark, with all their columns; ids play no part."""
+    name, own, left = free_name(docs, "_passages"), columns_of(docs), docs
+    for found in leak_columns(F.col(text_col), benchmark):
+        left = left.withColumn(name, found).where(F.size(name) == 0).select(own)
+    return left

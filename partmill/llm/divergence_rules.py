@@ -5,10 +5,9 @@ Only DataFrame functions are used.  A word is a run of characters other than spa
 References
 ----------
 For every language (the ``lang`` column; ``*`` pools all rows, for documents without one) over all documents: the shares of
-seven character classes, and the shares of its ``COMMON`` most frequent short words (at most ``SHORT`` characters, without
-case; ties by name) among all words, with one more share for all other words.  Only short words are counted: common words are,
-and the table that is shuffled has a row a short word, not a word.  References have one row a language and are kept as maps
-in the query; ``MAX_LANGS`` bounds them (the largest languages stay, others use the pooled one).
+seven character classes, and the shares of its ``COMMON`` most frequent words (without case; ties by name) among all words,
+with one more share for all other words.  Words of any length count; they are pre-aggregated before they are shuffled.
+References are a table of one row a language, of any number of languages; documents are joined with it.
 
 Rules
 -----
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from partmill.sources.storage import materialize
 
 WINDOW = 5
-COMMON, SHORT, MAX_LANGS = 24, 4, 500
+COMMON = 24
 CLASS_LIMIT, CLASS_CHARS = 0.30, 200
 WORD_LIMIT, WORD_WORDS = 0.55, 50
 POOLED = "*"
@@ -46,7 +45,7 @@ def _without(text: Column, pattern: str) -> Column:
 
 
 def text_features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """One row a document: base counts, class counts and the array of its short words."""
+    """One row a document: base counts, class counts and the array of its words in lower case."""
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     df = df.withColumns({"words": words_of(F.col("text")), "rest": _without(F.col("text"), CLASSES[0])})
     df = df.withColumns({"n_words": F.size("words").cast("long"), "left": _without(F.col("rest"), "[A-Z\\x20\\x09-\\x0D]")})
@@ -78,7 +77,7 @@ def text_features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g).alias("n_repeat_words"),
         classes.alias("classes"),
-        F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: F.length(w) <= SHORT).alias("short"),
+        F.transform("words", lambda w: F.lower(w)).alias("folded"),
     )
 
 
@@ -87,23 +86,20 @@ def _by_language(features: DataFrame) -> DataFrame:
     return features.withColumn("to", F.explode(F.array_distinct(F.array(F.coalesce("lang", F.lit(POOLED)), F.lit(POOLED)))))
 
 
-def learn_references(features: DataFrame) -> dict[str, tuple[list[float], list[str], list[float]]]:
-    """Language -> (class shares, common words, their shares and that of the others)."""
+def learn_references(features: DataFrame) -> DataFrame:
+    """(lang, ref_class: class shares, ref_words: common words, ref_shares: theirs and that of the others), a row a language."""
     n = len(CLASSES) + 1
-    sums = _by_language(features.select("lang", "n_words", "classes")).groupBy("to").agg(F.count("*").alias("docs"), F.sum("n_words").alias("n_words"), *[F.sum(F.col("classes")[k]).alias(f"c{k}") for k in range(n)])
-    totals = {r["to"]: r for r in sums.orderBy(F.desc("docs"), "to").limit(MAX_LANGS).collect()}
-    short = features.select(F.coalesce("lang", F.lit(POOLED)).alias("lang"), F.explode("short").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    short = _by_language(short).groupBy("to", "word").agg(F.sum("n").alias("n"))
+    sums = _by_language(features.select("lang", "n_words", "classes")).groupBy("to").agg(F.sum("n_words").alias("count"), *[F.sum(F.col("classes")[k]).cast("double").alias(f"c{k}") for k in range(n)])
+    words = features.select(F.coalesce("lang", F.lit(POOLED)).alias("lang"), F.explode("folded").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    words = _by_language(words).groupBy("to", "word").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("to").orderBy(F.desc("n"), "word")
-    top = short.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= COMMON).where(F.col("to").isin(list(totals)))
-    words: dict[str, list[tuple[str, int]]] = {}
-    for r in top.orderBy("to", "rank").collect():
-        words.setdefault(r["to"], []).append((r["word"], r["n"]))
-    out = {}
-    for lang, r in totals.items():
-        chars, count, common = max(1, sum(r[f"c{k}"] for k in range(n))), max(1, r["n_words"]), words.get(lang, [])
-        out[lang] = ([r[f"c{k}"] / chars for k in range(n)], [w for w, _ in common], [c / count for _, c in common] + [1 - sum(c for _, c in common) / count])
-    return out
+    top = words.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= COMMON)
+    top = top.groupBy("to").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))  # COMMON at most
+    both = sums.join(top, "to", "left").withColumn("top", F.coalesce("top", F.array().cast("array<struct<rank:int,word:string,n:bigint>>")))
+    chars, count = F.greatest(sum((F.col(f"c{k}") for k in range(n)), F.lit(0.0)), F.lit(1.0)), F.greatest("count", F.lit(1)).cast("double")
+    shares = F.transform("top", lambda t: t["n"] / count)
+    rest = 1 - F.aggregate("top", F.lit(0).cast("long"), lambda a, t: a + t["n"]) / count
+    return both.select(F.col("to").alias("lang"), F.array(*[F.col(f"c{k}") / chars for k in range(n)]).alias("ref_class"), F.col("top.word").alias("ref_words"), F.concat(shares, F.array(rest)).alias("ref_shares"))
 
 
 def js_distance(counts: Column, shares: Column) -> Column:
@@ -117,16 +113,10 @@ def js_distance(counts: Column, shares: Column) -> Column:
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept)."""
     features = materialize(text_features(docs, id_col, text_col, lang_col), "quality-features")
-    found = learn_references(features)
-    langs = list(found) or [POOLED]
-    found = found or {POOLED: ([0.0] * (len(CLASSES) + 1), [], [1.0])}
-    table = lambda k, make: F.create_map(*[x for lang in langs for x in (F.lit(lang), make(found[lang][k]))])
-    numbers = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    strings = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
-    key = F.when(F.col("lang").isin(langs), F.col("lang")).otherwise(POOLED)
-    of = lambda k, make: F.try_element_at(table(k, make), key)
-    df = features.withColumns({"ref_class": of(0, numbers), "ref_words": of(1, strings), "ref_shares": of(2, numbers)})
-    df = df.withColumn("common", F.filter("short", lambda w: F.array_contains(F.col("ref_words"), w)))
+    references = materialize(learn_references(features), "quality-references")
+    # Every language of a document has its row; the join is broadcast where that table is small, else skew is left to AQE.
+    df = features.withColumn("lang", F.coalesce("lang", F.lit(POOLED))).join(references, "lang")
+    df = df.withColumn("common", F.filter("folded", lambda w: F.array_contains(F.col("ref_words"), w)))
     counts = F.transform("ref_words", lambda r: (F.size("common") - F.size(F.array_remove(F.col("common"), r))).cast("double"))
     df = df.withColumn("hits", F.concat(counts, F.array((F.col("n_words") - F.size("common")).cast("double"))))
     df = df.withColumns({"class_distance": js_distance(F.transform("classes", lambda c: c.cast("double")), F.col("ref_class")), "word_distance": js_distance(F.col("hits"), F.col("ref_shares"))})

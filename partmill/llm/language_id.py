@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partmill.llm.textcore import pieces
@@ -26,37 +26,62 @@ PROFILE, DOCUMENT_PROFILE = 400, 300
 #: Documents of one language that are learned from, about: a hash of the text chooses them.
 TRAIN_DOCS_PER_LANG = 3000
 _PAD = 0x5F
+#: Characters whose n-grams are counted at once, and of all texts that are ranked together.
+_PART, _TOGETHER = 1 << 17, 1 << 18
 _LETTERS: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
-    """Code of each UTF-16 unit: itself for a letter of the basic plane and for surrogates, else 0."""
+    """Code of each character of the basic plane: itself for a letter, else 0."""
     if not _LETTERS:
-        _LETTERS.append(np.array([c if 0xD800 <= c < 0xE000 or chr(c).isalpha() else 0 for c in range(1 << 16)], dtype=np.uint64))
+        _LETTERS.append(np.array([c if chr(c).isalpha() else 0 for c in range(1 << 16)], dtype=np.uint16))
     return _LETTERS[0]
 
 
+def _codes(units: np.ndarray) -> np.ndarray:
+    """The code of each UTF-16 unit; the two units of a letter beyond the basic plane keep theirs, other pairs have none."""
+    code = _letters()[units]
+    high = np.flatnonzero((units[:-1] & 0xFC00) == 0xD800)
+    high = high[(units[high + 1] & 0xFC00) == 0xDC00]
+    if len(high):
+        points, at = np.unique(0x10000 + ((units[high].astype(np.int64) & 0x3FF) << 10) + (units[high + 1] & 0x3FF), return_inverse=True)
+        letter = high[np.array([chr(p).isalpha() for p in points])[at]]
+        code[letter], code[letter + 1] = units[letter], units[letter + 1]
+    return code
+
+
 def _ngram_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, n-gram code, count) of every distinct n-gram of every text, ordered by text and code."""
     units = [np.frombuffer(f" {t.lower()} ".encode("utf-16-le", "surrogatepass"), dtype="<u2") for t in (x or "" for x in texts)]
-    owner = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(u) for u in units])
-    code = _letters()[np.concatenate(units)] if units else np.zeros(0, dtype=np.uint64)
+    owner = np.repeat(np.arange(len(texts), dtype=np.uint16), [len(u) for u in units])
+    code = _codes(np.concatenate(units)) if units else np.zeros(0, dtype=np.uint16)
     code[code == 0] = _PAD
     keep = np.ones(len(code), dtype=bool)
     keep[1:] = (code[1:] != _PAD) | (code[:-1] != _PAD) | (owner[1:] != owner[:-1])
     code, owner = code[keep], owner[keep]
-    found = []
-    s = np.uint64(16)
-    one = code != _PAD
-    found.append((owner[one] << (s * np.uint64(3))) | (code[one] << (s + s)))
-    if len(code) > 2:
-        same = owner[:-1] == owner[1:]
-        found.append(((owner[:-1] << (s * np.uint64(3))) | (code[:-1] << (s + s)) | (code[1:] << s))[same])
-        same = (owner[:-2] == owner[2:]) & (code[1:-1] != _PAD)
-        found.append(((owner[:-2] << (s * np.uint64(3))) | (code[:-2] << (s + s)) | (code[1:-1] << s) | code[2:])[same])
-    keys = np.sort(np.concatenate(found))
-    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
-    return (keys[first] >> (s * np.uint64(3))).astype(np.int64), keys[first] & np.uint64((1 << 48) - 1), np.diff(first, append=len(keys))
+    s, keys, counts = np.uint64(16), [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+    for lo in range(0, len(code), _PART):
+        # The n-grams that end in this part.
+        begin = max(lo - 2, 0)
+        c, o = code[begin : lo + _PART].astype(np.uint64), owner[begin : lo + _PART].astype(np.uint64) << (s * np.uint64(3))
+        letter, new = c != _PAD, np.arange(len(c)) >= lo - begin
+        one = letter & new
+        found = [o[one] | (c[one] << (s + s))]
+        two = (o[:-1] == o[1:]) & new[1:]
+        found.append((o[:-1] | (c[:-1] << (s + s)) | (c[1:] << s))[two])
+        three = (o[:-2] == o[2:]) & letter[1:-1] & new[2:]
+        found.append((o[:-2] | (c[:-2] << (s + s)) | (c[1:-1] << s) | c[2:])[three])
+        distinct, times = np.unique(np.concatenate(found), return_counts=True)
+        keys.append(distinct)
+        counts.append(times)
+    joined = np.concatenate(keys)
+    if len(keys) == 2:  # one part
+        return (joined >> (s * np.uint64(3))).astype(np.int64), joined & np.uint64((1 << 48) - 1), counts[1]
+    order = np.argsort(joined, kind="stable")
+    joined = joined[order]
+    first = np.flatnonzero(np.diff(joined, prepend=~joined[:1]))
+    total = np.add.reduceat(np.concatenate(counts)[order], first) if len(first) else np.zeros(0, dtype=np.int64)
+    return (joined[first] >> (s * np.uint64(3))).astype(np.int64), joined[first] & np.uint64((1 << 48) - 1), total
 
 
 def _ranked(texts: list[str | None], limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +98,7 @@ def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for lang, part in pdf.groupby("lang"):
             texts = part["text"].tolist()
-            for lo, hi in pieces(texts):
+            for lo, hi in pieces(texts, _TOGETHER):
                 _, gram, count = _ngram_counts(texts[lo:hi])
                 grams, at = np.unique(gram, return_inverse=True)
                 yield pd.DataFrame({"lang": lang, "gram": grams.astype(np.int64), "n": np.bincount(at, count, len(grams)).astype(np.int64)})
@@ -105,35 +130,38 @@ def _predictor(profiles: dict[str, list[int]]):
         order = np.argsort(grams)
         tables.append((grams[order], order))
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf["_text"].tolist()
-            for lo, hi in pieces(texts):
-                n = hi - lo
-                owner, gram, rank = _ranked(texts[lo:hi], DOCUMENT_PROFILE)
-                size = np.bincount(owner, minlength=n)
-                near = np.full((len(langs), n), np.inf)
-                for k, (grams, place) in enumerate(tables):
-                    at = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
-                    away = np.where(grams[at] == gram, np.minimum(np.abs(place[at] - rank), len(grams)), len(grams))
-                    near[k] = np.bincount(owner, away, n) / np.maximum(size * len(grams), 1)
-                best = near.argmin(axis=0) if langs else np.zeros(n, dtype=int)
-                known = (size > 0) & bool(langs)
-                out = pdf.iloc[lo:hi].copy()
-                out["_lang_pred"] = [langs[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)]
-                out["_score"] = np.where(known, 1 - near.min(axis=0, initial=1.0), 0.0)
-                yield out
+    def best_of(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        n = len(texts)
+        owner, gram, rank = _ranked(texts, DOCUMENT_PROFILE)
+        size = np.bincount(owner, minlength=n)
+        near = np.full((len(langs), n), np.inf)
+        for k, (grams, place) in enumerate(tables):
+            at = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
+            away = np.where(grams[at] == gram, np.minimum(np.abs(place[at] - rank), len(grams)), len(grams))
+            near[k] = np.bincount(owner, away, n) / np.maximum(size * len(grams), 1)
+        best = near.argmin(axis=0) if langs else np.zeros(n, dtype=int)
+        known = (size > 0) & bool(langs)
+        return [langs[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)], np.where(known, 1 - near.min(axis=0, initial=1.0), 0.0)
+
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for column in batches:
+            texts = column.tolist()
+            found = [best_of(texts[lo:hi]) for lo, hi in pieces(texts, _TOGETHER)]
+            yield pd.DataFrame({"lang": [x for names, _ in found for x in names], "score": np.concatenate([np.zeros(0), *[x for _, x in found]])})
 
     return predict
 
 
-def predict_languages(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), keep_text: bool = False) -> DataFrame:
-    """``carry`` columns, ``lang_pred`` and ``score`` (0 to 1) of every row; the whole text counts.  With ``keep_text`` the
-    carried columns hold the text, which then goes through the worker once, not twice."""
-    given = docs.select(*[F.col(c).alias("_text" if keep_text and c == text_col else f"_c{k}") for k, c in enumerate(carry)], *([] if keep_text else [F.col(text_col).alias("_text")]))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema)
-    found = given.mapInPandas(_predictor(profiles), f"{fields}, _lang_pred string, _score double")
-    return found.select(*[F.col("_text" if keep_text and c == text_col else f"_c{k}").alias(c) for k, c in enumerate(carry)], F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+def language_of(text: Column, profiles: dict[str, list[int]]) -> Column:
+    """``struct<lang, score>`` of a text; the whole text counts.  Only the text goes to the worker, and only this comes back."""
+    # Not deterministic for the optimizer: a filter on the result must not be pushed below it and work it out again.
+    return F.pandas_udf(_predictor(profiles), "lang string, score double").asNondeterministic()(text)
+
+
+def predict_languages(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``carry`` columns, ``lang_pred`` and ``score`` (0 to 1) of every row; the carried columns stay as they are."""
+    found = docs.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)], language_of(F.col(text_col), profiles).alias("_found"))
+    return found.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(carry)], F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"))
 
 
 def held_out(id_col: str = "doc_id"):

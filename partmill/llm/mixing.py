@@ -17,13 +17,16 @@ An empty table gives no rows.  Repeated rows share a hash and are drawn together
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from partmill.llm.tables import columns_of, free_name
 from partmill.sources.storage import materialize
 
 MARGINALS = ("source", "lang", "topic")
-FLATTEN, BUDGET, ROUNDS, TOLERANCE = 0.7, 0.75, 30, 1e-5
+FLATTEN, BUDGET, ROUNDS, TOLERANCE = 0.7, 0.75, 200, 1e-5
 #: Candidate scales tried in one pass over the cells, and passes.
 _SCALES, _PASSES = 64, 4
 
@@ -64,31 +67,36 @@ def flattened_targets(cells: DataFrame, flatten: float = FLATTEN) -> dict[str, D
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with ``raked``: tokens after fitting, with the sum they had before.
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
+    """``cells`` (source, lang, topic, tokens) with ``raked``: tokens after fitting, with the sum they had before; and the
+    largest change of a cell, as a share of itself, in the last round.
 
-    A round is one job over the cells, which are written after it, and one that finds the largest change of a cell."""
+    Rounds go on until that is below ``tolerance``.  Targets that contradict each other never get there: after ``rounds`` a
+    warning says so, and the marginal fitted last is met.  A round is one job over the cells, which are written after it."""
     total = cells.agg(F.sum("tokens").cast("double")).first()[0]
     if not total:
-        return cells.withColumn("raked", F.lit(0.0))
+        return cells.withColumn("raked", F.lit(0.0)), 0.0
     wanted = {}
     for m in MARGINALS:
         there = targets[m].where("share > 0").join(cells.select(F.col(m).alias("value")).distinct(), "value", "left_semi")
         shares = there.agg(F.sum("share")).first()[0] or 1.0
         wanted[m] = materialize(there.select(F.col("value").alias(m), (F.col("share") / shares * total).alias("want")), f"mix-want-{m}")
-    now = cells.withColumn("raked", F.col("tokens").cast("double"))
+    now, change = cells.withColumn("raked", F.col("tokens").cast("double")), 0.0
     for _ in range(rounds):
         new = now.withColumn("before", F.col("raked"))
         for m in MARGINALS:
             have = new.groupBy(m).agg(F.sum("raked").alias("have"))
             factor = have.join(wanted[m], m, "left").select(m, F.when(F.col("have") > 0, F.coalesce("want", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias("factor"))
             new = new.join(factor, m).withColumn("raked", F.col("raked") * F.col("factor")).drop("factor")
-        new = materialize(new.select(*cells.columns, "before", "raked"), "mix-cells")
-        change = new.where("before > 0").agg(F.max(F.abs(F.col("raked") / F.col("before") - 1))).first()[0] or 0.0
-        now = new.drop("before")
+        seen = Observation()
+        moved = F.max(F.when(F.col("before") > 0, F.abs(F.col("raked") / F.col("before") - 1)))
+        now = materialize(new.observe(seen, moved.alias("change")).select(*cells.columns, "raked"), "mix-cells")
+        change = seen.get["change"] or 0.0
         if change < tolerance:
             break
-    return now
+    else:
+        warnings.warn(f"raking stopped after {rounds} rounds, the last of which still changed a cell by {change:.2g} of itself", stacklevel=2)
+    return now, change
 
 
 def common_scale(raked: DataFrame, budget: float = BUDGET) -> float:
@@ -111,10 +119,11 @@ def common_scale(raked: DataFrame, budget: float = BUDGET) -> float:
 
 
 def fit_mix(cells: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, flatten: float = FLATTEN) -> DataFrame:
-    """(source, lang, topic, weight, probability) of every cell of ``cells`` (source, lang, topic, tokens)."""
-    raked = rake(cells, targets or flattened_targets(cells, flatten))
+    """(source, lang, topic, weight, probability, converged) of every cell of ``cells`` (source, lang, topic, tokens)."""
+    raked, change = rake(cells, targets or flattened_targets(cells, flatten))
     weight = F.col("raked") / F.col("tokens")
-    fitted = raked.select(*MARGINALS, weight.alias("weight"), F.least(F.lit(1.0), weight * common_scale(raked, budget)).alias("probability"))
+    converged = F.lit(change < TOLERANCE).alias("converged")
+    fitted = raked.select(*MARGINALS, weight.alias("weight"), F.least(F.lit(1.0), weight * common_scale(raked, budget)).alias("probability"), converged)
     return materialize(fitted, "mix-weights")
 
 
@@ -122,12 +131,13 @@ def mix(
     docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
     topic: Column | None = None, budget: float = BUDGET, flatten: float = FLATTEN,
 ) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens, weight, probability, draw, sampled) of every row."""
+    """(doc_id, source, lang, topic, n_tokens, weight, probability, draw, sampled, converged) of every row; ``converged``: whether
+    raking met all marginals."""
     placed = cell_columns(id_col, text_col, source_col, lang_col, topic)
     labelled = materialize(docs.select(F.col(id_col).alias("doc_id"), token_count(F.col(text_col)).alias("n_tokens"), *[c.alias(k) for k, c in placed.items()]), "mix-labels")
     cells = materialize(labelled.groupBy(*MARGINALS).agg(F.sum("n_tokens").alias("tokens")), "mix-sizes")
     drawn = labelled.join(fit_mix(cells, targets, budget, flatten), list(MARGINALS))
-    return drawn.select(F.col("doc_id").alias(id_col), *MARGINALS, "n_tokens", "weight", "probability", "draw", (F.col("draw") < F.col("probability")).alias("sampled"))
+    return drawn.select(F.col("doc_id").alias(id_col), *MARGINALS, "n_tokens", "weight", "probability", "draw", (F.col("draw") < F.col("probability")).alias("sampled"), "converged")
 
 
 def keep_sampled(
@@ -138,7 +148,8 @@ def keep_sampled(
     placed = cell_columns(id_col, text_col, source_col, lang_col)
     sizes = docs.select(token_count(F.col(text_col)).alias("n"), *[placed[m].alias(m) for m in MARGINALS]).groupBy(*MARGINALS).agg(F.sum("n").alias("tokens"))
     fitted = fit_mix(materialize(sizes, "mix-sizes"), targets, budget, flatten).where("probability > 0")
-    chosen = fitted.select(*[F.col(m).alias(f"_mix_{m}") for m in MARGINALS], F.col("probability").alias("_mix_p"))
-    own = docs.withColumns({f"_mix_{k}": c for k, c in placed.items()})
-    drawn = own.join(chosen, [f"_mix_{m}" for m in MARGINALS]).where("_mix_draw < _mix_p")
-    return drawn.select(docs.columns)
+    name = {k: free_name(docs, f"_mix_{k}") for k in (*placed, "p")}
+    chosen = fitted.select(*[F.col(m).alias(name[m]) for m in MARGINALS], F.col("probability").alias(name["p"]))
+    own = docs.withColumns({name[k]: c for k, c in placed.items()})
+    drawn = own.join(chosen, [name[m] for m in MARGINALS]).where(F.col(name["draw"]) < F.col(name["p"]))
+    return drawn.select(columns_of(docs))

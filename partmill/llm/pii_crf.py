@@ -12,11 +12,11 @@ neighbouring shapes and for the flag, plus a transition weight from the label be
 Weights are fitted on the driver to a small labelled table (``labelled_texts``) by full-batch Adam on the regularised
 conditional likelihood, with the forward-backward recursions in numpy.
 
-Decoding is exact Viterbi in numpy over batches of windows.  A window is made of tokens within ``REACH`` words of a cue:
-digits, ``@``, a word for "dot", a bracketed word for "at", or a dot and one of the known ends of host names
-(``_CUE_TEXT``).  Every spelling of the labelled texts has one; spellings without any are not looked for.
-A window of any length is decoded whole: scores are made for ``CELLS`` tokens at a time, only back pointers (a byte a label)
-are kept for all.
+Decoding gives the field's best labels of every whole text.  Every token is scored; ``_may_be_labelled`` then leaves out
+tokens that no best labelling can label (see there for the proof), and exact Viterbi runs in numpy over batches of the
+stretches that remain, each with an unlabelled token on both sides.  So the result is that of decoding the whole text, in
+texts and stretches of any length: scores are made for ``CELLS`` tokens at a time, and only back pointers (a byte a label)
+are kept for all of a stretch.
 
 An added span is dropped where it overlaps a base span or a stretch that a base pattern found and rejected.
 
@@ -26,20 +26,25 @@ Null, empty and wordless texts have no spans.  Repeated rows give repeated resul
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partmill.llm.textcore import pieces
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{bi}-{k}" for k in KINDS for bi in "BI"))
-REACH = 8
 #: Tokens, over all rows, that are scored at once.
-CELLS = 1 << 17
+CELLS = 1 << 15
+#: Characters of short texts that are cut into tokens together.
+TOGETHER = 1 << 18
 
 # ---- fixed patterns ------------------------------------------------------------------------------------------------
 
@@ -78,7 +83,7 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, i
                 for k in range(0, len(parts) - 3, 4):
                     four = parts[k : k + 4]
                     end = start + sum(map(len, four)) + 3
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+                    if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in four):
                         found.append((start, end, "ip"))
                     else:
                         failed.append((start, end))
@@ -101,8 +106,9 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, i
 
 # ---- word shapes ---------------------------------------------------------------------------------------------------
 
-_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\W\d_]+|[^\s]")
-#: Cue words; each class is one shape.  What opens a window is in ``_CUE_TEXT``.
+#: Every character lies in one of these: letters, digits, other letters, white space, or one other character.
+_PIECES = re.compile(r"[A-Za-z]+|[0-9]+|[^\W\d_A-Za-z]+|\s+|.", re.DOTALL)
+#: Cue words; each class is one shape.
 CUE_WORDS = {
     "w_phone": ("phone", "tel", "telephone", "telefon", "telefono", "mobile", "cell", "fax", "whatsapp"),
     "w_mail": ("mail", "email", "correo", "courriel"),
@@ -133,13 +139,29 @@ def shape_of(token: str) -> int:
     return _SHAPE["letters" if token[0].isalpha() else "other"]
 
 
-def tokens_of(text: str, lo: int = 0, hi: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, shape, 1 if white space precedes) of the tokens of ``text[lo:hi]``."""
-    found = list(_TOKEN.finditer(text, lo, len(text) if hi is None else hi))
-    start = np.fromiter((m.start() for m in found), np.int64, len(found))
-    end = np.fromiter((m.end() for m in found), np.int64, len(found))
-    shape = np.fromiter((shape_of(m.group()) for m in found), np.int64, len(found))
-    return start, end, shape, np.diff(end[:-1], prepend=0)[:0] if not len(found) else (start != np.concatenate([[-1], end[:-1]])).astype(np.int64)
+class _Shapes(dict):
+    """The shape of each token seen, -1 for white space; begins anew when it has grown."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= 1 << 16:
+            self.clear()
+        found = self[token] = -1 if token.isspace() else shape_of(token)
+        return found
+
+
+_SHAPES_SEEN = _Shapes()
+
+
+def tokens_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, shape, 1 if white space precedes) of the tokens of ``text``."""
+    found = _PIECES.findall(text)
+    shape = np.fromiter(map(_SHAPES_SEEN.__getitem__, found), np.int8, len(found))
+    end = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+    gap = np.zeros(len(found), dtype=np.int8)
+    gap[1:] = shape[:-1] < 0
+    start = np.concatenate([np.zeros(1, np.int64), end[:-1]]) if len(end) else end
+    token = shape >= 0
+    return start[token], end[token], shape[token], gap[token]
 
 
 class Field(NamedTuple):
@@ -152,8 +174,8 @@ class Field(NamedTuple):
 
     def emissions(self, shape: np.ndarray, gap: np.ndarray) -> np.ndarray:
         """[row, token, label] for padded rows of shapes ([row, token], 0 outside)."""
-        padded = np.pad(shape, ((0, 0), (3, 3)))
-        out = self.gap[gap].copy()
+        padded = np.pad(shape.astype(np.int64), ((0, 0), (3, 3)))
+        out = self.gap[gap]
         n = shape.shape[1]
         for k in range(7):
             out += self.single[k][padded[:, k : k + n]]
@@ -168,17 +190,19 @@ _START = np.array([not b.startswith("I") for b in LABELS])
 _NEVER = -1e9
 
 
-def viterbi(field: Field, shape: np.ndarray, gap: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Best label of every token of every padded row."""
-    rows, n = shape.shape
+def viterbi(field: Field, padded: np.ndarray, gap: np.ndarray, length: np.ndarray, none: np.ndarray | None = None) -> np.ndarray:
+    """Best label of every token of every row; ``padded`` has the shapes of three neighbours more on both sides, and tokens
+    in ``none`` are O."""
+    rows, n = gap.shape
     some = max(1, CELLS // rows)
-    padded = np.pad(shape, ((0, 0), (3, 3)))
     step = np.where(_ALLOWED, field.step, _NEVER)
     back = np.zeros((n, rows, L), dtype=np.int8)
     for t in range(n):
         if t % some == 0:
             # Three neighbours on both sides belong to the scores of a part.
             emit = field.emissions(padded[:, t : t + some + 6], np.pad(gap[:, t : t + some], ((0, 0), (3, 3))))[:, 3:-3]
+            if none is not None:
+                emit[:, :, 1:] += np.where(none[:, t : t + some, None], _NEVER, 0)
         if t == 0:
             score = emit[:, 0] + np.where(_START, 0, _NEVER)
             continue
@@ -326,82 +350,86 @@ def default_field() -> Field:
 # ---- finding -------------------------------------------------------------------------------------------------------
 
 
-def _windows(text: str) -> list[tuple]:
-    """(start, end, shape, gap) arrays of the windows of a text."""
-    cues = [m.start() for m in _CUE_TEXT.finditer(text)]
-    out: list[tuple] = []
-    if not cues:
-        return out
-    # Token bounds are found near cues only: a token is whole if its stretch begins and ends at white space.
-    stretches: list[list[int]] = []
-    done, k = 0, 0
-    while k < len(cues):
-        lo = max(_back(text, cues[k], done), done)
-        hi = _ahead(text, cues[k])
-        k += 1
-        # A stretch that begins where this one ends belongs to it, or what lies there would be cut.
-        while k < len(cues) and _back(text, cues[k], hi) <= hi:
-            hi = max(hi, _ahead(text, cues[k]))
-            k += 1
-        stretches.append([lo, hi])
-        done = hi
-    for lo, hi in stretches:
-        start, end, shape, gap = tokens_of(text, lo, hi)
-        if len(start):
-            out.append((start, end, shape, gap))
-    return out
-
-
-_ONE_OF = {c: "|".join(ws) for c, ws in CUE_WORDS.items()}
-_DOT_REST = "|".join(f"(?<=(?i:{w[0]}))(?i:{w[1:]})" for w in CUE_WORDS["w_dot"])
-#: Begins with one class of characters, by which the search skips.
-_CUE_TEXT = re.compile(
-    rf"[0-9@dDpP(\[.](?:(?<=[0-9])[0-9]*|(?<=@)|(?<![A-Za-z][A-Za-z])(?:{_DOT_REST})(?![A-Za-z])|(?<=[(\[])\s*(?i:{_ONE_OF['w_at']})\s*[)\]]|(?<=\.)\s*(?i:{_ONE_OF['w_tld']})(?![A-Za-z]))"
-)
-_WORDS_AHEAD = re.compile(rf"\S*(?:\s+\S+){{0,{REACH}}}")
-
-
-def _back(text: str, at: int, least: int) -> int:
-    """Where the ``REACH``-th word before ``at`` begins; words are white-space separated, so at least as many tokens."""
-    for _ in range(REACH):
-        while at > least and not text[at - 1].isspace():
-            at -= 1
-        while at > least and text[at - 1].isspace():
-            at -= 1
-    while at > least and not text[at - 1].isspace():
-        at -= 1
-    return at
-
-
-def _ahead(text: str, at: int) -> int:
-    return _WORDS_AHEAD.match(text, at).end()
+def _highest_into(step: np.ndarray) -> np.ndarray:
+    """For each label but O: the most that coming into it can add over staying in O, with what leaving it for O can add."""
+    into = np.where(_ALLOWED, step, _NEVER).max(axis=0)[1:] - step[0, 0]
+    return into + np.maximum(step[1:, 0] - step[0, 0], 0)
+
+
+def _may_be_labelled(gain: np.ndarray) -> np.ndarray:
+    """Which tokens can have a label in a best labelling, given the most that labelling each can gain.
+
+    Take a best labelling and a longest run of labelled tokens in it, and label these O instead: the score changes by the
+    labels' own scores and the transitions into them and out of the last one, all of which ``gain`` bounds from above token by
+    token.  As the labelling was best, the gains of the run must sum to 0 or more.  So only tokens that lie in some stretch
+    whose gains sum to 0 or more remain: where the best sum of a stretch that ends at a token and the best of one that begins
+    at it, less its own gain, make 0 or more."""
+    total = np.cumsum(gain)
+    before = np.concatenate([np.zeros(1), total[:-1]])
+    ending = total - np.minimum.accumulate(before)
+    beginning = np.maximum.accumulate(total[::-1])[::-1] - before
+    return ending + beginning - gain >= -1e-6
+
+
+def _stretches(field: Field, shape: np.ndarray, gap: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the stretches of tokens that may be labelled; ``breaks``: tokens that begin a text."""
+    into, n = _highest_into(field.step), len(shape)
+    gain, padded, begins = np.empty(n), np.pad(shape, (3, 3)), np.zeros(n, dtype=bool)
+    begins[breaks[breaks < n]] = True
+    for lo in range(0, n, CELLS):
+        hi = min(n, lo + CELLS)
+        emit = field.emissions(padded[None, lo : hi + 6], np.pad(gap[lo:hi], (3, 3))[None])[0, 3:-3]
+        # Nothing comes into a text's first token, from no label.
+        gain[lo:hi] = (emit[:, 1:] + np.where(begins[lo:hi, None], np.maximum(into, 0), into)).max(axis=1) - emit[:, 0]
+    hot = _may_be_labelled(gain).view(np.int8)
+    edge = np.diff(hot, prepend=np.int8(0), append=np.int8(0))
+    first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    # A stretch over the end of a text is cut there; so texts are decoded apart.
+    cut = breaks[(np.searchsorted(first, breaks, "left") - np.searchsorted(end, breaks, "right")) == 1]
+    return np.sort(np.concatenate([first, cut])), np.sort(np.concatenate([end, cut]))
 
 
 def added_spans(field: Field, texts: list[str], lots: int = 512) -> list[list[tuple[int, int, str]]]:
-    """What the field labels in each text, windows of like length decoded together."""
-    windows = [(k, w) for k, text in enumerate(texts) for w in _windows(text)]
-    windows.sort(key=lambda x: len(x[1][0]))
+    """What the field labels in each text; stretches of like length are decoded together."""
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    lo = 0
-    while lo < len(windows):
-        hi = lo + 1
-        while hi < min(len(windows), lo + lots) and (hi + 1 - lo) * len(windows[hi][1][0]) <= CELLS:
-            hi += 1
-        lot = windows[lo:hi]
-        lo = hi
-        width = len(lot[-1][1][0])
-        shape, gap = np.zeros((len(lot), width), dtype=np.int64), np.zeros((len(lot), width), dtype=np.int64)
-        for r, (_, (_, _, s, g)) in enumerate(lot):
-            shape[r, : len(s)], gap[r, : len(g)] = s, g
-        labels = viterbi(field, shape, gap, np.array([len(w[0]) for _, w in lot]))
-        for r in np.flatnonzero(labels.any(axis=1)):
-            k, (start, end, _, _) = lot[r]
-            row = labels[r, : len(start)]
-            for b in np.flatnonzero(row % 2 == 1):
-                e = b + 1
-                while e < len(row) and row[e] == row[b] + 1:
-                    e += 1
-                out[k].append((int(start[b]), int(end[e - 1]), KINDS[(row[b] - 1) // 2]))
+    for lo, hi in pieces(texts, TOGETHER):
+        cut = [tokens_of(t) for t in texts[lo:hi]]
+        sizes = np.array([len(c[0]) for c in cut])
+        # Between texts lie three tokens of the shape "none", as outside of any text.
+        begin = np.cumsum(sizes + 3) - sizes
+        shape, gap = np.zeros(int(begin[-1] + sizes[-1]) + 3, dtype=np.int8), np.zeros(int(begin[-1] + sizes[-1]) + 3, dtype=np.int8)
+        for b, n, c in zip(begin, sizes, cut, strict=True):
+            shape[b : b + n], gap[b : b + n] = c[2], c[3]
+        first, end = _stretches(field, shape, gap, np.concatenate([begin, begin + sizes]))
+        owner = np.searchsorted(begin, first, side="right") - 1
+        inside = (owner >= 0) & (first < begin[owner] + sizes[owner])
+        first, end, owner = first[inside], end[inside], owner[inside]
+        # An unlabelled token more on both sides, but at a text's ends.
+        left, right = first > begin[owner], end < begin[owner] + sizes[owner]
+        first, end = first - left, end + right
+        order = np.argsort(end - first, kind="stable")
+        first, end, owner, left, right = first[order], end[order], owner[order], left[order], right[order]
+        at = 0
+        while at < len(first):
+            until = at + 1
+            while until < min(len(first), at + lots) and (until + 1 - at) * (end[until] - first[until]) <= CELLS:
+                until += 1
+            length = (end - first)[at:until]
+            # Three neighbours on both sides belong to the scores.
+            where = np.minimum(first[at:until, None] + np.arange(-3, length.max() + 3), len(shape) - 1)
+            none = np.zeros((until - at, length.max()), dtype=bool)
+            none[left[at:until], 0] = True
+            none[np.flatnonzero(right[at:until]), length[right[at:until]] - 1] = True
+            labels = viterbi(field, shape[where], gap[where[:, 3:-3]], length, none)
+            for r in np.flatnonzero(labels.any(axis=1)):
+                k, from_token = owner[at + r], first[at + r] - begin[owner[at + r]]
+                row = labels[r, : length[r]]
+                for b in np.flatnonzero(row % 2 == 1):
+                    e = b + 1
+                    while e < len(row) and row[e] == row[b] + 1:
+                        e += 1
+                    out[lo + k].append((int(cut[k][0][from_token + b]), int(cut[k][1][from_token + e - 1]), KINDS[(row[b] - 1) // 2]))
+            at = until
     return out
 
 
@@ -413,33 +441,33 @@ def find_spans(field: Field, texts: list[str | None]) -> list[list[tuple[int, in
     out = []
     for text, more in zip(whole, added, strict=True):
         base, failed = base_spans(text)
-        taken = [(s, e) for s, e, _ in base] + failed
+        taken = sorted([(s, e) for s, e, _ in base] + failed)
+        starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max, initial=0))
         found = [(s, e, k, True) for s, e, k in base]
-        found += [(s, e, k, False) for s, e, k in more if not any(s < b and a < e for a, b in taken)]
+        # The farthest end of all that begin before the span's end.
+        found += [(s, e, k, False) for s, e, k in more if reach[bisect_left(starts, e)] <= s]
         out.append(sorted(found, key=lambda s: (s[0], order[s[2]])))
     return out
 
 
-def _finder(field: Field, carried: list[str]):
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:  # an empty column has no type of its own
-                continue
-            spans = find_spans(field, pdf["_text"].tolist())
-            named = [[{"kind": k, "start": s, "end": e, "base": b} for s, e, k, b in row] for row in spans]
-            yield pdf[carried].assign(pii=named)
+#: What is found in a text.
+SPANS = "array<struct<kind:string,start:long,end:long,base:boolean>>"
 
-    return find
+
+def personal_data_of(text: Column, field: Field | None = None) -> Column:
+    """The spans (kind, start, end, base) of a text, in code points, end exclusive."""
+    field = field or default_field()
+
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in batches:
+            yield pd.Series([[{"kind": k, "start": s, "end": e, "base": b} for s, e, k, b in row] for row in find_spans(field, column.tolist())], dtype=object)
+
+    return F.pandas_udf(find, SPANS).asNondeterministic()(text)
 
 
 def find_personal_data(docs: DataFrame, field: Field | None = None, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carry`` columns and ``pii``: the spans (kind, start, end, base) of every row, in code points, end exclusive."""
-    field = field or default_field()
-    given = docs.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)], F.col(text_col).alias("_text"))
-    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in given.schema if f.name != "_text")
-    kept = [f"_c{k}" for k in range(len(carry))]
-    found = given.mapInPandas(_finder(field, kept), f"{fields}pii array<struct<kind:string,start:long,end:long,base:boolean>>")
-    return found.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(carry)], "pii")
+    """``carry`` columns and ``pii``: the spans of every row (see ``personal_data_of``); the carried columns stay as they are."""
+    return docs.select(*[F.col(c) for c in carry], personal_data_of(F.col(text_col), field).alias("pii"))
 
 
 def mask(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -66,8 +66,8 @@ def op7_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts and the divergence verdict of every document; DataFrame functions only, so partitions aren't counted."""
-    return divergence_rules.quality_rules(tables.documents(spark, sf_dir, deal=False))
+    """Base counts and the divergence verdict of every document; DataFrame functions only."""
+    return divergence_rules.quality_rules(tables.documents(spark, sf_dir))
 
 
 def op9_benchmark_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Secret scanning: patterns propose, a random forest removes false positives.
 
 Candidates are provider key formats, values assigned to names like ``password`` or ``token``, and runs of at least
-``MIN_RUN`` characters of ``[A-Za-z0-9+/_=-]`` with a digit.  Overlapping candidates are one: the earlier, then the longer.
+``MIN_RUN`` characters of ``[A-Za-z0-9+/_=-]`` with a digit or with letters of both cases.  Of overlapping candidates a provider
+format comes before an assigned value and that before a bare run, so the run ``password=abc...`` gives way to the value in it;
+of the same sort the earlier one stays.
 
 Features of a candidate: its length; mean log probability of its character transitions under a word model; changes of
 character class; share of digits, upper case and hexadecimal characters; entropy; the share of its letters that dictionary
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,9 +39,9 @@ TREES, DEPTH, THRESHOLD = 60, 8, 0.5
 CONTEXT, LABELLED = 60, 3000
 
 _FORMATS = re.compile(r"(?<![A-Za-z0-9])(?:A(?:KIA|SIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])")
-_ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api_?key|access_?key|auth)[\"']?[ \t]*[=:][ \t]*[\"']?([^\s\"',;]{6,})")
+_ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ \t]*(?:=>|:=|[=:])[ \t]*[\"']?([^\s\"',;]{6,})")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
-_DIGIT = re.compile("[0-9]")
+_DIGIT, _MIXED = re.compile("[0-9]"), re.compile("(?=[^A-Z]*[A-Z][^A-Z]*[A-Z])[^a-z]*[a-z]")
 _WORD = re.compile(r"[^\W_]+")
 
 #: Words that stand near secrets, and near values that only look like them.
@@ -91,23 +94,24 @@ def features_of(candidate: str, before: str, after: str, path: str | None) -> li
     return [
         float(n), float(np.mean(moves)) if moves else 0.0, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, kinds.count("d") / n, kinds.count("u") / n,
         sum(c in "0123456789abcdef" for c in low) / n, -sum(k / n * math.log2(k / n) for k in counts), sum(candidate[i].isalpha() for i in covered) / max(1, letters),
-        float(bool(_FORMATS.fullmatch(candidate))), float(bool(re.search(r"[=:][ \t]*[\"']?\Z", before))), has(".py", ".js", ".env", ".yml", ".yaml", ".json", ".cfg", ".java", ".sh"), has("test", "example", "sample", "mock"),
+        float(bool(_FORMATS.fullmatch(candidate))), float(bool(re.search(r"(?:=>|[=:])[ \t]*[\"']?\Z", before))), has(".py", ".js", ".env", ".yml", ".yaml", ".json", ".cfg", ".java", ".sh"), has("test", "example", "sample", "mock"),
         has("doc", "readme", ".md"), float(sum(w in SECRET_CUES for w in near)), float(sum(w in HARMLESS_CUES for w in near)), float(sum(w in SECRET_CUES for w in next_words) - sum(w in HARMLESS_CUES for w in next_words)),
         max(counts, default=1) / n, float(candidate.count("-")),
     ]
 
 
 def candidates_of(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the candidates in ``text``."""
-    found = [m.span() for m in _FORMATS.finditer(text)]
+    """(start, end) of the candidates in ``text``, by start."""
+    sorts = [[m.span() for m in _FORMATS.finditer(text)], [], []]
     if "=" in text or ":" in text:
-        found += [m.span(1) for m in _ASSIGNED.finditer(text)]
-    if _DIGIT.search(text):
-        found += [m.span() for m in _RUN.finditer(text) if _DIGIT.search(m.group())]
+        sorts[1] = [m.span(1) for m in _ASSIGNED.finditer(text)]
+    sorts[2] = [m.span() for m in _RUN.finditer(text) if _DIGIT.search(m.group()) or _MIXED.search(m.group())]
     out: list[tuple[int, int]] = []
-    for start, end in sorted(found, key=lambda s: (s[0], -s[1])):
-        if not out or start >= out[-1][1]:
-            out.append((start, end))
+    for found in sorts:
+        # Those of a sort never overlap each other; those taken before are in order, too.
+        starts = [s for s, _ in out]
+        free = [(s, e) for s, e in found if (k := bisect_left(starts, e)) == 0 or out[k - 1][1] <= s]
+        out = sorted(out + free)
     return out
 
 
@@ -151,31 +155,27 @@ def train_forest(spark: SparkSession, findings: list[tuple[str, str, str, str, f
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(table)
 
 
-def _finder(carried: list[str]):
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows, at = [], []
-            for i, (text, path) in enumerate(zip(pdf["_text"], pdf["_path"], strict=True)):
-                if not isinstance(text, str):
-                    continue
-                for start, end in candidates_of(text):
-                    value, before, after = text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
-                    rows.append((start, end, value, features_of(value, before, after, path if isinstance(path, str) else None)))
-                    at.append(i)
-            if not rows:
-                continue
-            out = pdf.iloc[at][carried].reset_index(drop=True)
-            yield pd.concat([out, pd.DataFrame(rows, columns=["start", "end", "candidate", "f"])], axis=1)
+_FOUND = "array<struct<start:long,end:long,candidate:string,f:array<double>>>"
 
-    return find
+
+def _find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, paths in batches:
+        out = []
+        for text, path in zip(texts, paths, strict=True):
+            rows = []
+            for start, end in candidates_of(text or ""):
+                value, before, after = text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
+                rows.append({"start": start, "end": end, "candidate": value, "f": features_of(value, before, after, path)})
+            out.append(rows)
+        yield pd.Series(out, dtype=object)
 
 
 def scan_secrets(docs: DataFrame, model: RandomForestClassificationModel, text_col: str = "text", path_col: str = "source", carry: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
     """``carry`` columns, ``start``, ``end`` (code points, end exclusive), ``candidate``, ``score`` and ``is_secret`` of every candidate."""
     path = F.col(path_col).cast("string") if path_col in docs.columns else F.lit(None).cast("string")
-    given = docs.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)], F.col(text_col).alias("_text"), path.alias("_path"))
-    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in given.schema if f.name not in ("_text", "_path"))
-    found = given.mapInPandas(_finder([f"_c{k}" for k in range(len(carry))]), f"{fields}start long, end long, candidate string, f array<double>")
-    scored = model.transform(found.withColumn("features", array_to_vector("f")))
+    found = F.pandas_udf(_find, _FOUND).asNondeterministic()(F.col(text_col), path)
+    given = docs.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)], found.alias("_found"))
+    each = given.select(*[f"_c{k}" for k in range(len(carry))], F.inline("_found"))
+    scored = model.transform(each.withColumn("features", array_to_vector("f")))
     score = F.round(vector_to_array("probability")[1], 9)
     return scored.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(carry)], "start", "end", "candidate", score.alias("score"), (score >= threshold).alias("is_secret"))

@@ -33,6 +33,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -45,24 +47,28 @@ from partmill.sources.storage import materialize, shared_path
 MAGIC = b"PMPLANE1"
 #: Ids of a block, and ids after which a task begins another shard.
 BLOCK_IDS, SHARD_IDS = 1 << 16, 1 << 24
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers, and characters of short texts that are encoded together.
+REMEMBERED, TOGETHER = 150_000, 1 << 18
 
-#: Of a lower-cased byte: letter 1, digit 2, symbol other than an apostrophe 3, anything else 0.
+#: Of a byte: letter 1, digit 2, symbol other than an apostrophe 3, anything else 0.
 _KIND = np.zeros(256, dtype=np.uint8)
-for _a, _b, _k in ((33, 38, 3), (40, 47, 3), (48, 57, 2), (58, 64, 3), (91, 96, 3), (97, 122, 1), (123, 126, 3)):
+for _a, _b, _k in ((33, 38, 3), (40, 47, 3), (48, 57, 2), (58, 64, 3), (65, 90, 1), (91, 96, 3), (97, 122, 1), (123, 126, 3)):
     _KIND[_a : _b + 1] = _k
+_MARK = regex.compile(r"\p{M}")
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
 #: How a tokenizer must split for its words to be encoded one by one.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def splits_words(path: str) -> bool:
-    """Whether the tokenizer lower-cases and encodes runs of letters, digits and runs of symbols each for itself."""
+    """Whether the tokenizer lower-cases and encodes runs of letters, digits and runs of symbols each for itself, and looks for
+    its added tokens in the raw text only."""
     with open(path) as f:
         model = json.load(f)
     steps = lambda x: x.get("normalizers") or x.get("pretokenizers") or [x]
     normal, split = steps(model["normalizer"] or {}), steps(model["pre_tokenizer"] or {})
+    if any(t["normalized"] for t in model["added_tokens"]):
+        return False
     return [x.get("type") for x in normal] == ["NFC", "Replace", "Lowercase"] and split[0].get("pattern") == {"Regex": _WORDS} and split[0].get("behavior") == "Removed"
 
 
@@ -70,7 +76,9 @@ class WordEncoder:
     """Ids of whole texts, remembering the ids of words.
 
     A tokenizer that ``splits_words`` never joins across white space nor between ASCII letters, digits and symbols, so a
-    text's ids are those of such words end to end.  Any other tokenizer is given whole texts.
+    text's ids are those of such words end to end.  Words are looked up in lower case, but in texts with combining marks:
+    there composing comes before lower-casing and can change its outcome.  A text that holds an added token, and every text
+    of any other tokenizer, is encoded whole.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -78,7 +86,7 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.remembered, self.by_word = remembered, splits_words(path)
         # For a word of lower-case letters, normalising and splitting change nothing.
         self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -114,16 +122,27 @@ class WordEncoder:
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
         self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
 
+    def _encode_some_whole(self, texts: Sequence[str | None], whole: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)]
+        rest, counts = self.encode([None if k in set(whole) else t for k, t in enumerate(texts)]) if len(whole) < len(texts) else (np.zeros(0, np.uint32), np.zeros(len(texts), np.int64))
+        parts = np.split(rest, np.cumsum(counts)[:-1])
+        for k, ids in zip(whole, found, strict=True):
+            parts[k], counts[k] = ids, len(ids)
+        return np.concatenate(parts), counts
+
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, end to end, and how many each has."""
-        if not self.by_word:
-            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-            return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
+        whole = [k for k, t in enumerate(texts) if t and (not self.by_word or any(x in t for x in self.added))]
+        if whole:
+            return self._encode_some_whole(texts, whole)
         words: list[bytes] = []
         per_text = np.zeros(len(texts), dtype=np.int64)
         for k, text in enumerate(texts):
             if text:
-                a = np.frombuffer(text.encode().lower(), dtype=np.uint8)
+                raw = text.encode()
+                a = np.frombuffer(raw, dtype=np.uint8)
+                if a.max() < 0xCC or not _MARK.search(text):  # below U+0300 there are none
+                    a = np.frombuffer(raw.lower(), dtype=np.uint8)
                 kind = _KIND[a]
                 left, right = kind[:-1], kind[1:]
                 at = np.flatnonzero((left != 0) & (right != 0) & ((left != right) | (left == 2))) + 1
@@ -272,13 +291,13 @@ class ShardReader:
 
 
 def _writer(folder: str, tokenizer: str, end_id: int, kind: str, block_ids: int, shard_ids: int):
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, seq = TaskContext.get().partitionId(), None, 0
         encode = encoder(tokenizer).encode
-        done = lambda s: pd.DataFrame([(part, seq, s.uri, len(s.doc_ids), s.n_ids)], columns=["part", "seq", "path", "n_docs", "n_ids"])
-        for pdf in batches:
-            texts, doc_ids = pdf["text"].tolist(), [None if pd.isna(d) else int(d) for d in pdf["doc_id"]]
-            for lo, hi in pieces(texts):
+        done = lambda s: pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "path": s.uri, "n_docs": len(s.doc_ids), "n_ids": s.n_ids}])
+        for batch in batches:
+            texts, doc_ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+            for lo, hi in pieces(texts, TOGETHER):
                 ids, counts = encode(texts[lo:hi])
                 ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
                 shard = shard or ShardWriter(f"{folder}/{part:06d}-{seq:04d}-{uuid.uuid4().hex}.ids", kind, block_ids)
@@ -303,7 +322,7 @@ def write_token_shards(
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
     ordered = given.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     folder = shared_path(spark, "token-shards")
-    written = ordered.mapInPandas(_writer(folder, tokenizer, end_id, kind, block_ids, shard_ids), "part long, seq long, path string, n_docs long, n_ids long")
+    written = ordered.mapInArrow(_writer(folder, tokenizer, end_id, kind, block_ids, shard_ids), "part long, seq long, path string, n_docs long, n_ids long")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     manifest = materialize(written, "token-manifest")
     return materialize(manifest.withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).drop("part", "seq"), "token-manifest")

@@ -121,8 +121,8 @@ def index_rules(rules: Sequence[Rule], frequency: dict[str, int]) -> tuple[dict[
     return index, loose
 
 
-def _judge(index: dict[str, list[Rule]], loose: list[Rule], carried: list[str]):
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _judge(index: dict[str, list[Rule]], loose: list[Rule]):
+    def judge(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         compiled: dict[str, re.Pattern] = {}
 
         def fits(rule: Rule, text: str) -> bool:
@@ -131,9 +131,9 @@ def _judge(index: dict[str, list[Rule]], loose: list[Rule], carried: list[str]):
             return compiled[rule.pattern].search(text) is not None
 
         known = frozenset(index)
-        for pdf in batches:
-            patterns, actions = [], []
-            for text, pattern, action in zip(pdf["_text"], pdf["_pattern"], pdf["_action"], strict=True):
+        for texts, so_far, its_action in batches:
+            found: list[tuple[str | None, str | None]] = []
+            for text, pattern, action in zip(texts, so_far, its_action, strict=True):
                 best = Rule(pattern, action) if isinstance(pattern, str) else None
                 candidates = [r for t in known.intersection(_TOKEN.findall(text)) for r in index[t]]
                 for rule in sorted({*candidates, *loose}, key=lambda r: r.rank, reverse=True):
@@ -142,24 +142,31 @@ def _judge(index: dict[str, list[Rule]], loose: list[Rule], carried: list[str]):
                     if fits(rule, text):
                         best = rule
                         break
-                patterns.append(best.pattern if best else None)
-                actions.append(best.action if best else None)
-            yield pdf[carried].assign(_text=pdf["_text"], _pattern=patterns, _action=actions)
+                found.append((best.pattern, best.action) if best else (None, None))
+            yield pd.DataFrame(found, columns=["pattern", "action"], dtype=object)
 
     return judge
 
 
+def read_rules(table: DataFrame) -> list[Rule]:
+    """The rules of a table (pattern, action: "block" or "allow"), e.g. a filter list of thousands; rows with nulls are skipped.
+    Rules are a parameter: they come to the driver."""
+    rows = table.select("pattern", "action").where("pattern is not null and pattern <> '' and action in ('block', 'allow')").distinct()
+    return [Rule(r["pattern"], r["action"]) for r in rows.orderBy("pattern", "action").collect()]
+
+
 def judge_urls(urls: DataFrame, rules: Sequence[Rule], url_col: str = "url", carry: tuple[str, ...] = ("page_id",), rules_per_pass: int = RULES_PER_PASS) -> DataFrame:
     """``carry`` columns, ``host``, ``path``, ``rule`` (the fitting host rule's name, or null), ``pattern`` (that of the
     winning rule of any kind, or null) and ``verdict`` of every row."""
     host, path, rest = url_parts(F.col(url_col))
     given = urls.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)], host.alias("_host"), path.alias("_path"), F.concat(host, rest).alias("_text"))
-    given = given.withColumns({"_pattern": F.lit(None).cast("string"), "_action": F.lit(None).cast("string")})
+    given = given.withColumn("_best", F.struct(F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("string").alias("action")))
     frequency = token_frequencies(urls, url_col, rules)
-    kept = [*[f"_c{k}" for k in range(len(carry))], "_host", "_path"]
     for lo in range(0, len(rules), rules_per_pass):
         index, loose = index_rules(rules[lo : lo + rules_per_pass], frequency)
-        given = given.mapInPandas(_judge(index, loose, kept), given.schema)
+        better = F.pandas_udf(_judge(index, loose), "pattern string, action string").asNondeterministic()
+        given = given.withColumn("_best", better("_text", "_best.pattern", "_best.action"))
+    given = given.withColumns({"_pattern": F.col("_best.pattern"), "_action": F.col("_best.action")})
     default = F.when(F.col("_host") == "", "block").otherwise("allow")
     return given.select(
         *[F.col(f"_c{k}").alias(c) for k, c in enumerate(carry)],

@@ -29,6 +29,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,13 +116,12 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, digest: s
 
 
 def _writer(folder: str, segment_bytes: int, archive_bytes: int):
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, uri, size = None, "", 0
-        number = lambda x: None if pd.isna(x) else int(x)
-        for pdf in batches:
-            for page_id, url, payload, digest, refers, to_id, to_url in zip(*(pdf[c] for c in ("page_id", "url", "payload", "digest", "refers", "to_id", "to_url")), strict=True):
-                text = lambda x: x if isinstance(x, str) else None
-                for record in page_records(number(page_id), text(url), payload, digest, (number(to_id), text(to_url)) if refers else None, segment_bytes):
+        done = lambda: pa.RecordBatch.from_pydict({"path": [uri], "bytes": [size]})
+        for batch in batches:
+            for page_id, url, payload, digest, refers, to_id, to_url in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers", "to_id", "to_url")), strict=True):
+                for record in page_records(page_id, url, payload, digest, (to_id, to_url) if refers else None, segment_bytes):
                     if file is None:
                         uri, size = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
                         file = blobs.create(uri)
@@ -129,11 +129,11 @@ def _writer(folder: str, segment_bytes: int, archive_bytes: int):
                     size += len(record)
                     if size >= archive_bytes:
                         file.close()
-                        yield pd.DataFrame({"path": [uri], "bytes": [size]})
+                        yield done()
                         file = None
         if file is not None:
             file.close()
-            yield pd.DataFrame({"path": [uri], "bytes": [size]})
+            yield done()
 
     return write
 
@@ -148,7 +148,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     refers = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top.page_id"))
     marked = given.join(alike, "digest", "left").withColumn("refers", refers)
     marked = marked.select("page_id", "url", F.when(F.col("refers"), F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "digest", "refers", F.col("top.page_id").alias("to_id"), F.col("top.url").alias("to_url"))
-    written = marked.mapInPandas(_writer(shared_path(spark, "warc"), segment_bytes, archive_bytes), "path string, bytes long")
+    written = marked.mapInArrow(_writer(shared_path(spark, "warc"), segment_bytes, archive_bytes), "path string, bytes long")
     return materialize(written, "warc-manifest")
 
 
@@ -175,19 +175,17 @@ def records_of(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 _SCHEMA = "record_id string, page_id long, url string, type string, refers_record string, digest string, origin string, number long, total long, block binary"
-_COLUMNS = [x.split()[0] for x in _SCHEMA.split(", ")]
+_KINDS = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+_ARROW = pa.schema([(name, _KINDS[kind]) for name, kind in (x.split() for x in _SCHEMA.split(", "))])
 
 
 def _reader(segments: bool):
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def frame(rows: list) -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=_COLUMNS)
-            for c in ("page_id", "number", "total"):
-                out[c] = out[c].astype("Int64")
-            return out
-
-        for pdf in batches:
-            for path in pdf["path"]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def frame(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
                 rows, size = [], 0
                 for f, block in records_of(path):
                     if ("warc-segment-number" in f) != segments:
@@ -207,24 +205,23 @@ def _reader(segments: bool):
     return read
 
 
-def assemble(parts: list[tuple[int, int | None, bytes]]) -> tuple[bytes | None, str | None, int]:
-    """(block, problem, times written) of the segments ``(number, total length or None, block)`` of one record, in any order."""
+def assemble(parts: list[tuple[int, int | None, bytes]]) -> tuple[bytes | None, str | None]:
+    """(block, problem) of the segments ``(number, total length or None, block)`` of one record, in any order."""
     by_number = {n: b for n, _, b in parts}
     totals = {t for _, t, _ in parts if t is not None and not pd.isna(t)}
-    times = max(1, min(sum(n == k for n, _, _ in parts) for k in by_number))
     if len(totals) != 1:
-        return None, "no last segment" if not totals else "several total lengths", times
+        return None, "no last segment" if not totals else "several total lengths"
     if sorted(by_number) != list(range(1, len(by_number) + 1)):
-        return None, "missing segment", times
+        return None, "missing segment"
     block = b"".join(by_number[n] for n in sorted(by_number))
-    return (block, None, times) if len(block) == totals.pop() else (None, "wrong total length", times)
+    return (block, None) if len(block) == totals.pop() else (None, "wrong total length")
 
 
-def _decoder(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for page_id, rec, kind, refers, digest, parts, url in zip(*(pdf[c] for c in ("page_id", "record_id", "type", "refers_record", "digest", "parts", "url")), strict=True):
-            block, problem, times = assemble([(p["number"], p["total"], p["block"]) for p in parts])
+def _decode(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for kinds, digests, segments in batches:
+        rows: list[tuple[bytes | None, str | None]] = []
+        for kind, digest, parts in zip(kinds, digests, segments, strict=True):
+            block, problem = assemble([(p["number"], p["total"], p["block"]) for p in parts])
             payload = None
             if block is not None and kind != "revisit":
                 try:
@@ -232,27 +229,29 @@ def _decoder(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     problem = None if digest is None or hashlib.sha1(payload).hexdigest() == digest else "wrong digest"
                 except ValueError as e:
                     problem = str(e)
-            rows += [(rec, page_id, url, kind, refers, digest, payload, problem)] * times
-        if not rows:
-            continue
-        out = pd.DataFrame(rows, columns=["record_id", "page_id", "url", "type", "refers_record", "digest", "payload", "problem"])
-        yield out.assign(page_id=out["page_id"].astype("Int64"))
+            rows.append((payload, problem))
+        yield pd.DataFrame(rows, columns=["payload", "problem"], dtype=object)
 
 
-_DECODED = "record_id string, page_id long, url string, type string, refers_record string, digest string, payload binary, problem string"
+_HEAD = ("page_id", "url", "type", "refers_record", "digest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
     """(record_id, page_id, url, type, refers_record, digest, payload, problem) of every response and revisit record of the
-    archives in ``manifest`` (column ``path``); revisits have a null payload."""
+    archives in ``manifest`` (column ``path``); revisits have a null payload.
+
+    Records that are alike in all have one identifier: of each of its segments one copy is kept and counted, so that no more
+    than one record's segments ever come together, and the record comes back as often as its rarest segment was written."""
     archives = manifest.select("path").repartition(max(1, min(manifest.count(), 20_000)))
     part = F.struct(F.coalesce("number", F.lit(1).cast("long")).alias("number"), F.coalesce("total", F.when(F.col("number").isNull(), F.length("block"))).cast("long").alias("total"), "block")
-    single = archives.mapInPandas(_reader(segments=False), _SCHEMA).select("record_id", "page_id", "url", "type", "refers_record", "digest", F.array(part).alias("parts"))
-    cut = archives.mapInPandas(_reader(segments=True), _SCHEMA)
-    first = F.struct("number", "page_id", "url", "type", "digest", "refers_record")
-    joined = cut.groupBy("origin").agg(F.min(first).alias("f"), F.collect_list(part).alias("parts"))
-    joined = joined.select(F.col("origin").alias("record_id"), "f.page_id", "f.url", "f.type", "f.refers_record", "f.digest", "parts")
-    return single.unionByName(joined).mapInPandas(_decoder, _DECODED)
+    single = archives.mapInArrow(_reader(segments=False), _SCHEMA).select("record_id", *_HEAD, F.array(part).alias("parts"), F.lit(1).cast("long").alias("times"))
+    cut = archives.mapInArrow(_reader(segments=True), _SCHEMA)
+    once = cut.groupBy("origin", "number").agg(F.first(part).alias("part"), F.min(F.struct(*_HEAD)).alias("head"), F.count("*").alias("times"))
+    joined = once.groupBy("origin").agg(F.min(F.struct("number", "head")).alias("f"), F.collect_list("part").alias("parts"), F.min("times").alias("times"))
+    joined = joined.select(F.col("origin").alias("record_id"), "f.head.*", "parts", "times")
+    decoded = F.pandas_udf(_decode, "payload binary, problem string").asNondeterministic()("type", "digest", "parts")
+    each = single.unionByName(joined).select("record_id", *_HEAD, "times", decoded.alias("d")).select("record_id", *_HEAD, "d.*", "times")
+    return each.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times")
 
 
 def describe_records(records: DataFrame) -> DataFrame:
