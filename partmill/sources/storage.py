@@ -41,7 +41,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and returns the table read back: one copy of the work, no lineage."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
