@@ -13,9 +13,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without a recognisable language go; ``lang`` is kept where it is known and else filled with the prediction."""
     tables.prepare(spark)
     profiles = language_id.learn_profiles(docs.where(~language_id.held_out()))
-    known = language_id.predict_languages(docs, profiles, carry=tuple(docs.columns), keep_text=True)
-    kept = known.where(F.col("lang_pred") != language_id.UNKNOWN).withColumn("lang", F.coalesce("lang", "lang_pred"))
-    return kept.select(docs.columns)
+    found = tables.free_name(docs, "_language")
+    known = docs.withColumn(found, language_id.language_of(F.col("text"), profiles)).where(F.col(f"{found}.lang") != language_id.UNKNOWN)
+    return known.withColumn("lang", F.coalesce("lang", f"{found}.lang")).select(tables.columns_of(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
