@@ -2,16 +2,43 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Letters that the search folds, and what they become.
-ACCENTED, PLAIN = "áéíóúüñÁÉÍÓÚÜÑ", "aeiouunAEIOUUN"
+ACCENTED = "ÁÀÂÄÉÈÊËÍÌÎÏÓÒÔÖÚÙÛÜÑáàâäéèêëíìîïóòôöúùûüñ"
+PLAIN = "AAAAEEEEIIIIOOOOUUUUNaaaaeeeeiiiioooouuuun"
+#: Words that join a search but name nothing; words that a search uses; least length of a code.
+FILLER = ("DE", "LA", "LAS", "EL", "LOS", "PARA", "CON", "Y", "EN", "POR", "UN", "UNA")
+MAX_WORDS, MIN_SEARCH = 8, 4
+#: Letters and the marks that compose with them to a letter of ``ACCENTED``.
+_COMPOSED = "([AEIOUaeiou])[̀́̂̈]|([Nn])̃"
+
+
+def _latin_letters() -> tuple[str, str]:
+    """Every Latin letter of U+00C0 to U+1EFF that is an ASCII letter with marks, and that letter."""
+    found = {}
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        base, *marks = unicodedata.normalize("NFKD", c)
+        if base.isascii() and base.isalpha() and marks and all(map(unicodedata.combining, marks)):
+            found[c] = base
+    return "".join(found), "".join(found.values())
+
+
+MARKED, UNMARKED = _latin_letters()
 
 
 def fold(text: Column) -> Column:
-    """Search folding: accents off, upper case."""
-    return F.upper(F.translate(text, ACCENTED, PLAIN))
+    """Search folding: the accents of ``ACCENTED`` off, composed or not, upper case."""
+    return F.upper(F.translate(F.regexp_replace(text, _COMPOSED, "$1$2"), ACCENTED, PLAIN))
+
+
+def wide_fold(text: Column) -> Column:
+    """The wider folding: all marks off Latin letters, upper case, single spaces."""
+    plain = F.regexp_replace(F.translate(F.upper(text), MARKED, UNMARKED), r"\p{M}", "")
+    return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
 def compact(text: Column) -> Column:
@@ -35,6 +62,46 @@ def snippet(text: Column, limit: int = 140) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 1), F.lit("…"))).otherwise(text)
 
 
+def search_words(text: Column) -> Column:
+    """The words that must each match: folded, without bare punctuation, the first ``MAX_WORDS``; filler goes unless nothing
+    else is left."""
+    words = F.slice(F.filter(F.split(F.trim(fold(text)), r"\s+"), lambda w: compact(w) != ""), 1, MAX_WORDS)
+    named = F.filter(words, lambda w: ~w.isin(*FILLER))
+    return F.when(F.size(named) > 0, named).otherwise(words)
+
+
+def search_key(text: Column) -> Column:
+    """The whole search without separators where it reads as a code: a digit and ``MIN_SEARCH`` characters; else empty."""
+    key = compact(fold(text))
+    return F.when((F.length(key) >= MIN_SEARCH) & key.rlike("[0-9]"), key).otherwise("")
+
+
+def padded(values: Column) -> Column:
+    """`` A B ``: each value once, in order, a space on both sides; empty without values."""
+    values = F.array_distinct(F.filter(values, lambda v: F.coalesce(v != "", F.lit(False))))
+    return F.when(F.size(values) > 0, F.concat(F.lit(" "), F.array_join(values, " "), F.lit(" "))).otherwise("")
+
+
+def has_token(padded_values: Column, value: Column) -> Column:
+    """Whether a padded list has exactly this value."""
+    return F.contains(padded_values, F.concat(F.lit(" "), value, F.lit(" ")))
+
+
+def brand_key(name: Column) -> Column:
+    """Trimmed, upper case, single spaces; empty for null."""
+    return F.coalesce(F.regexp_replace(F.upper(F.trim(F.regexp_replace(name, r"\s", " "))), " +", " "), F.lit(""))
+
+
+def header(text: Column) -> Column:
+    """A column title: folded, words joined by underscores; empty for null."""
+    return F.coalesce(F.replace(wide_fold(text), F.lit(" "), F.lit("_")), F.lit(""))
+
+
+def citation_title(citation: Column) -> Column:
+    """What stands before the page of a citation."""
+    return F.trim(F.split(F.coalesce(citation, F.lit("")), " · pág\\.")[0])
+
+
 def sql_fold(x: str) -> str:
     return f"upper(translate({x}, '{ACCENTED}', '{PLAIN}'))"
 
