@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partmill.plans import availability, catalog, dashboard, ledger, matching, orders, pricing, quality, review, texts
+from partmill.plans import availability, catalog, dashboard, ledger, matching, orders, pricing, quality, review, texts, writes
 
-_MODULES = (availability, dashboard, catalog, orders, ledger, pricing, matching, quality, review, texts)
+_MODULES = (availability, dashboard, catalog, orders, ledger, pricing, matching, quality, review, texts, writes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
