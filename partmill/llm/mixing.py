@@ -27,6 +27,8 @@ from partmill.sources.storage import materialize
 
 MARGINALS = ("source", "lang", "topic")
 FLATTEN, BUDGET, ROUNDS, TOLERANCE = 0.7, 0.75, 200, 1e-5
+#: Cells of one task.
+CELLS = 1 << 19
 #: Candidate scales tried in one pass over the cells, and passes.
 _SCALES, _PASSES = 64, 4
 
@@ -59,44 +61,43 @@ def cell_columns(id_col: str = "doc_id", text_col: str = "text", source_col: str
 
 def flattened_targets(cells: DataFrame, flatten: float = FLATTEN) -> dict[str, DataFrame]:
     """Marginal -> (value, share): today's shares to the power ``flatten``, rescaled."""
-    out = {}
-    for m in MARGINALS:
-        sizes = cells.groupBy(F.col(m).alias("value")).agg(F.sum("tokens").alias("n"))
-        raised = sizes.select("value", F.pow(F.col("n").cast("double"), F.lit(flatten)).alias("share"))
-        out[m] = materialize(raised, f"mix-target-{m}")
-    return out
+    raised = F.pow(F.sum("tokens").cast("double"), F.lit(flatten)).alias("share")
+    return {m: cells.groupBy(F.col(m).alias("value")).agg(raised) for m in MARGINALS}
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
-    """``cells`` (source, lang, topic, tokens) with ``raked``: tokens after fitting, with the sum they had before; and the
-    largest change of a cell, as a share of itself, in the last round.
+    """``cells`` (source, lang, topic, tokens) with ``raked``: tokens after fitting, with the sum they had before; and how
+    far, as a share of what it should be, a marginal was off in the last round.
 
     Rounds go on until that is below ``tolerance``.  Targets that contradict each other never get there: after ``rounds`` a
     warning says so, and the marginal fitted last is met.  A round is one job over the cells, which are written after it."""
+    parts = max(1, -(-cells.count() // CELLS))
+    cells = cells.coalesce(parts)  # a table that fits in one task needs no exchange to be summed and joined
     total = cells.agg(F.sum("tokens").cast("double")).first()[0]
     if not total:
         return cells.withColumn("raked", F.lit(0.0)), 0.0
-    wanted = {}
+    now = cells.withColumn("raked", F.col("tokens").cast("double"))
     for m in MARGINALS:
-        there = targets[m].where("share > 0").join(cells.select(F.col(m).alias("value")).distinct(), "value", "left_semi")
+        there = targets[m].where("share > 0").join(cells.select(F.col(m).alias("value")).distinct().hint("merge"), "value", "left_semi")
         shares = there.agg(F.sum("share")).first()[0] or 1.0
-        wanted[m] = materialize(there.select(F.col("value").alias(m), (F.col("share") / shares * total).alias("want")), f"mix-want-{m}")
-    now, change = cells.withColumn("raked", F.col("tokens").cast("double")), 0.0
+        want = there.select(F.col("value").alias(m), (F.col("share") / shares * total).alias(f"want_{m}"))
+        now = now.join(want.hint("merge"), m, "left").withColumn(f"want_{m}", F.coalesce(f"want_{m}", F.lit(0.0)))
+    # Every cell carries what its marginals shall have, so a round joins it with sums only.
+    now, change = materialize(now, "mix-cells").coalesce(parts), 0.0
     for _ in range(rounds):
-        new = now.withColumn("before", F.col("raked"))
+        new = now.withColumn("off", F.lit(0.0))
         for m in MARGINALS:
-            have = new.groupBy(m).agg(F.sum("raked").alias("have"))
-            factor = have.join(wanted[m], m, "left").select(m, F.when(F.col("have") > 0, F.coalesce("want", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias("factor"))
-            new = new.join(factor, m).withColumn("raked", F.col("raked") * F.col("factor")).drop("factor")
+            new = new.join(new.groupBy(m).agg(F.sum("raked").alias("have")).hint("merge"), m, "left")
+            new = new.withColumn("factor", F.when(F.col("have") > 0, F.col(f"want_{m}") / F.col("have")))
+            new = new.withColumns({"raked": F.coalesce(F.col("raked") * F.col("factor"), F.lit(0.0)), "off": F.greatest("off", F.abs(F.col("factor") - 1))}).drop("have", "factor")
         seen = Observation()
-        moved = F.max(F.when(F.col("before") > 0, F.abs(F.col("raked") / F.col("before") - 1)))
-        now = materialize(new.observe(seen, moved.alias("change")).select(*cells.columns, "raked"), "mix-cells")
-        change = seen.get["change"] or 0.0
+        now = materialize(new.observe(seen, F.max("off").alias("off")).select(now.columns), "mix-cells").coalesce(parts)
+        change = seen.get["off"] or 0.0
         if change < tolerance:
             break
     else:
-        warnings.warn(f"raking stopped after {rounds} rounds, the last of which still changed a cell by {change:.2g} of itself", stacklevel=2)
-    return now, change
+        warnings.warn(f"raking stopped after {rounds} rounds, in the last of which a marginal was still off by {change:.2g}", stacklevel=2)
+    return now.select(*cells.columns, "raked"), change
 
 
 def common_scale(raked: DataFrame, budget: float = BUDGET) -> float:
@@ -120,6 +121,7 @@ def common_scale(raked: DataFrame, budget: float = BUDGET) -> float:
 
 def fit_mix(cells: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, flatten: float = FLATTEN) -> DataFrame:
     """(source, lang, topic, weight, probability, converged) of every cell of ``cells`` (source, lang, topic, tokens)."""
+    cells = cells.coalesce(max(1, -(-cells.count() // CELLS)))
     raked, change = rake(cells, targets or flattened_targets(cells, flatten))
     weight = F.col("raked") / F.col("tokens")
     converged = F.lit(change < TOLERANCE).alias("converged")
