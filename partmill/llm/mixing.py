@@ -27,6 +27,8 @@ from partmill.sources.storage import materialize
 
 MARGINALS = ("source", "lang", "topic")
 FLATTEN, BUDGET, ROUNDS, TOLERANCE = 0.7, 0.75, 200, 1e-5
+#: How far a marginal that counts as met may be off, as a share.
+MET = 1e-3
 #: Cells of one task.
 CELLS = 1 << 19
 #: Candidate scales tried in one pass over the cells, and passes.
@@ -69,8 +71,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     """``cells`` (source, lang, topic, tokens) with ``raked``: tokens after fitting, with the sum they had before; and how
     far, as a share of what it should be, a marginal was off in the last round.
 
-    Rounds go on until that is below ``tolerance``.  Targets that contradict each other never get there: after ``rounds`` a
-    warning says so, and the marginal fitted last is met.  A round is one job over the cells, which are written after it."""
+    Rounds go on until one moves no cell by ``tolerance`` of itself.  Targets that contradict each other then still leave some
+    marginal off: a warning says so, and the marginal fitted last is met.  A round is one job over the cells, written after it."""
     parts = max(1, -(-cells.count() // CELLS))
     cells = cells.coalesce(parts)  # a table that fits in one task needs no exchange to be summed and joined
     total = cells.agg(F.sum("tokens").cast("double")).first()[0]
@@ -83,21 +85,22 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
         want = there.select(F.col("value").alias(m), (F.col("share") / shares * total).alias(f"want_{m}"))
         now = now.join(want.hint("merge"), m, "left").withColumn(f"want_{m}", F.coalesce(f"want_{m}", F.lit(0.0)))
     # Every cell carries what its marginals shall have, so a round joins it with sums only.
-    now, change = materialize(now, "mix-cells").coalesce(parts), 0.0
+    now, off = materialize(now, "mix-cells").coalesce(parts), 0.0
     for _ in range(rounds):
-        new = now.withColumn("off", F.lit(0.0))
+        new = now.withColumns({"before": F.col("raked"), "off": F.lit(0.0)})
         for m in MARGINALS:
             new = new.join(new.groupBy(m).agg(F.sum("raked").alias("have")).hint("merge"), m, "left")
             new = new.withColumn("factor", F.when(F.col("have") > 0, F.col(f"want_{m}") / F.col("have")))
             new = new.withColumns({"raked": F.coalesce(F.col("raked") * F.col("factor"), F.lit(0.0)), "off": F.greatest("off", F.abs(F.col("factor") - 1))}).drop("have", "factor")
         seen = Observation()
-        now = materialize(new.observe(seen, F.max("off").alias("off")).select(now.columns), "mix-cells").coalesce(parts)
-        change = seen.get["off"] or 0.0
-        if change < tolerance:
+        moved = F.max(F.when(F.col("before") > 0, F.abs(F.col("raked") / F.col("before") - 1)))
+        now = materialize(new.observe(seen, F.max("off").alias("off"), moved.alias("moved")).select(now.columns), "mix-cells").coalesce(parts)
+        off = seen.get["off"] or 0.0
+        if (seen.get["moved"] or 0.0) < tolerance:
             break
-    else:
-        warnings.warn(f"raking stopped after {rounds} rounds, in the last of which a marginal was still off by {change:.2g}", stacklevel=2)
-    return now.select(*cells.columns, "raked"), change
+    if off >= MET:
+        warnings.warn(f"raking stopped with a marginal off by {off:.2g} of what it should be: the targets contradict each other, or {rounds} rounds are too few", stacklevel=2)
+    return now.select(*cells.columns, "raked"), off
 
 
 def common_scale(raked: DataFrame, budget: float = BUDGET) -> float:
@@ -122,9 +125,9 @@ def common_scale(raked: DataFrame, budget: float = BUDGET) -> float:
 def fit_mix(cells: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, flatten: float = FLATTEN) -> DataFrame:
     """(source, lang, topic, weight, probability, converged) of every cell of ``cells`` (source, lang, topic, tokens)."""
     cells = cells.coalesce(max(1, -(-cells.count() // CELLS)))
-    raked, change = rake(cells, targets or flattened_targets(cells, flatten))
+    raked, off = rake(cells, targets or flattened_targets(cells, flatten))
     weight = F.col("raked") / F.col("tokens")
-    converged = F.lit(change < TOLERANCE).alias("converged")
+    converged = F.lit(off < MET).alias("converged")
     fitted = raked.select(*MARGINALS, weight.alias("weight"), F.least(F.lit(1.0), weight * common_scale(raked, budget)).alias("probability"), converged)
     return materialize(fitted, "mix-weights")
 
