@@ -141,8 +141,12 @@ def hash_sample(spark, sf):
 
 
 def content_fingerprint(spark, sf):
-    row = F.concat_ws("|", F.col("part_id").cast("string"), "code", "band")
-    return search_documents(spark, sf).groupBy("brand").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), "\n"), 256).alias("fingerprint"))
+    """A digest of each brand's rows, whatever their order: rows are hashed, then the sorted hashes of each of 256 buckets, then
+    the buckets' digests, so no list holds a whole brand."""
+    row = F.sha2(F.concat_ws("|", F.col("part_id").cast("string"), "code", "band"), 256)
+    hashed = search_documents(spark, sf).select("brand", row.alias("h")).withColumn("bucket", F.substring("h", 1, 2))
+    buckets = hashed.groupBy("brand", "bucket").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("h"))
+    return buckets.groupBy("brand").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), "\n"), 256).alias("fingerprint"))
 
 
 def vocabulary(spark, sf):
@@ -192,7 +196,8 @@ QUERIES = {
     "stable_sort_alias": (stable_sort_alias, _twin("part_id, brand, units AS stock", "", f"ORDER BY brand NULLS FIRST, units NULLS FIRST, part_id LIMIT {PAGE}")),
     "codepoint_sort": (codepoint_sort, _twin("name, part_id", "", f"ORDER BY name, part_id LIMIT {PAGE}")),
     "hash_sample": (hash_sample, _twin("part_id, md5(CAST(part_id AS VARCHAR)) AS digest", "", f"ORDER BY digest LIMIT {PAGE}")),
-    "content_fingerprint": (content_fingerprint, _twin("brand, sha256(string_agg(x, chr(10) ORDER BY x)) AS fingerprint", "", "GROUP BY 1").replace("FROM doc", "FROM (SELECT *, concat(part_id, '|', code, '|', band) AS x FROM doc)")),
+    "content_fingerprint": (content_fingerprint, _DOC + """, h AS (SELECT brand, sha256(concat(part_id, '|', code, '|', band)) AS h FROM doc), b AS (SELECT brand, substr(h, 1, 2) AS bucket, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM h GROUP BY 1, 2)
+        SELECT brand, sha256(string_agg(h, chr(10) ORDER BY bucket)) AS fingerprint FROM b GROUP BY 1"""),
     "vocabulary": (vocabulary, _DOC + ", w AS (SELECT part_id, unnest(list_distinct(string_split(text, ' '))) AS word FROM doc) SELECT word, COUNT(*) AS parts FROM w GROUP BY 1"),
     "status_case": (status_case, _twin("CASE WHEN merged_into IS NOT NULL THEN 'merged' WHEN units IS NULL THEN 'draft' WHEN units = 0 THEN 'empty' ELSE 'live' END AS status, COUNT(*) AS n", "", "GROUP BY 1")),
     "scope_own_parts": (scope_own_parts, _twin("part_id, band", "part_id IN (SELECT part_id FROM item WHERE supplier_id IN (1, 2, 3))")),

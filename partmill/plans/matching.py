@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from partmill.functions.parts import code_tokens
 from partmill.functions.text import compact, shape
+from partmill.operators import matching
 from partmill.operators.graph import connected_components
 from partmill.operators.relational import top_row
 from partmill.sources.storage import read_table as t
@@ -83,11 +85,35 @@ def update_from_join(spark, sf):
 
 
 def sequence_siblings(spark, sf):
-    """Customers whose number ends in the same two digits, itself excluded, five at most."""
+    """Customers whose number ends in the same two digits, itself excluded, the five smallest.
+
+    Any of them is among the six smallest of the ending, so customers meet these and not each other."""
     c = t(spark, sf, "customer").select("c_custkey", F.regexp_extract("c_name", "([0-9]{2})$", 1).alias("seq"))
-    a, b = c.alias("a"), c.alias("b")
-    both = a.join(b, (F.col("a.seq") == F.col("b.seq")) & (F.col("a.c_custkey") != F.col("b.c_custkey"))).select(F.col("a.c_custkey").alias("item"), F.col("b.c_custkey").alias("sibling"))
-    return both.withColumn("rn", F.row_number().over(Window.partitionBy("item").orderBy("sibling"))).where("rn <= 5").select("item", "sibling")
+    first = matching.smallest_of_each(c, "seq", "c_custkey", 6).withColumnRenamed("c_custkey", "sibling")
+    both = c.join(first, "seq").where("c_custkey <> sibling").select(F.col("c_custkey").alias("item"), "sibling")
+    return matching.smallest_of_each(both, "item", "sibling", 5)
+
+
+def matching_tiers(spark, sf):
+    """Items (parts of even number) resolved to lines by references (odd parts): keys are names, every third reference is a
+    supplier's own, brands have families of ten."""
+    p = t(spark, sf, "part")
+    number = F.regexp_replace("p_brand", "[^0-9]", "").cast("int")
+    brand = F.when(F.col("p_size") % 4 == 0, "").otherwise(F.col("p_brand"))
+    root = F.when(brand == "", "").otherwise(F.concat(F.lit("F"), F.floor(number / 10).cast("string")))
+    items = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("item_id"), (F.col("p_partkey") % 5).alias("supplier_id"), F.concat_ws("/", "p_name", "p_type").alias("clave"), brand.alias("brand"), root.alias("root"))
+    state = F.when(F.col("p_size") % 7 == 0, "disputa").when(F.col("p_size") % 7 == 1, "otro").otherwise("verificado")
+    refs = p.where("p_partkey % 2 = 1").select(
+        F.col("p_partkey").alias("ref_id"), F.floor(F.col("p_partkey") / 50).cast("long").alias("line_id"), F.concat_ws("/", "p_name", "p_type").alias("clave"), brand.alias("brand"), root.alias("root"),
+        F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey") % 5).alias("supplier_id"), state.alias("state"),
+    )
+    return matching.resolve_items(items, refs)
+
+
+def candidate_pairs(spark, sf):
+    """Parts that share a code token or a long prefix of one, eight for each at most."""
+    code = F.concat_ws(" ", F.concat(F.lit("AB"), (F.col("p_partkey") / 3).cast("long") + 100000, F.lit("-"), F.col("p_size")), F.concat(F.lit("HOT"), F.col("p_size") % 2 + 12345))
+    return matching.candidate_pairs(t(spark, sf, "part").select(F.col("p_partkey").alias("id"), code_tokens(code).alias("tokens")))
 
 
 def mode_per_group(spark, sf):
@@ -160,6 +186,19 @@ QUERIES = {
         FROM part LEFT JOIN (SELECT l_partkey, CAST(MAX(l_quantity) AS INT) AS size FROM lineitem GROUP BY 1) ON l_partkey = p_partkey"""),
     "sequence_siblings": (sequence_siblings, """WITH c AS (SELECT c_custkey, regexp_extract(c_name, '([0-9]{2})$', 1) AS seq FROM customer)
         SELECT a.c_custkey AS item, b.c_custkey AS sibling FROM c a JOIN c b ON a.seq = b.seq AND a.c_custkey <> b.c_custkey QUALIFY row_number() OVER (PARTITION BY a.c_custkey ORDER BY b.c_custkey) <= 5"""),
+    "matching_tiers": (matching_tiers, """WITH p AS (SELECT *, concat(p_name, '/', p_type) AS clave, CASE WHEN p_size % 4 = 0 THEN '' ELSE p_brand END AS brand, CASE WHEN p_size % 4 = 0 THEN '' ELSE concat('F', CAST(regexp_replace(p_brand, '[^0-9]', '', 'g') AS INT) // 10) END AS root FROM part),
+        r AS (SELECT p_partkey AS ref_id, p_partkey // 50 AS line_id, clave, brand, root, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 5 END AS supplier, CASE WHEN p_size % 7 = 0 THEN 'disputa' WHEN p_size % 7 = 1 THEN 'otro' ELSE 'verificado' END AS state FROM p WHERE p_partkey % 2 = 1),
+        j AS (SELECT i.p_partkey AS item_id, i.brand AS ib, r.*, CASE WHEN supplier = i.p_partkey % 5 AND state = 'verificado' AND (r.brand = i.brand) THEN 0 WHEN supplier = i.p_partkey % 5 AND state = 'verificado' AND r.brand = '' THEN 1
+          WHEN supplier = i.p_partkey % 5 AND state = 'verificado' AND i.brand = '' THEN 2 WHEN supplier IS NULL AND i.brand <> '' AND r.brand = i.brand THEN 3 WHEN supplier IS NULL AND (r.brand = '' OR i.brand = '') THEN 4
+          WHEN supplier IS NULL AND r.root = i.root THEN 5 END AS tier FROM p i JOIN r ON r.clave = i.clave WHERE i.p_partkey % 2 = 0),
+        k AS (SELECT *, row_number() OVER (PARTITION BY item_id, tier ORDER BY state <> 'verificado', ib = '' AND brand <> '', ref_id) AS rn FROM j WHERE tier IS NOT NULL QUALIFY tier = MIN(tier) OVER (PARTITION BY item_id)),
+        g AS (SELECT item_id, tier, COUNT(DISTINCT line_id) AS lines, bool_or(state = 'verificado') AS alone, bool_or(state = 'disputa') AS disputed, MAX(line_id) FILTER (rn = 1) AS line_id, MAX(ref_id) FILTER (rn = 1) AS ref_id, bool_or(rn = 1 AND ib = '' AND brand <> '') AS b FROM k GROUP BY 1, 2),
+        a AS (SELECT *, tier < 3 OR (lines = 1 AND alone) AS attach FROM g)
+        SELECT item_id, CASE WHEN tier < 3 THEN 'interna' WHEN attach AND tier = 4 AND b THEN 'marca_de_la_linea' ELSE ['exacta', 'sin_marca', 'familia'][tier - 2] END AS rule, CASE WHEN attach THEN 'attach' ELSE 'case' END AS action,
+          CASE WHEN attach THEN line_id END AS line_id, CASE WHEN attach THEN ref_id END AS ref_id, CASE WHEN NOT attach THEN CASE WHEN disputed THEN 'disputa' ELSE 'lineas' END END AS guard, lines FROM a"""),
+    "candidate_pairs": (candidate_pairs, """WITH k AS (SELECT DISTINCT p_partkey AS id, unnest([concat('AB', p_partkey // 3 + 100000, p_size), concat('^', substr(concat('AB', p_partkey // 3 + 100000, p_size), 1, 8)), concat('HOT', p_size % 2 + 12345), concat('^HOT', p_size % 2 + 12345)]) AS key FROM part),
+        f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY id) <= 9), c AS (SELECT DISTINCT k.id, f.id AS candidate FROM k JOIN f USING (key) WHERE k.id <> f.id)
+        SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY candidate) <= 8"""),
     "mode_per_group": (mode_per_group, "SELECT p_brand, p_type, COUNT(*) AS n FROM part GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) = 1"),
     "loo_vote": (loo_vote, """WITH o AS (SELECT p_partkey, COUNT(*) OVER (PARTITION BY p_name) - 1 AS others, COUNT(*) OVER (PARTITION BY p_name, p_type) - 1 AS agree FROM part)
         SELECT *, CASE WHEN agree >= 5 AND agree / nullif(others, 0) >= 0.8 THEN 'strong' WHEN agree >= 3 AND agree / nullif(others, 0) >= 0.5 THEN 'agree' WHEN others = 0 THEN 'alone' ELSE 'weak' END AS verdict FROM o"""),

@@ -23,7 +23,9 @@ def quotations(spark, sf) -> DataFrame:
 
 
 def latest_revision(spark, sf):
-    last = quotations(spark, sf).groupBy("l_orderkey").agg(F.max_by(F.struct("price", "l_partkey"), "revision").alias("q"), F.max("revision").alias("revision"))
+    """The last revision of every order: the greatest in order and the number of all, so nothing is sorted."""
+    order = F.struct("l_linenumber", "l_partkey", *[c for c in ORDER if c != "l_linenumber"])
+    last = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("revision"), F.max_by(F.struct(F.col("l_extendedprice").cast(MONEY).alias("price"), "l_partkey"), order).alias("q"))
     return last.select("l_orderkey", "revision", "q.price", "q.l_partkey")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partmill.operators.pricing import price_lines
 from partmill.operators.relational import top_row
 from partmill.sources.storage import read_table as t
 
@@ -111,10 +112,36 @@ def price_unpivot(spark, sf):
 
 
 def priced_missing(spark, sf):
-    parts = t(spark, sf, "part").agg(F.count("*").alias("parts"))
+    parts = t(spark, sf, "part").agg(F.count("*")).scalar()
     per = price_unpivot(spark, sf).groupBy("list").agg(F.count_distinct("l_partkey").alias("priced"))
-    total = parts.first()["parts"]
-    return per.select("list", "priced", F.greatest(F.lit(total) - F.col("priced"), F.lit(0)).cast("long").alias("missing"))
+    return per.select("list", "priced", F.greatest(parts - F.col("priced"), F.lit(0)).cast("long").alias("missing"))
+
+
+#: Rules of the engine: id, scope, client, target, aimed at, kind, value, currency, least quantity, first and last day, active, made.
+ENGINE_RULES = (
+    ("r01", "all", None, "all", "", "discount", "2.00", "", 1, None, None, True, "2024-01-01"), ("r02", "all", None, "brand", "Brand#1", "discount", "10.00", "", 1, None, None, True, "2024-01-02"),
+    ("r03", "all", None, "brand", "Brand#1", "discount", "12.00", "", 20, None, None, True, "2024-01-03"), ("r04", "all", None, "line", "PROMO", "discount", "15.00", "", 5, None, None, True, "2024-01-03"),
+    ("r05", "all", None, "line", "PROMO", "discount", "14.00", "", 5, None, None, True, "2024-01-05"), ("r06", "all", None, "item", "12", "net_price", "700.05", "EUR", 1, None, None, True, "2024-01-01"),
+    ("r07", "client", "7", "all", "", "discount", "4.00", "", 1, None, None, True, "2024-01-01"), ("r08", "client", "7", "brand", "Brand#2", "net_price", "800.00", "USD", 10, None, None, True, "2024-01-01"),
+    ("r09", "all", None, "all", "", "discount", "50.00", "", 1, None, "1996-01-01", True, "2024-01-01"), ("r10", "all", None, "all", "", "discount", "60.00", "", 1, None, None, False, "2024-01-01"),
+    ("r11", "all", None, "brand", "Brand#4", "discount", "5.00", "", 1, None, None, True, "2024-01-09"), ("r12", "all", None, "brand", "Brand#4", "discount", "5.00", "", 1, None, None, True, "2024-01-08"),
+)
+_ENGINE = "rule_id, scope, profile_id, target, target_value, kind, value, currency, min_quantity, valid_from, valid_until, active, created_at"
+
+
+def pricing_engine(spark, sf):
+    """Every order line priced: clients are customers modulo 20, each eleventh line asks in euros, prices are in dollars."""
+    schema = "rule_id string, scope string, profile_id string, target string, target_value string, kind string, value string, currency string, min_quantity long, valid_from string, valid_until string, active boolean, created_at string"
+    rules = spark.createDataFrame(list(ENGINE_RULES), schema).withColumns({"value": F.col("value").cast(_CENTS), "valid_from": F.col("valid_from").cast("date"), "valid_until": F.col("valid_until").cast("date"), "created_at": F.col("created_at").cast("timestamp_ntz")})
+    lines = t(spark, sf, "lineitem").join(t(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    asked = lines.select(
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("line_id"), (F.col("o_custkey") % 20).cast("string").alias("profile_id"), F.col("p_partkey").cast("string").alias("item_id"),
+        F.col("p_brand").alias("brand"), F.col("p_type").alias("discount_group"), F.lit(TODAY).cast("date").alias("day"), F.col("l_quantity").cast("long").alias("quantity"),
+        F.when(F.col("l_linenumber") * 7 % 11 == 0, "EUR").otherwise("USD").alias("currency"), F.when(F.col("p_partkey") % 13 != 0, F.col("p_retailprice").cast(_CENTS)).alias("base_price"), F.lit("USD").alias("base_currency"),
+        F.lit(850).cast(_CENTS).alias("floor_price"),
+    )
+    found = price_lines(asked, rules)
+    return found.groupBy("rule_id", "status", F.array_join("codes", ",").alias("codes"), "brand").agg(F.count("*").alias("n"), F.sum("unit_price").cast("decimal(20,2)").alias("total"))
 
 
 _FITS = f"""WITH {_rules_sql()}, i AS (SELECT p_partkey, p_brand, CAST(p_retailprice AS DECIMAL(12,2)) AS list_price FROM part),
@@ -124,7 +151,25 @@ fit AS (SELECT i.*, rule.*, CASE target WHEN 'item' THEN 3 WHEN 'brand' THEN 2 E
   WHERE (valid_from IS NULL OR valid_from <= DATE '{TODAY}') AND (valid_until IS NULL OR valid_until >= DATE '{TODAY}'))"""
 _LISTS = "WITH x AS (SELECT l_partkey, concat('LIST_', l_suppkey % 3) AS list, MAX(CAST(l_extendedprice AS DECIMAL(12,2))) AS price FROM lineitem GROUP BY 1, 2)"
 
+def _engine_sql() -> str:
+    quote = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else f"'{v}'"
+    rows = ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in ENGINE_RULES)
+    return f"""WITH rule AS (SELECT * FROM (VALUES {rows}) AS r({_ENGINE}) WHERE active AND (valid_until IS NULL OR CAST(valid_until AS DATE) >= DATE '{TODAY}')),
+    line AS (SELECT row_number() OVER () AS id, o_custkey % 20 AS client, p_partkey, p_brand, p_type, CAST(l_quantity AS BIGINT) AS quantity, CASE WHEN l_linenumber * 7 % 11 = 0 THEN 'EUR' ELSE 'USD' END AS asked, CASE WHEN p_partkey % 13 <> 0 THEN CAST(CAST(p_retailprice AS DECIMAL(12,2)) * 100 AS BIGINT) END AS base
+      FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey),
+    fit AS (SELECT line.*, rule.rule_id, rule.created_at, CASE scope WHEN 'client' THEN 2 ELSE 1 END AS s, CASE target WHEN 'item' THEN 4 WHEN 'line' THEN 3 WHEN 'brand' THEN 2 ELSE 1 END AS g, min_quantity AS q,
+      CASE WHEN kind = 'net_price' THEN CASE WHEN rule.currency = asked THEN CAST(CAST(value AS DECIMAL(12,2)) * 100 AS BIGINT) END WHEN asked = 'USD' THEN (base * (10000 - CAST(CAST(value AS DECIMAL(12,2)) * 100 AS BIGINT)) + 5000) // 10000 END AS cents
+      FROM line JOIN rule ON (scope = 'all' OR CAST(client AS VARCHAR) = profile_id) AND min_quantity <= quantity AND (target = 'all' OR target = 'item' AND target_value = CAST(p_partkey AS VARCHAR) OR target = 'brand' AND target_value = p_brand OR target = 'line' AND target_value = p_type)),
+    ok AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, g DESC, q DESC, cents DESC, created_at, rule_id) AS rn FROM fit WHERE cents IS NOT NULL),
+    won AS (SELECT a.id, a.rule_id, a.cents, EXISTS (SELECT 1 FROM ok b WHERE b.id = a.id AND (b.s, b.g, b.q) = (a.s, a.g, a.q) AND b.cents < a.cents) AS conflict FROM ok a WHERE rn = 1),
+    f AS (SELECT line.*, won.rule_id, conflict, COALESCE(won.cents, CASE WHEN asked = 'USD' THEN base END) AS cents FROM line LEFT JOIN won USING (id)),
+    g AS (SELECT *, CASE WHEN cents IS NOT NULL THEN 'priced' WHEN base IS NOT NULL THEN 'currency_mismatch' ELSE 'missing' END AS status FROM f)
+    SELECT rule_id, status, concat_ws(',', CASE WHEN cents < 85000 THEN 'below_floor' END, CASE WHEN status = 'currency_mismatch' THEN 'currency_mismatch' END, CASE WHEN status = 'missing' THEN 'no_list_price' END, CASE WHEN conflict THEN 'rule_conflict' END) AS codes,
+      p_brand AS brand, COUNT(*) AS n, CAST(CAST(SUM(cents) AS DECIMAL(20,2)) / 100 AS DECIMAL(20,2)) AS total FROM g GROUP BY 1, 2, 3, 4"""
+
+
 QUERIES = {
+    "pricing_engine": (pricing_engine, _engine_sql()),
     "pricing_rules": (pricing_rules, _FITS + """ SELECT p_partkey, CAST(rule_id AS BIGINT) AS rule_id, list_price, CAST(cents / 100 AS DECIMAL(12,2)) AS price FROM fit WHERE min_quantity <= 12
         QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY specific DESC, min_quantity DESC, cents DESC, rule_id) = 1"""),
     "price_breaks": (price_breaks, _FITS + """, q AS (SELECT DISTINCT min_quantity AS quantity FROM rule),

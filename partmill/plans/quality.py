@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from partmill.operators import checks
 from partmill.plans.ledger import _ENTRIES_SQL, chained, entries
 from partmill.sources.storage import read_table as t
 
@@ -77,7 +78,85 @@ def import_validate(spark, sf):
 
 
 def import_conflicts(spark, sf):
-    return dq_conflicting_scalar(spark, sf)
+    """A catalog load grouped by name: each field that its rows do not agree on, with its values and the first row that differs
+    from the group's first, and all codes of the group."""
+    rows = t(spark, sf, "part").select("p_name", "p_partkey", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"p_{c}").cast("string").alias("value")) for c in ("type", "brand")])).alias("f")).select("p_name", "p_partkey", "f.*")
+    first = rows.groupBy("p_name", "field").agg(F.min_by("value", "p_partkey").alias("first"), F.count_distinct("value").alias("values"), F.count("*").alias("rows"))
+    differ = rows.join(first.where("values > 1"), ["p_name", "field"]).where("value <> first").groupBy("p_name", "field").agg(F.first("first").alias("kept"), F.first("values").alias("values"), F.min("p_partkey").alias("row"))
+    return differ.select("p_name", "field", "kept", "values", "row")
+
+
+def _mains(spark, sf):
+    """The main part of each name (the largest, then the first) and the line's own code (that of its first part)."""
+    p = t(spark, sf, "part")
+    main = p.groupBy("p_name").agg(F.max_by("p_brand", F.struct("p_size", -F.col("p_partkey"))).alias("main_code"))
+    return main, p.groupBy("p_name").agg(F.min_by("p_brand", "p_partkey").alias("line_code"))
+
+
+def dq_code_of_main(spark, sf):
+    main, lines = _mains(spark, sf)
+    return checks.differing(lines, main, "p_name", F.col("line_code"), F.col("main_code"))
+
+
+def dq_merged_hold_live(spark, sf):
+    """Orders that are done (status P stands for merged) and still hold open lines."""
+    live = t(spark, sf, "lineitem").where("l_linestatus = 'O'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("live"))
+    return t(spark, sf, "orders").where("o_orderstatus = 'P'").select("o_orderkey").join(live, "o_orderkey")
+
+
+def dq_type_mirrors(spark, sf):
+    """Orders whose status does not mirror their lines': F where all are, O where none is, else P."""
+    done = F.bool_and(F.col("l_linestatus") == "F"), F.bool_or(F.col("l_linestatus") == "F")
+    lines = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.when(done[0], "F").when(done[1], "P").otherwise("O").alias("mirror"))
+    return checks.differing(t(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), lines, "o_orderkey", F.col("o_orderstatus"), F.col("mirror"))
+
+
+def dq_item_on_line(spark, sf):
+    """Lines whose supplier sits in another nation than the customer, counted by the customer's."""
+    bought = t(spark, sf, "orders").join(t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("l_orderkey"), "c_nationkey")
+    sold = t(spark, sf, "lineitem").join(t(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_nationkey")
+    return checks.differing(sold, bought, "l_orderkey", F.col("s_nationkey"), F.col("c_nationkey")).groupBy("c_nationkey").agg(F.count("*").alias("n"))
+
+
+def dq_matched_lines(spark, sf):
+    """Parts that sold in bulk but are of no type that the catalog keeps."""
+    bulk = t(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    return t(spark, sf, "part").where(~F.col("p_type").isin("ECONOMY", "STANDARD", "PROMO")).join(bulk, "p_partkey", "left_semi").select("p_partkey", "p_type")
+
+
+def dq_unattended(spark, sf):
+    """Errors older than 15 minutes of users who have no large purchase."""
+    e = t(spark, sf, "events")
+    cases = e.groupBy("user_id").agg(F.bool_or((F.col("event_type") == "purchase") & (F.col("value") > 150)).alias("open"))
+    return checks.unattended(e.where("event_type = 'error'").select("event_id", "user_id", "ts"), cases, "user_id", "ts", F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")).select("event_id", "user_id")
+
+
+def dq_reserved_units(spark, sf):
+    """Parts whose size is not the number of their open lines of one unit to three (reservations)."""
+    holds = t(spark, sf, "lineitem").where("l_linestatus = 'O' AND l_quantity <= 3").select(F.col("l_partkey").alias("p_partkey"), F.col("l_quantity").cast("long").alias("units"))
+    return checks.differing_sums(t(spark, sf, "part").select("p_partkey", F.col("p_size").cast("long").alias("p_size")), holds, "p_partkey", "p_size", "units")
+
+
+def dq_reservations(spark, sf):
+    """Orders as holds of ten units, their lines as ledger entries: A reserves, R releases, N uses."""
+    status = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "P", "released").otherwise("used")
+    holds = t(spark, sf, "orders").select(F.col("o_orderkey").alias("hold_id"), F.lit(10).cast("long").alias("units"), status.alias("status"))
+    kind = F.when(F.col("l_returnflag") == "A", "reserve").when(F.col("l_returnflag") == "R", "release").otherwise("use")
+    return checks.reservation_faults(holds, t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("hold_id"), kind.alias("kind"), F.col("l_quantity").cast("long").alias("units")))
+
+
+def dq_branch_units(spark, sf):
+    """Suppliers whose own count of lines is not the sum over their branches (line statuses)."""
+    lines = t(spark, sf, "lineitem")
+    counted = lines.groupBy("l_suppkey").agg(F.count_distinct("l_orderkey").alias("n"))
+    branches = lines.groupBy("l_suppkey", "l_linestatus").agg(F.count_distinct("l_orderkey").alias("n"))
+    return checks.differing_sums(counted, branches, "l_suppkey", "n", "n")
+
+
+def dq_foreign_codes(spark, sf):
+    """Codes (names) that a load of odd parts gives to a brand while another brand has them, in it or in the catalog."""
+    rows = t(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("owner"), F.concat_ws("-", "p_name", "p_size").alias("code"))
+    return checks.foreign_codes(rows.where("p_partkey % 2 = 1"), rows.where("p_partkey % 2 = 0"))
 
 
 def feed_latest_state(spark, sf):
@@ -111,7 +190,26 @@ QUERIES = {
     "dq_entry_shape": (dq_entry_shape, "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag = 'A' AND l_quantity > 49"),
     "dq_repeated_identifier": (dq_repeated_identifier, "SELECT l_orderkey, l_linenumber, l_partkey, COUNT(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS times FROM lineitem QUALIFY times > 1"),
     "dq_conflicting_scalar": (dq_conflicting_scalar, "SELECT p_name, COUNT(DISTINCT p_type) AS types, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS found FROM part GROUP BY 1 HAVING COUNT(DISTINCT p_type) > 1"),
-    "import_conflicts": (import_conflicts, "SELECT p_name, COUNT(DISTINCT p_type) AS types, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS found FROM part GROUP BY 1 HAVING COUNT(DISTINCT p_type) > 1"),
+    "import_conflicts": (import_conflicts, """WITH r AS (SELECT p_name, p_partkey, 'type' AS field, p_type AS value FROM part UNION ALL SELECT p_name, p_partkey, 'brand', p_brand FROM part),
+        f AS (SELECT *, first_value(value) OVER (PARTITION BY p_name, field ORDER BY p_partkey) AS kept FROM r), n AS (SELECT p_name, field, COUNT(DISTINCT value) AS values FROM r GROUP BY 1, 2)
+        SELECT p_name, field, kept, n.values, MIN(p_partkey) AS row FROM f JOIN n USING (p_name, field) WHERE value <> kept GROUP BY 1, 2, 3, 4"""),
+    "dq_code_of_main": (dq_code_of_main, "WITH m AS (SELECT p_name, arg_min(p_brand, p_partkey) AS line_code, arg_max(p_brand, (p_size, -p_partkey)) AS main_code FROM part GROUP BY 1) SELECT * FROM m WHERE line_code <> main_code"),
+    "dq_merged_hold_live": (dq_merged_hold_live, "SELECT o_orderkey, COUNT(*) AS live FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' AND l_linestatus = 'O' GROUP BY 1"),
+    "dq_type_mirrors": (dq_type_mirrors, """WITH m AS (SELECT l_orderkey AS o_orderkey, CASE WHEN MIN(l_linestatus) = 'F' AND MAX(l_linestatus) = 'F' THEN 'F' WHEN MIN(l_linestatus) = 'F' THEN 'P' ELSE 'O' END AS mirror FROM lineitem GROUP BY 1)
+        SELECT o_orderkey, o_orderstatus, mirror FROM orders JOIN m USING (o_orderkey) WHERE o_orderstatus <> mirror"""),
+    "dq_item_on_line": (dq_item_on_line, "SELECT c_nationkey, COUNT(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey IS DISTINCT FROM c_nationkey GROUP BY 1"),
+    "dq_matched_lines": (dq_matched_lines, "SELECT p_partkey, p_type FROM part WHERE p_type NOT IN ('ECONOMY', 'STANDARD', 'PROMO') AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)"),
+    "dq_unattended": (dq_unattended, "SELECT event_id, user_id FROM events WHERE event_type = 'error' AND ts < TIMESTAMP '2024-01-31 23:45:00' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 150)"),
+    "dq_reserved_units": (dq_reserved_units, """WITH h AS (SELECT l_partkey, CAST(SUM(l_quantity) AS BIGINT) AS found FROM lineitem WHERE l_linestatus = 'O' AND l_quantity <= 3 GROUP BY 1)
+        SELECT COALESCE(p_partkey, l_partkey) AS p_partkey, CAST(COALESCE(p_size, 0) AS BIGINT) AS counted, COALESCE(found, 0) AS found FROM part FULL JOIN h ON l_partkey = p_partkey WHERE COALESCE(p_size, 0) <> COALESCE(found, 0)"""),
+    "dq_reservations": (dq_reservations, """WITH e AS (SELECT o_orderkey AS hold_id, o_orderstatus AS s, COUNT(*) FILTER (l_returnflag = 'A') AS a, COUNT(*) FILTER (l_returnflag = 'R') AS r, COUNT(*) FILTER (l_returnflag NOT IN ('A', 'R')) AS n,
+          COALESCE(SUM(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE -l_quantity END), 0) AS held FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
+        f AS (SELECT hold_id, unnest([CASE WHEN a = 0 THEN 'no_reserve' WHEN a > 1 THEN 'many_reserves' END, CASE WHEN (s = 'O' AND r + n > 0) OR (s = 'P' AND NOT (r = 1 AND n = 0)) OR (s NOT IN ('O', 'P') AND NOT (n = 1 AND r = 0)) THEN 'closing' END,
+          CASE WHEN held <> CASE WHEN s = 'O' THEN 10 ELSE 0 END THEN 'left' END]) AS fault FROM e) SELECT * FROM f WHERE fault IS NOT NULL"""),
+    "dq_branch_units": (dq_branch_units, """WITH c AS (SELECT l_suppkey, COUNT(DISTINCT l_orderkey) AS counted, COUNT(DISTINCT CASE WHEN l_linestatus = 'F' THEN l_orderkey END) + COUNT(DISTINCT CASE WHEN l_linestatus = 'O' THEN l_orderkey END) AS found FROM lineitem GROUP BY 1)
+        SELECT * FROM c WHERE counted <> found"""),
+    "dq_foreign_codes": (dq_foreign_codes, """WITH o AS (SELECT DISTINCT p_brand AS owner, concat(p_name, '-', p_size) AS code FROM part), n AS (SELECT code, COUNT(*) - 1 AS others FROM o GROUP BY 1)
+        SELECT DISTINCT code, p_brand AS owner, others FROM part JOIN n ON code = concat(p_name, '-', p_size) WHERE p_partkey % 2 = 1 AND others > 0"""),
     "import_validate": (import_validate, """WITH r AS (SELECT c_custkey, regexp_replace(c_name, 'Customer#0*', '') AS code, CASE WHEN c_acctbal >= 0 THEN CAST(c_acctbal AS DECIMAL(12,2)) END AS amount FROM customer),
         e AS (SELECT c_custkey, concat_ws(',', CASE WHEN length(code) < 2 THEN 'short_code' END, CASE WHEN amount IS NULL THEN 'amount' END, CASE WHEN amount > 9000 THEN 'out_of_range' END) AS errors FROM r)
         SELECT * FROM e WHERE errors <> ''"""),
