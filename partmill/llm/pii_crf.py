@@ -264,9 +264,10 @@ def labelled_texts(n: int = 700, seed: int = 11) -> list[tuple[str, list[tuple[i
             else:
                 kind = pick(*KINDS)
                 start = len(text := f"{text} {pick(*cue[kind])} ".replace("  ", " "))
-                text += personal[kind]()
+                written = personal[kind]()
+                text += written.upper() if rng.random() < 0.1 else written
                 spans.append((start, len(text), kind))
-            text += pick(" ", ". ", ", ") + fill()
+            text += pick("", ".", "\n") if rng.random() < 0.2 else pick(" ", ". ", ", ") + fill()
         out.append((text, spans))
     return out
 

@@ -339,3 +339,22 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF).orderBy("start").collect()
     assert [r["doc_id"] for r in out] == sorted(r["doc_id"] for r in kept.collect())
     assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(out, out[1:], strict=False))
+
+
+def test_pipeline_on_odd_tables(spark):
+    """Nulls, repeated rows and ids, large ids, a leak without an id, and columns with the stages' own names; then no rows."""
+    leak = duckdb.sql(f"select text from '{SF}/benchmark.parquet' order by item_id limit 1").fetchall()[0][0]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).select("doc_id", "text", "lang", "source", "n_chars")
+    odd = [(None, leak + " and more", "en", "s", 1), (BIG, "the quick brown fox " * 9, None, None, None), (BIG + 1, "the quick brown fox " * 9, None, None, None), (BIG, None, "en", "s", 0), (None, None, None, None, None), (7, "123", "en", "s", 3)]
+    both = docs.union(spark.createDataFrame(odd + odd[:2], docs.schema)).withColumns({"_language": F.lit("x"), "_mix_p": F.lit(2.0), "node": F.lit(1), "_passages": F.lit(None).cast("string")})
+    for table_in in (both, both.limit(0)):
+        kept = table_in
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = corpus_pipeline.materialize(stage(spark, kept, SF), "test-stage")
+            assert kept.columns == both.columns
+            texts = [r["text"] for r in kept.collect()]
+            assert None not in texts and "123" not in texts
+        assert leak + " and more" not in texts
+        tokens = corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()
+        assert sorted((r["doc_id"] or -1) for r in tokens) == sorted((r["doc_id"] or -1) for r in kept.collect())
+        assert texts.count("the quick brown fox " * 9) <= 1
