@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from partmill.operators import checks
 from partmill.plans.ledger import _ENTRIES_SQL, chained, entries
+from partmill.sources import loads
 from partmill.sources.storage import read_table as t
 
 
@@ -159,6 +160,22 @@ def dq_foreign_codes(spark, sf):
     return checks.foreign_codes(rows.where("p_partkey % 2 = 1"), rows.where("p_partkey % 2 = 0"))
 
 
+def stock_load(spark, sf):
+    """A stock load with its own titles, row by row with what is wrong."""
+    raw = t(spark, sf, "part").select(
+        F.col("p_partkey").alias("row"), F.when(F.col("p_partkey") % 10 != 3, F.concat(F.lit("51"), F.col("p_partkey") % 1000 + 100000, F.lit("-x"))).alias("Código"), F.col("p_brand").alias("Fabricante"),
+        F.when(F.col("p_size") % 9 == 0, "n/a").otherwise(F.col("p_size").cast("string")).alias("existencia"), F.when(F.col("p_size") % 7 == 0, "12,500").otherwise(F.col("p_retailprice").cast("decimal(12,2)").cast("string")).alias("PRECIO"),
+    )
+    return loads.read_stock(raw).select("row", "clave", "brand", "quantity", "price", F.array_join("errors", ",").alias("errors"))
+
+
+def price_load(spark, sf):
+    """A price load with two lists, one cell in five taking its price away."""
+    price = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
+    raw = t(spark, sf, "part").select(F.col("p_partkey").alias("row"), F.col("p_name").alias("sku"), F.when(F.col("p_partkey") % 5 == 0, "Borrar").otherwise(price).alias("Precio A"), F.when(F.col("p_partkey") % 3 == 0, F.replace(price, F.lit("."), F.lit(","))).alias("PRECIO_B"))
+    return loads.read_prices(raw)
+
+
 def feed_latest_state(spark, sf):
     """The last absolute value of every item of a feed wins, whatever overlaps."""
     e = t(spark, sf, "events")
@@ -213,6 +230,11 @@ QUERIES = {
     "import_validate": (import_validate, """WITH r AS (SELECT c_custkey, regexp_replace(c_name, 'Customer#0*', '') AS code, CASE WHEN c_acctbal >= 0 THEN CAST(c_acctbal AS DECIMAL(12,2)) END AS amount FROM customer),
         e AS (SELECT c_custkey, concat_ws(',', CASE WHEN length(code) < 2 THEN 'short_code' END, CASE WHEN amount IS NULL THEN 'amount' END, CASE WHEN amount > 9000 THEN 'out_of_range' END) AS errors FROM r)
         SELECT * FROM e WHERE errors <> ''"""),
+    "stock_load": (stock_load, """WITH r AS (SELECT p_partkey AS row, CASE WHEN p_partkey % 10 <> 3 THEN concat('51', p_partkey % 1000 + 100000, 'X') END AS clave, upper(p_brand) AS brand, CASE WHEN p_size % 9 <> 0 THEN CAST(p_size AS BIGINT) END AS quantity,
+          CASE WHEN p_size % 7 <> 0 THEN CAST(p_retailprice AS DECIMAL(12,2)) END AS price, p_size FROM part), n AS (SELECT *, COUNT(*) OVER (PARTITION BY clave, brand) AS n FROM r)
+        SELECT row, clave, brand, quantity, price, concat_ws(',', CASE WHEN clave IS NULL THEN 'code' END, CASE WHEN quantity IS NULL THEN 'quantity' END, CASE WHEN p_size % 7 = 0 THEN 'price:ambiguous' END, CASE WHEN clave IS NOT NULL AND n > 1 THEN 'repeated' END) AS errors FROM n"""),
+    "price_load": (price_load, """SELECT p_partkey AS row, p_name AS code, 'A' AS list, CASE WHEN p_partkey % 5 = 0 THEN 'delete' ELSE 'set' END AS action, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_retailprice AS DECIMAL(12,2)) END AS price, CAST(NULL AS VARCHAR) AS error FROM part
+        UNION ALL SELECT p_partkey, p_name, 'B', 'set', CAST(p_retailprice AS DECIMAL(12,2)), NULL FROM part WHERE p_partkey % 3 = 0"""),
     "feed_latest_state": (feed_latest_state, "SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
     "dup_keeper": (dup_keeper, "SELECT MIN(doc_id) AS keeper, COUNT(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY md5(text) HAVING COUNT(*) > 1"),
     "change_collapse": (change_collapse, """SELECT user_id, CAST(ts AS DATE) AS day, arg_min(value, (ts, event_id)) AS before, arg_max(value, (ts, event_id)) AS after, MAX(event_type) AS kind FROM events GROUP BY 1, 2"""),
