@@ -152,10 +152,11 @@ def _sets_of_nodes(base: DataFrame, members: DataFrame, n: int) -> DataFrame:
     of_text = F.pandas_udf(_gram_sets(n), "key binary, grams binary").asNondeterministic()
     named = members.where("first_id is not null").join(base.where("doc_id is not null and text is not null"), F.col("first_id") == F.col("doc_id"))
     named = named.select(*members.columns, of_text("text").alias("set")).where("set.key = text_key")
+    # Several rows can hold a node's text; they lie together already, by the key of the join.
+    named = named.dropDuplicates(["first_id", "node"])
     texts = base.where("doc_id is null and text is not null").select(of_text("text").alias("set")).select("set", F.col("set.key").alias("text_key"))
-    nameless = members.where("first_id is null").join(texts, "text_key").select(*members.columns, "set")
-    # Several rows can hold a node's text.
-    return named.unionByName(nameless).select("*", F.col("set.grams").alias("grams")).drop("set", "text_key", "first_id").dropDuplicates(["node"])
+    nameless = members.where("first_id is null").join(texts, "text_key").select(*members.columns, "set").dropDuplicates(["text_key", "node"])
+    return named.unionByName(nameless).select("*", F.col("set.grams").alias("grams")).drop("set", "text_key", "first_id")
 
 
 def ngram_jaccard_join(
