@@ -26,7 +26,7 @@ from partmill.llm.tables import columns_of, free_name
 from partmill.sources.storage import materialize
 
 MARGINALS = ("source", "lang", "topic")
-FLATTEN, BUDGET, ROUNDS, TOLERANCE = 0.7, 0.75, 200, 1e-5
+FLATTEN, BUDGET, ROUNDS, TOLERANCE = 0.7, 0.75, 60, 1e-5
 #: How far a marginal that counts as met may be off, as a share.
 MET = 1e-3
 #: Cells of one task.
