@@ -178,7 +178,8 @@ QUERIES = {
         s AS (SELECT a.item_id AS item, b.item_id AS line, COUNT(*) AS score FROM k a JOIN k b ON a.word = b.word AND a.item_id <> b.item_id GROUP BY 1, 2)
         SELECT item, line, score FROM s QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, line) <= 8"""),
     "pairs_in_group": (pairs_in_group, "WITH s AS (SELECT s_suppkey, n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey) SELECT a.n_regionkey AS region, a.s_suppkey AS first, b.s_suppkey AS second FROM s a JOIN s b ON a.n_regionkey = b.n_regionkey AND a.s_suppkey < b.s_suppkey"),
-    "connected_components": (components, None),
+    "connected_components": (components, """WITH RECURSIVE l AS (SELECT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem WHERE l_quantity >= 50 AND l_returnflag = 'A' AND l_linestatus = 'F'), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT DISTINCT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach) SELECT node, MIN(reach) AS component FROM r GROUP BY 1"""),
     "claimant_conflicts": (claimant_conflicts, "SELECT p_name, COUNT(*) AS claims, COUNT(DISTINCT p_brand) AS brands, CASE WHEN COUNT(DISTINCT p_brand) > 1 THEN 'brands' ELSE 'lines' END AS kind FROM part GROUP BY 1 HAVING COUNT(*) > 1"),
     "key_overlap_match": (key_overlap_match, "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND regexp_extract(c_name, '([0-9]{2})$', 1) = regexp_extract(s_name, '([0-9]{2})$', 1)"),
     "self_join_residual": (self_join_residual, "SELECT a.p_partkey AS first, b.p_partkey AS second FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey"),
