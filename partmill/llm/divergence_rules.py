@@ -7,7 +7,10 @@ References
 For every language (the ``lang`` column; ``*`` pools all rows, for documents without one) over all documents: the shares of
 seven character classes, and the shares of its ``COMMON`` most frequent words (without case; ties by name) among all words,
 with one more share for all other words.  Words of any length count; they are pre-aggregated before they are shuffled.
-References are a table of one row a language, of any number of languages; documents are joined with it.
+References are tables of one row a language, of any number of languages; documents are joined with them.
+
+Texts are read twice: for the words of all languages, then for each document's counts, those of its language's common words
+among them.  Only these counts are written, so what is kept between the jobs is small whatever the texts are.
 
 Rules
 -----
@@ -44,9 +47,9 @@ def _without(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, f"{pattern}+", "")
 
 
-def text_features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """One row a document: base counts, class counts and the array of its words in lower case."""
-    df = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def text_features(df: DataFrame) -> DataFrame:
+    """One row a document of ``df`` (doc_id, lang, text, ref_words): base counts, class counts and ``hits``, the count of each of
+    its language's common words."""
     df = df.withColumns({"words": words_of(F.col("text")), "rest": _without(F.col("text"), CLASSES[0])})
     df = df.withColumns({"n_words": F.size("words").cast("long"), "left": _without(F.col("rest"), "[A-Z\\x20\\x09-\\x0D]")})
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
@@ -70,6 +73,8 @@ def text_features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
     digits = length(left) - length(_without(left, CLASSES[2]))
     ascii_left = length(left) - length(_without(left, "[\\x21-\\x7E]"))
     classes = F.array(length("text") - length(rest), upper, digits, space, marks, ascii_left - marks - digits, length(left) - ascii_left)
+    df = df.withColumn("common", F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: F.array_contains(F.col("ref_words"), w)))
+    hits = F.transform("ref_words", lambda r: (F.size("common") - F.size(F.array_remove(F.col("common"), r))).cast("long"))
     return df.select(
         "doc_id", "lang", "n_words",
         length(F.array_join("words", "")).alias("word_chars"),
@@ -77,29 +82,34 @@ def text_features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g).alias("n_repeat_words"),
         classes.alias("classes"),
-        F.transform("words", lambda w: F.lower(w)).alias("folded"),
+        hits.alias("hits"),
     )
 
 
-def _by_language(features: DataFrame) -> DataFrame:
+def _by_language(rows: DataFrame) -> DataFrame:
     """Every row under its language and under the pooled one."""
-    return features.withColumn("to", F.explode(F.array_distinct(F.array(F.coalesce("lang", F.lit(POOLED)), F.lit(POOLED)))))
+    return rows.withColumn("to", F.explode(F.array_distinct(F.array("lang", F.lit(POOLED)))))
 
 
-def learn_references(features: DataFrame) -> DataFrame:
-    """(lang, ref_class: class shares, ref_words: common words, ref_shares: theirs and that of the others), a row a language."""
-    n = len(CLASSES) + 1
-    sums = _by_language(features.select("lang", "n_words", "classes")).groupBy("to").agg(F.sum("n_words").alias("count"), *[F.sum(F.col("classes")[k]).cast("double").alias(f"c{k}") for k in range(n)])
-    words = features.select(F.coalesce("lang", F.lit(POOLED)).alias("lang"), F.explode("folded").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+def learn_words(texts: DataFrame) -> DataFrame:
+    """(lang, ref_words, ref_counts) of the languages of ``texts`` (lang, text): the common words and how often each occurs."""
+    words = texts.select("lang", F.explode(F.transform(words_of(F.col("text")), lambda w: F.lower(w))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     words = _by_language(words).groupBy("to", "word").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("to").orderBy(F.desc("n"), "word")
     top = words.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= COMMON)
-    top = top.groupBy("to").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))  # COMMON at most
-    both = sums.join(top, "to", "left").withColumn("top", F.coalesce("top", F.array().cast("array<struct<rank:int,word:string,n:bigint>>")))
+    top = top.groupBy(F.col("to").alias("lang")).agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))  # COMMON at most
+    return top.select("lang", F.col("top.word").alias("ref_words"), F.col("top.n").alias("ref_counts"))
+
+
+def learn_shares(features: DataFrame, words: DataFrame) -> DataFrame:
+    """(lang, ref_class: class shares, ref_shares: those of the common words and of all others), a row a language."""
+    n = len(CLASSES) + 1
+    sums = _by_language(features.select("lang", "n_words", "classes")).groupBy(F.col("to").alias("lang")).agg(F.sum("n_words").alias("count"), *[F.sum(F.col("classes")[k]).cast("double").alias(f"c{k}") for k in range(n)])
+    both = sums.join(words.select("lang", "ref_counts"), "lang", "left").withColumn("ref_counts", F.coalesce("ref_counts", F.array().cast("array<bigint>")))
     chars, count = F.greatest(sum((F.col(f"c{k}") for k in range(n)), F.lit(0.0)), F.lit(1.0)), F.greatest("count", F.lit(1)).cast("double")
-    shares = F.transform("top", lambda t: t["n"] / count)
-    rest = 1 - F.aggregate("top", F.lit(0).cast("long"), lambda a, t: a + t["n"]) / count
-    return both.select(F.col("to").alias("lang"), F.array(*[F.col(f"c{k}") / chars for k in range(n)]).alias("ref_class"), F.col("top.word").alias("ref_words"), F.concat(shares, F.array(rest)).alias("ref_shares"))
+    shares = F.transform("ref_counts", lambda x: x / count)
+    rest = 1 - F.aggregate("ref_counts", F.lit(0).cast("long"), lambda a, x: a + x) / count
+    return both.select("lang", F.array(*[F.col(f"c{k}") / chars for k in range(n)]).alias("ref_class"), F.concat(shares, F.array(rest)).alias("ref_shares"))
 
 
 def js_distance(counts: Column, shares: Column) -> Column:
@@ -112,14 +122,15 @@ def js_distance(counts: Column, shares: Column) -> Column:
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept)."""
-    features = materialize(text_features(docs, id_col, text_col, lang_col), "quality-features")
-    references = materialize(learn_references(features), "quality-references")
-    # Every language of a document has its row; the join is broadcast where that table is small, else skew is left to AQE.
-    df = features.withColumn("lang", F.coalesce("lang", F.lit(POOLED))).join(references, "lang")
-    df = df.withColumn("common", F.filter("folded", lambda w: F.array_contains(F.col("ref_words"), w)))
-    counts = F.transform("ref_words", lambda r: (F.size("common") - F.size(F.array_remove(F.col("common"), r))).cast("double"))
-    df = df.withColumn("hits", F.concat(counts, F.array((F.col("n_words") - F.size("common")).cast("double"))))
-    df = df.withColumns({"class_distance": js_distance(F.transform("classes", lambda c: c.cast("double")), F.col("ref_class")), "word_distance": js_distance(F.col("hits"), F.col("ref_shares"))})
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit(POOLED)).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    words = materialize(learn_words(texts), "quality-words")
+    # The joins are broadcast where the table of languages is small; else skew is left to AQE.
+    known = texts.join(words.select("lang", "ref_words"), "lang", "left").withColumn("ref_words", F.coalesce("ref_words", F.array().cast("array<string>")))
+    features = materialize(text_features(known), "quality-features")
+    df = features.join(materialize(learn_shares(features, words), "quality-shares"), "lang")
+    others = F.col("n_words") - F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x)
+    found = F.transform(F.concat("hits", F.array(others)), lambda x: x.cast("double"))
+    df = df.withColumns({"class_distance": js_distance(F.transform("classes", lambda c: c.cast("double")), F.col("ref_class")), "word_distance": js_distance(found, F.col("ref_shares"))})
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     far = ((chars >= CLASS_CHARS) & (F.col("class_distance") > CLASS_LIMIT)) | ((F.col("n_words") >= WORD_WORDS) & (F.col("word_distance") > WORD_LIMIT))
