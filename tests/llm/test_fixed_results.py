@@ -493,3 +493,13 @@ def test_large_ids_beside_a_null_stay_exact(spark):
     assert {r["doc_id"] for r in token_store.read_token_digests(token_store.write_token_shards(df, queries.tokenizer_path())).collect()} == ids
     assert {r["doc_id"] for r in divergence_rules.quality_rules(df).collect()} == ids
     assert {r["page_id"] for r in warc.describe_records(warc.read_archives(warc.write_archives(df, id_col="doc_id"))).collect()} == ids
+
+
+def test_rules_from_a_table(spark):
+    """Thousands of rules, read from a table, judge as each for itself does."""
+    rows = [(f"||h{k}.net/", "block" if k % 3 else "allow") for k in range(3000)] + [(f"/p{k}^", "block") for k in range(500)] + [(None, "block"), ("x", None), ("", "block"), ("||h1.net/", "block")]
+    rules = url_rules.read_rules(spark.createDataFrame(rows, "pattern string, action string"))
+    assert len(rules) == 3500
+    urls = spark.createDataFrame([(1, "http://a.h4.net/p3/x"), (2, "http://h3.net/"), (3, "http://z.org/p7"), (4, "http://z.org/p7x")], "page_id long, url string")
+    got = {r["page_id"]: (r["pattern"], r["verdict"]) for r in url_rules.judge_urls(urls, rules).collect()}
+    assert got == {1: ("||h4.net/", "block"), 2: ("||h3.net/", "allow"), 3: ("/p7^", "block"), 4: (None, "allow")}
