@@ -1,7 +1,10 @@
 """Benchmark decontamination: n-gram seeds join texts to test items, Smith-Waterman alignment scores the passage.
 
-1.  The seeds of an item are all its word n-grams: an edit breaks the n-grams around it and no others, so every run of ``n``
-    unedited words of a copy has a seed, however often the item or its n-grams occur in the corpus.
+1.  The n-grams of the items are counted in the corpus.  An item's seeds are its rare n-grams; one is frequent if it would make
+    more hits than ``FREQUENT`` of all n-grams that the corpus has (occurrences x items with it).  A frequent n-gram is a seed
+    only where no rare one shares a word with it, so every stretch of an item is covered, also of items that have no rare ones.
+    An edit breaks the n-grams around it and no others.  Out of reach are copies without a run of ``n`` unedited words that
+    holds a seed, for example those of which every second or third word is replaced.
 2.  A text's seed hits are grouped by item and by diagonal.  Each group with hits from at least ``min_seeds`` seeds (fewer for
     items of few windows of ``window`` n-grams) whose region has words enough of the item for the threshold is aligned: local
     alignment of the item's words with that region of the text, match +2, mismatch -1, gap -1.  The score is the best
@@ -11,7 +14,7 @@ Items of fewer than ``n`` words have no such seed: they are found wherever all t
 
 The benchmark is compared in blocks of about ``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters at most, each one broadcast: a
 benchmark of any size is worked through, and what a worker holds is bounded: ``HITS`` at once, or those of one text and item.
-Only texts go to the workers and nothing is shuffled.
+Each block reads the texts twice, to count and to join; only texts go to the workers and only counts are shuffled.
 
 Nulls: rows with a null or wordless text match nothing; items with a null, empty or wordless text are skipped.  Rows are
 judged by their text alone, whatever their id is.  Repeated items or texts each give their rows.
@@ -77,6 +80,18 @@ def _verbatim(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int] | No
     return None
 
 
+def _rare_seeds(grams: np.ndarray, item: np.ndarray, place: np.ndarray, hits: np.ndarray, most: float, n: int) -> np.ndarray:
+    """Which n-grams (by item and place) are seeds: rare ones, and frequent ones that share no word with a rare one."""
+    rare = hits <= most
+    near = rare.copy()
+    for d in range(1, n):
+        # Places of an item follow each other, and an item's places are in order.
+        same = (item[d:] == item[:-d]) & (place[d:] - place[:-d] == d)
+        near[d:] |= same & rare[:-d]
+        near[:-d] |= same & rare[d:]
+    return rare | ~near
+
+
 class _Block(NamedTuple):
     """Test items of one pass: their words and ids; seeds with the item and place of each; whole short items by length."""
 
@@ -89,7 +104,27 @@ class _Block(NamedTuple):
     short: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
-def _block_of(texts: list[str], ids: list[int | None], n: int, window: int, min_seeds: int) -> _Block:
+def _count_seeds(seeds: np.ndarray, n: int):
+    """Occurrences of each of ``seeds`` (sorted) in the texts; at the place -1, of all n-grams."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        times = np.zeros(len(seeds) + 1, dtype=np.int64)
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            for lo, hi in pieces(texts, TOGETHER):
+                found, _ = shingles(*word_hashes(texts[lo:hi]), n)
+                at = np.searchsorted(seeds, found)
+                at[at == len(seeds)] = 0
+                times[:-1] += np.bincount(at[seeds[at] == found], minlength=len(seeds))
+                times[-1] += len(found)
+        seen = np.flatnonzero(times)
+        yield pd.DataFrame({"seed": np.where(seen == len(seeds), -1, seen), "n": times[seen]})
+
+    return count
+
+
+def _block_of(texts: list[str], ids: list[int | None], n: int, window: int, min_seeds: int, docs: DataFrame, frequent: float) -> _Block:
+    """``docs`` (text): the corpus in which n-grams are counted."""
     words, offsets = word_hashes(texts)
     items = [words[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     length = np.diff(offsets)
@@ -103,9 +138,17 @@ def _block_of(texts: list[str], ids: list[int | None], n: int, window: int, min_
     grams, begin = shingles(words, offsets, n)
     seed_item = np.repeat(np.arange(len(items)), np.diff(begin))
     seed_pos = np.arange(len(grams)) - begin[seed_item]
-    order = np.argsort(grams, kind="stable")
-    order = order[length[seed_item[order]] >= n]
-    return _Block(items, ids, np.clip(np.diff(begin) // window, 1, min_seeds), grams[order], seed_item[order], seed_pos[order], short)
+    long = np.flatnonzero(length[seed_item] >= n)
+    needed = np.clip(np.diff(begin) // window, 1, min_seeds)
+    if len(long):
+        own, which, items_with = np.unique(grams[long], return_inverse=True, return_counts=True)
+        times = np.zeros(len(own) + 1, dtype=np.int64)
+        for row in docs.mapInPandas(_count_seeds(own, n), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
+            times[row["seed"]] = row["n"]
+        long = long[_rare_seeds(grams[long], seed_item[long], seed_pos[long], (times[:-1] * items_with)[which], frequent * times[-1], n)]
+        needed = np.minimum(needed, np.maximum(np.bincount(seed_item[long], minlength=len(items)), 1))
+    order = long[np.argsort(grams[long], kind="stable")]
+    return _Block(items, ids, needed, grams[order], seed_item[order], seed_pos[order], short)
 
 
 def _passages(block: _Block, n: int, threshold: float):
@@ -184,7 +227,12 @@ def _passages(block: _Block, n: int, threshold: float):
             out: list[list[dict]] = [[] for _ in texts]
             for lo, hi in pieces(texts, TOGETHER):
                 words, offsets = word_hashes(texts[lo:hi])
+                best: dict[tuple[int, int], tuple] = {}
                 for d, it, *rest in chain(seeded(words, offsets), whole(words, offsets)):
+                    # Of a text's passages of one item the best stays, of equal ones the first.
+                    if (d, it) not in best or (rest[0], -rest[2], -rest[3]) > (best[d, it][0], -best[d, it][2], -best[d, it][3]):
+                        best[d, it] = tuple(rest)
+                for (d, it), rest in best.items():
                     out[lo + d].append(dict(zip(_FIELDS, (block.ids[it], *rest), strict=True)))
             yield pd.Series(out, dtype=object)
 
@@ -193,18 +241,22 @@ def _passages(block: _Block, n: int, threshold: float):
 
 _FIELDS = ("item_id", "score", "n_seeds", "word_start", "word_end")
 _PASSAGES = "array<struct<item_id:long,score:double,n_seeds:long,word_start:long,word_end:long>>"
-#: Words of a seed, windows, seeds needed, and the least share of a perfect score.
-N_WORDS, N_WINDOW, MIN_SEEDS, THRESHOLD = 3, 4, 2, 0.5
+#: Words of a seed, windows, seeds needed, the least share of a perfect score, and the hits of a rare seed, as a share of all n-grams.
+N_WORDS, N_WINDOW, MIN_SEEDS, THRESHOLD, FREQUENT = 3, 4, 2, 0.5, 1e-4
 
 
-def leak_columns(text: Column, benchmark: DataFrame, n: int = N_WORDS, window: int = N_WINDOW, min_seeds: int = MIN_SEEDS, threshold: float = THRESHOLD) -> Iterator[Column]:
-    """For each block of ``benchmark`` (item_id, text) the array of a text's passages that align with its items."""
+def leak_columns(
+    docs: DataFrame, text: Column, benchmark: DataFrame, n: int = N_WORDS, window: int = N_WINDOW, min_seeds: int = MIN_SEEDS, threshold: float = THRESHOLD, frequent: float = FREQUENT
+) -> Iterator[Column]:
+    """For each block of ``benchmark`` (item_id, text) the array of the passages of ``text``, a column of ``docs``, that align with its
+    items: the best of each item."""
+    corpus = docs.select(text.alias("text")).where("text is not null")
     wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("text is not null")
     size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     n_blocks = max(1, -(-size["n"] // BLOCK_ITEMS), -(-size["chars"] // BLOCK_CHARS))
     for k in range(n_blocks):
         rows = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).orderBy("item_id", "text").collect()
-        block = _block_of([r["text"] for r in rows], [r["item_id"] for r in rows], n, window, min_seeds)
+        block = _block_of([r["text"] for r in rows], [r["item_id"] for r in rows], n, window, min_seeds, corpus, frequent)
         if len(block.seeds) or block.short:
             yield F.pandas_udf(_passages(block, n, threshold), _PASSAGES).asNondeterministic()(text)
 
@@ -216,13 +268,13 @@ def find_leaks(
     ``threshold`` or more of the perfect score, the best passage of each (text row, item); words count from 0, end exclusive."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, n_seeds long, word_start long, word_end long")
-    for found in leak_columns(F.col("text"), benchmark, n, window, min_seeds, threshold):
+    for found in leak_columns(given, F.col("text"), benchmark, n, window, min_seeds, threshold):
         out = out.unionByName(given.select("doc_id", found.alias("found")).select("doc_id", F.inline("found")))
     return out
 
 
 def leaks_per_item(found: DataFrame) -> DataFrame:
-    """The best passage of each document and item (ties: the first in the text)."""
+    """The best passage of each document id and item id (ties: the first in the text), where rows or items share ids."""
     best = F.max_by(F.struct("score", "n_seeds", "word_start", "word_end"), F.struct("score", -F.col("word_start"), -F.col("word_end")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
@@ -230,6 +282,6 @@ def leaks_per_item(found: DataFrame) -> DataFrame:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text has no passage of the benchmark, with all their columns; ids play no part."""
     name, own, left = free_name(docs, "_passages"), columns_of(docs), docs
-    for found in leak_columns(F.col(text_col), benchmark):
+    for found in leak_columns(docs, F.col(text_col), benchmark):
         left = left.withColumn(name, found).where(F.size(name) == 0).select(own)
     return left

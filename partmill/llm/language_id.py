@@ -23,7 +23,7 @@ from partmill.llm.textcore import pieces
 UNKNOWN = "und"
 #: N-grams of a language profile and of a document profile.
 PROFILE, DOCUMENT_PROFILE = 400, 300
-#: Documents of one language that are learned from, about: a hash of the text chooses them.
+#: Documents of one language that are learned from, about: a hash of id and text chooses them.
 TRAIN_DOCS_PER_LANG = 3000
 _PAD = 0x5F
 #: Characters whose n-grams are counted at once, and of all texts that are ranked together.
@@ -104,15 +104,22 @@ def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"lang": lang, "gram": grams.astype(np.int64), "n": np.bincount(at, count, len(grams)).astype(np.int64)})
 
 
-def learn_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", profile: int = PROFILE, per_lang: int = TRAIN_DOCS_PER_LANG) -> dict[str, list[int]]:
-    """Language -> its n-gram codes by rank, from at most about ``per_lang`` documents a language (chosen by a hash of
-    their text).  Rows with a null language or text are skipped.  Only the profiles come to the driver."""
-    known = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+def learn_profiles(
+    labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", profile: int = PROFILE, per_lang: int = TRAIN_DOCS_PER_LANG, id_col: str = "doc_id"
+) -> dict[str, list[int]]:
+    """Language -> its n-gram codes by rank, from about ``per_lang`` documents a language.
+
+    A hash of id and text chooses them, so that copies of a text are drawn like any documents; that with the smallest hash is
+    always among them, so every language of which one text has a letter is learned.  Rows with a null language or without a
+    letter are skipped.  Rows alike in id and text are drawn together.  Only the profiles come to the driver."""
+    own = F.col(id_col) if id_col in labelled.columns else F.lit(None).cast("long")
+    drawn = F.pmod(F.xxhash64(own, F.col(text_col)), F.lit(1 << 40)) / float(1 << 40)
+    known = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), drawn.alias("drawn")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # One share for all languages would starve the rare ones; a row for each language with more than ``per_lang`` documents.
-    large = {r["lang"]: per_lang / r["count"] for r in known.groupBy("lang").count().where(F.col("count") > per_lang).collect()}
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("drawn").alias("least")).where(F.col("n") > per_lang).collect()
+    large = {r["lang"]: max(per_lang / r["n"], r["least"]) for r in sizes}
     share = F.try_element_at(F.create_map(*[F.lit(x) for pair in large.items() for x in pair]), F.col("lang")) if large else F.lit(None).cast("double")
-    u = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / (1 << 20)
-    chosen = known.where(u < F.coalesce(share, F.lit(1.0))).select("lang", "text")
+    chosen = known.where(F.col("drawn") <= F.coalesce(share, F.lit(1.0))).select("lang", "text")
     counts = chosen.mapInPandas(_count_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= profile)

@@ -11,7 +11,7 @@ shuffled; a hot source is one row after partial aggregation.  Only convergence f
 
 Without given targets a marginal's shares are flattened: share ** ``flatten``, rescaled to 1.  Targets for values that do not
 occur are dropped and the rest rescaled; values without a target get none, and their documents have probability 0.  A null
-source or language is a value of its own, named "".  Null and wordless texts count one token, so that they can be drawn.
+source, language or given topic is a value of its own, named "".  Null and wordless texts count one token, so that they can be drawn.
 An empty table gives no rows.  Repeated rows share a hash and are drawn together.
 """
 
@@ -57,7 +57,7 @@ def cell_columns(id_col: str = "doc_id", text_col: str = "text", source_col: str
         "draw": F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("draw")), F.lit(1 << 48)) / float(1 << 48),
         "source": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
         "lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("")),
-        "topic": topic_of(F.col(text_col)) if topic is None else topic,
+        "topic": topic_of(F.col(text_col)) if topic is None else F.coalesce(topic.cast("string"), F.lit("")),
     }
 
 

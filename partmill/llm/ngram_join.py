@@ -146,17 +146,17 @@ def _gram_sets(n: int):
 
 
 def _sets_of_nodes(base: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """``members`` (node, text_key, first_id, ...) with the n-gram set of each node's text, without text_key and first_id.
+    """``members`` (node, text_key, first_id, first_hash, ...) with the n-gram set of each node's text, without the columns that find it.
 
-    A node's text is found by its smallest id, or by its digest where all rows with it have a null id."""
+    A node's text is found by the id and the JVM's hash of its first row (the hash alone where that has a null id), so rows that
+    share an id meet only the texts they are."""
     of_text = F.pandas_udf(_gram_sets(n), "key binary, grams binary").asNondeterministic()
-    named = members.where("first_id is not null").join(base.where("doc_id is not null and text is not null"), F.col("first_id") == F.col("doc_id"))
-    named = named.select(*members.columns, of_text("text").alias("set")).where("set.key = text_key")
-    # Several rows can hold a node's text; they lie together already, by the key of the join.
-    named = named.dropDuplicates(["first_id", "node"])
-    texts = base.where("doc_id is null and text is not null").select(of_text("text").alias("set")).select("set", F.col("set.key").alias("text_key"))
-    nameless = members.where("first_id is null").join(texts, "text_key").select(*members.columns, "set").dropDuplicates(["text_key", "node"])
-    return named.unionByName(nameless).select("*", F.col("set.grams").alias("grams")).drop("set", "text_key", "first_id")
+    texts = base.where("text is not null").withColumn("text_hash", F.xxhash64("text"))
+    named = members.where("first_id is not null").join(texts.where("doc_id is not null"), (F.col("first_id") == F.col("doc_id")) & (F.col("first_hash") == F.col("text_hash")))
+    nameless = members.where("first_id is null").join(texts.where("doc_id is null"), F.col("first_hash") == F.col("text_hash"))
+    # Repeated rows hold a node's text, too; they lie together already, by the keys of the join.
+    found = [df.select(*members.columns, of_text("text").alias("set")).where("set.key = text_key").dropDuplicates([*keys, "node"]) for df, keys in ((named, ["first_id", "first_hash"]), (nameless, ["first_hash"]))]
+    return found[0].unionByName(found[1]).select("*", F.col("set.grams").alias("grams")).drop("set", "text_key", "first_id", "first_hash")
 
 
 def ngram_jaccard_join(
@@ -185,10 +185,11 @@ def _sign(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows:
     """(doc_id, text) of every row, its signature, and the nodes: one for each word sequence."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     of_text = F.pandas_udf(_signer(n, bands, rows), "text_key binary, n_grams long, bands array<long>").asNondeterministic()
-    signed = materialize(base.select("doc_id", of_text("text").alias("s")).select("doc_id", "s.*"), "ngram-signatures")
-    nodes = signed.where("text_key is not null").groupBy("text_key").agg(
-        F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")
-    )
+    signed = materialize(base.select("doc_id", F.xxhash64("text").alias("text_hash"), of_text("text").alias("s")).select("doc_id", "text_hash", "s.*"), "ngram-signatures")
+    # The first row: the smallest id, then the smallest hash; rows with a null id come last.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("first")
+    nodes = signed.where("text_key is not null").groupBy("text_key").agg(first, F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+    nodes = nodes.select("text_key", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"), "copies", "n_grams", "bands")
     # The number is any one; it is fixed as the table is written.
     return base, signed, materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "ngram-nodes")
 
@@ -202,8 +203,8 @@ def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _named_classes(nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, text_key, copies, first_id, component, class_id) of every node: the class's smallest id."""
-    own = nodes.select("node", "text_key", "copies", "first_id").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    """(node, text_key, copies, first_id, first_hash, component, class_id) of every node: the class's smallest id."""
+    own = nodes.select("node", "text_key", "copies", "first_id", "first_hash").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = own.join(classes.select("node"), "node", "left_semi").groupBy("component").agg(F.min("first_id").alias("named"), F.lit(True).alias("shared"))
     return own.join(names, "component", "left").withColumn("class_id", F.when(F.col("shared"), F.col("named")).otherwise(F.col("first_id"))).drop("named", "shared")
 
@@ -237,7 +238,7 @@ def _stars_for_classes(base: DataFrame, nodes: DataFrame, n: int, threshold: flo
     large = members.join(_sized(members).where("parts > 1").select("component"), "component", "left_semi")
     if large.isEmpty():
         return _verified(base, members, n, threshold).select("node", "star")
-    sets = materialize(_sets_of_nodes(base, large.select("node", "text_key", "first_id"), n), "ngram-large-sets")
+    sets = materialize(_sets_of_nodes(base, large.select("node", "text_key", "first_id", "first_hash"), n), "ngram-large-sets")
     shared = stars.join(large.select("node"), "node", "left_semi").groupBy("node", "hub").count()
     nearest = shared.groupBy("node").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
     pairs = nearest.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("grams").alias("hub_grams")), "hub")
@@ -266,7 +267,7 @@ def _verified(base: DataFrame, members: DataFrame, n: int, threshold: float) ->
     shared = max(1, math.ceil(2 * grams / BLOCK_WORDS))
 
     small = members.join(sized.where("parts = 1").select("component"), "component")
-    small = small.select("node", "text_key", "first_id", "copies", "component", F.array(F.struct(
+    small = small.select("node", "text_key", "first_id", "first_hash", "copies", "component", F.array(F.struct(
         F.lit(-1).cast("long").alias("group"), F.pmod(F.xxhash64("component"), F.lit(shared)).alias("left"), F.lit(-1).cast("long").alias("right"),
         F.lit(0).cast("long").alias("side"), F.lit(False).alias("crossing"))).alias("blocks"))
     # A large group: texts can only be linked to texts of the same or the next class of set size (classes are 1/threshold wide).
@@ -286,7 +287,7 @@ def _verified(base: DataFrame, members: DataFrame, n: int, threshold: float) ->
         code(F.col("band"), F.least(own, k)), code(F.col("band"), F.greatest(own, k)), F.when(own <= k, 0).otherwise(1), own != k))
     up = F.transform(indexes(F.col("above")), lambda k: block(self_code, code(F.col("band") + 1, k), F.lit(0), F.lit(True)))
     down = F.transform(indexes(F.col("below")), lambda k: block(code(F.col("band") - 1, k), self_code, F.lit(1), F.lit(True)))
-    large = large.select("node", "text_key", "first_id", "copies", "component", F.concat(within, up, down).alias("blocks"))
+    large = large.select("node", "text_key", "first_id", "first_hash", "copies", "component", F.concat(within, up, down).alias("blocks"))
 
     sets = _sets_of_nodes(base, small.unionByName(large), n)
     spread = sets.select("node", "copies", "component", "grams", F.inline("blocks"))
@@ -302,16 +303,17 @@ def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = connected_components(_stars_for_classes(base, nodes, N_WORDS, THRESHOLD), "node", "star", "ngram-classes")
     # The keeper: the text with the class's smallest id (none: last), of several the first by digest.
     order = F.struct(F.col("first_id").isNull(), "first_id", "text_key")
-    keepers = _named_classes(nodes, classes).groupBy("component").agg(F.min_by(F.struct("first_id", "text_key"), order).alias("k"))
-    keep_id, keep_key, found = (free_name(docs, x) for x in ("_keep_id", "_keep_key", "_keep_found"))
-    keepers = materialize(keepers.select(F.col("k.first_id").alias(keep_id), F.col("k.text_key").alias(keep_key)), "ngram-keepers")
+    keepers = _named_classes(nodes, classes).groupBy("component").agg(F.min_by(F.struct("first_id", "first_hash", "text_key"), order).alias("k"))
+    keep_id, keep_hash, keep_key, found = (free_name(docs, x) for x in ("_keep_id", "_keep_hash", "_keep_key", "_keep_found"))
+    keepers = materialize(keepers.select(F.col("k.first_id").alias(keep_id), F.col("k.first_hash").alias(keep_hash), F.col("k.text_key").alias(keep_key)), "ngram-keepers")
     text, own = F.col(text_col), columns_of(docs)
     key = F.pandas_udf(_keyed, "binary").asNondeterministic()(text)
     worded = docs.where(text.rlike(r"[A-Za-z0-9_]|[^\x00-\x7F]"))
-    named = worded.join(keepers.where(F.col(keep_id).isNotNull()), F.col(id_col).cast("long") == F.col(keep_id))
+    this = F.xxhash64(text) == F.col(keep_hash)
+    named = worded.join(keepers.where(F.col(keep_id).isNotNull()), (F.col(id_col).cast("long") == F.col(keep_id)) & this)
     named = named.withColumn(found, key).where(F.col(found) == F.col(keep_key)).dropDuplicates([id_col, keep_key])
-    nameless = worded.where(F.col(id_col).isNull()).withColumn(found, key).join(keepers.where(F.col(keep_id).isNull()), F.col(found) == F.col(keep_key))
-    nameless = nameless.dropDuplicates([keep_key])
+    nameless = worded.where(F.col(id_col).isNull()).join(keepers.where(F.col(keep_id).isNull()), this)
+    nameless = nameless.withColumn(found, key).where(F.col(found) == F.col(keep_key)).dropDuplicates([keep_key])
     wordless = docs.where(~F.coalesce(text.rlike(r"[A-Za-z0-9_]|[^\x00-\x7F]"), F.lit(False)))
     return named.select(own).unionByName(nameless.select(own)).unionByName(wordless)
 

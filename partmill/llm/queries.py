@@ -72,7 +72,7 @@ def op8_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_benchmark_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best passage of every document and test item that align."""
-    return decontaminate.leaks_per_item(decontaminate.find_leaks(tables.documents(spark, sf_dir), tables.benchmark(spark, sf_dir)))
+    return decontaminate.find_leaks(tables.documents(spark, sf_dir), tables.benchmark(spark, sf_dir))
 
 
 def op10_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,8 @@ CONTEXT, LABELLED = 60, 3000
 _FORMATS = re.compile(r"(?<![A-Za-z0-9])(?:A(?:KIA|SIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])")
 _ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ \t]*(?:=>|:=|[=:])[ \t]*[\"']?([^\s\"',;]{6,})")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
-_DIGIT, _MIXED = re.compile("[0-9]"), re.compile("(?=[^A-Z]*[A-Z][^A-Z]*[A-Z])[^a-z]*[a-z]")
+#: A run with a digit, or with letters of both cases (two upper-case ones); each pattern reads a run once.
+_DIGIT, _LOW, _TWO_UP = re.compile("[0-9]"), re.compile("[a-z]"), re.compile("[A-Z][^A-Z]*[A-Z]")
 _WORD = re.compile(r"[^\W_]+")
 
 #: Words that stand near secrets, and near values that only look like them.
@@ -105,7 +106,10 @@ def candidates_of(text: str) -> list[tuple[int, int]]:
     sorts = [[m.span() for m in _FORMATS.finditer(text)], [], []]
     if "=" in text or ":" in text:
         sorts[1] = [m.span(1) for m in _ASSIGNED.finditer(text)]
-    sorts[2] = [m.span() for m in _RUN.finditer(text) if _DIGIT.search(m.group()) or _MIXED.search(m.group())]
+    for m in _RUN.finditer(text):
+        run = m.group()
+        if _DIGIT.search(run) or _LOW.search(run) and _TWO_UP.search(run):
+            sorts[2].append(m.span())
     out: list[tuple[int, int]] = []
     for found in sorts:
         # Those of a sort never overlap each other; those taken before are in order, too.

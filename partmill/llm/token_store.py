@@ -45,8 +45,10 @@ from partmill.sources import blobs
 from partmill.sources.storage import materialize, shared_path
 
 MAGIC = b"PMPLANE1"
-#: Ids of a block, and ids after which a task begins another shard.
-BLOCK_IDS, SHARD_IDS = 1 << 16, 1 << 24
+#: Ids of a block, and ids and documents after which a task begins another shard.
+BLOCK_IDS, SHARD_IDS, SHARD_DOCS = 1 << 16, 1 << 24, 1 << 20
+#: Rows that a reader returns together.
+READ_ROWS = 1 << 16
 #: Words whose ids a worker remembers, and characters of short texts that are encoded together.
 REMEMBERED, TOGETHER = 150_000, 1 << 18
 
@@ -302,7 +304,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, kind: str, block_ids: int,
                 ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
                 shard = shard or ShardWriter(f"{folder}/{part:06d}-{seq:04d}-{uuid.uuid4().hex}.ids", kind, block_ids)
                 shard.add(doc_ids[lo:hi], ids, counts)
-                if shard.n_ids >= shard_ids:
+                if shard.n_ids >= shard_ids or len(shard.doc_ids) >= SHARD_DOCS:
                     shard.close()
                     yield done(shard)
                     shard, seq = None, seq + 1
@@ -319,8 +321,9 @@ def write_token_shards(
 ) -> DataFrame:
     """Encodes and writes ``docs``; the manifest: (path, n_docs, n_ids, first: ids in the shards before it)."""
     spark = docs.sparkSession
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
-    ordered = given.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"), F.monotonically_increasing_id().alias("row"))
+    # The row number spreads rows that are alike in all else; which of them comes first makes no difference.
+    ordered = given.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text")
     folder = shared_path(spark, "token-shards")
     written = ordered.mapInArrow(_writer(folder, tokenizer, end_id, kind, block_ids, shard_ids), "part long, seq long, path string, n_docs long, n_ids long")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -363,6 +366,7 @@ def read_token_digests(manifest: DataFrame) -> DataFrame:
                 counts = np.diff(shard.ends, prepend=0)
                 doc_ids = pd.array(shard.doc_ids, dtype="Int64")
                 doc_ids[shard.nulls] = pd.NA
-                yield pd.DataFrame({"doc_id": doc_ids, "start": int(first) + shard.ends - counts, "n_tokens": counts, "ids_crc32": crcs})
+                rows = pd.DataFrame({"doc_id": doc_ids, "start": int(first) + shard.ends - counts, "n_tokens": counts, "ids_crc32": crcs})
+                yield from (rows.iloc[lo : lo + READ_ROWS] for lo in range(0, len(rows), READ_ROWS))
 
     return _spread(manifest).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
