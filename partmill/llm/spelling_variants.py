@@ -5,17 +5,17 @@ code points that occur at least ``MIN_COUNT`` times.  Two are *near* if exactly
 
 Index, count filter, verification
 ---------------------------------
-A word of length l, with q - 1 pads on either side, has l + q - 1 positional q-grams, and one edit spoils at most q of them.  So
-near words, the longer of length l, share at least ``l - 1`` grams whose places fit: the same place, or, where lengths differ,
-the same or the next.  A merge that looks for that many shared grams can leave out all but a word's ``q + 1`` shortest
-posting lists: near words share one of those at least.  So
-
-1.  grams are counted over all words (a table that the alphabet bounds) and each word is posted under its ``q + 1`` rarest;
-2.  postings are shuffled by gram and length class (words of length l meet those of l and l + 1) and sorted by place; a task
-    merges them: each posting meets those of its class at the same place and, if longer, the next.  Postings stream through a task
-    a few thousand at a time, and only those of the last two places are kept, so a frequent gram needs no more memory;
-3.  pairs met are counted on their whole gram rows, those at or above the bound are verified by common prefix and suffix;
-4.  a pair that meets under several grams is kept only at the first of them, so none is counted twice and nothing is removed later.
+Words of length l meet those of l and l + 1, in the class l.  A word's *posting grams* are three disjoint positional ones, a third of l
+long: at the start, after it, and at the end.  One edit spoils at most one of them, and the middle one of a longer word stands where it
+would or one further.  So near words share two posting grams at places that fit, and
+
+1.  each word is posted under each two of its posting grams, in its own class and in that of the words shorter by one;
+2.  postings are shuffled by their two grams, sorted, and merged in streams: the words of a list meet, those of length l first;
+3.  pairs met are counted on all their padded positional 2-grams.  An edit spoils two of them, so near words, the longer of length m,
+    share at least m - 1 at the same place (or the next, where lengths differ).  Rows of grams are packed a byte to a gram, and
+    the equal bytes of two rows are counted in whole machine words; chance can only add to a count;
+4.  those at or above the bound are verified by common prefix and suffix, and kept at the first list under which they meet, so no
+    pair is counted twice and nothing is removed later.
 
 The form of a word is its near word of largest count (ties: smallest by code point) if that is at least ``TIMES`` times the word's
 own; the root is where the forms lead.  Counts grow by ``TIMES`` at each step, so chains are short, and doubling ends them soon.
@@ -30,26 +30,18 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partmill.llm.textcore import mix
 from partmill.sources.storage import materialize
 
-#: Least length and occurrences of a word, letters of a gram, how many times more frequent a form is; a document deletes a letter
-#: of one word in so many.
-MIN_LENGTH, MIN_COUNT, Q, TIMES, DELETES = 7, 2, 3, 10, 31
-#: Words that a task counts before it passes them on; pairs compared at once.
-HELD_WORDS, PAIRS = 500_000, 1 << 18
-#: Words above this length are compared one by one.
-WIDE = 64
+#: Least length and occurrences of a word, how many times more frequent a form is; a document deletes a letter of one word in so many.
+MIN_LENGTH, MIN_COUNT, TIMES, DELETES = 7, 2, 10, 31
+#: Words that a task counts before it passes them on; words posted and pairs compared at once.
+HELD_WORDS, POSTED, PAIRS = 500_000, 20_000, 1 << 19
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 0xC0 else 32 for c in range(256))
-#: Codes: 0 pad, 1 to 26 the letters of ASCII, then U+00C0 on.
-_CODE = np.array([c - 96 if 97 <= c <= 122 else c - 0xC0 + 27 if c >= 0xC0 else 0 for c in range(256)], dtype=np.int32)
-LETTERS = 27 + 64
-
-
 def _count_words(min_length: int, deletes: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
@@ -91,156 +83,146 @@ def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return materialize(found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count), "spelling-words")
 
 
-def _codes(words: list[str], width: int) -> np.ndarray:
-    """A row of letter codes for each word; longer words are cut, shorter ones end in zeros."""
-    raw = np.frombuffer(b"".join(w.encode("latin-1")[:width].ljust(width, b"\0") for w in words), dtype=np.uint8)
-    return _CODE[raw].reshape(len(words), width)
+def _by_length(words: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, letters in a row each) of the words of each length."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        yield size, at, np.frombuffer(b"".join([words[i] for i in at]), dtype=np.uint8).reshape(len(at), size)
 
 
-def _grams(codes: np.ndarray, q: int) -> np.ndarray:
-    """The padded grams of words of one length, a row each."""
-    padded = np.pad(codes, ((0, 0), (q - 1, q - 1)))
-    out = np.zeros((len(codes), codes.shape[1] + q - 1), dtype=np.int64)
-    for k in range(q):
-        out = out * LETTERS + padded[:, k : k + out.shape[1]]
+def _hash(letters: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(letters), dtype=np.uint64)
+    for column in letters.T:
+        out = mix(out + column)
     return out
 
 
-def _rarest(grams: np.ndarray, times: np.ndarray, k: int) -> np.ndarray:
-    """The places of each row's ``k`` rarest grams, rarest first; ties by gram, then place: one order for all words."""
-    order = times[grams] * np.int64(LETTERS**Q) + grams  # counts are below 2**43
-    return np.argsort(order, axis=1, kind="stable")[:, :k]
-
-
-def _by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    for size in np.unique(sizes):
-        yield int(size), np.flatnonzero(sizes == size)
-
-
-def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    times = np.zeros(LETTERS**Q, dtype=np.int64)
-    for pdf in batches:
-        words = pdf["word"].tolist()
-        for size, at in _by_length(words):
-            for lo in range(0, len(at), max(1, PAIRS // size)):
-                times += np.bincount(_grams(_codes([words[i] for i in at[lo : lo + max(1, PAIRS // size)]], size), Q).ravel(), minlength=len(times))
-    found = np.flatnonzero(times)
-    yield pd.DataFrame({"gram": found, "n": times[found]})
-
-
-def _post(shared):
-    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            words, counts = pdf["word"].to_numpy(dtype=object), pdf["n"].to_numpy()
-            for size, every in _by_length(words.tolist()):
-                for lo in range(0, len(every), max(1, PAIRS // size)):
-                    at = every[lo : lo + max(1, PAIRS // size)]
-                    grams = _grams(_codes(words[at].tolist(), size), Q)
-                    places = _rarest(grams, shared.value, Q + 1)
-                    gram = np.take_along_axis(grams, places, axis=1).ravel()
-                    own = np.repeat(at, places.shape[1])
-                    for shorter in (0, 1):  # a class takes in the words of its length and the longer ones by one
-                        yield pd.DataFrame({"gram": gram, "class": np.int64(size - shorter), "place": places.ravel(), "longer": bool(shorter), "word": words[own], "n": counts[own]})
-
-    return post
-
-
-class _Merge:
-    """Merges sorted postings and keeps near pairs."""
-
-    def __init__(self, times: np.ndarray):
-        self.times = times
-
-    def near(self, a: list[str], b: list[str], place_a: np.ndarray, place_b: np.ndarray) -> np.ndarray:
-        """Which pairs are near and meet here first; ``a`` are of one length, ``b`` of that or the next."""
-        size, more = len(a[0]), len(b[0]) - len(a[0])
-        width = size + more
-        x, y = _codes(a, size), _codes(b, width)
-        gx, gy = _grams(x, Q), _grams(y, Q)
-        m = gx.shape[1]
-        shared = (gx == gy[:, :m]).sum(axis=1)
-        if more:
-            shared += ((gx == gy[:, 1:]) & (gx != gy[:, :m])).sum(axis=1)
-        kept = np.flatnonzero(shared >= width - 1)
-        x, y, gx, gy = x[kept], y[kept], gx[kept], gy[kept]
+def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        every, counts = [w.encode("latin-1") for w in batch.column("word").to_pylist()], batch.column("n").to_numpy()
+        for lo in range(0, len(every), POSTED):
+            words, n = np.array(every[lo : lo + POSTED], dtype=object), counts[lo : lo + POSTED]
+            for size, at, letters in _by_length(words.tolist()):
+                own = pa.array(words[at].tolist(), pa.binary())
+                for longer in (0, 1):
+                    length = size - longer
+                    q = length // 3
+                    first, last = _hash(letters[:, :q]), _hash(letters[:, size - q :])
+                    middle = [_hash(letters[:, q + k : 2 * q + k]) for k in ((0, 1) if longer else (0, 0))]
+                    for kind, (a, b) in enumerate(((first, middle[0]), (first, last), (middle[-1], last))):
+                        key = mix(mix(a + np.uint64(3 * length + kind)) ^ b)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(at), length)), pa.array(key.view(np.int64)), pa.array(np.full(len(at), kind)), pa.array(np.full(len(at), bool(longer))), own, pa.array(n[at])],
+                            names=["class", "grams", "kind", "longer", "word", "n"],
+                        )
+
+
+_LOW, _HIGH = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
+
+
+def _packed_grams(letters: np.ndarray) -> np.ndarray:
+    """The padded 2-grams of words of one length, a row each and a byte to a gram."""
+    padded = np.pad(letters, ((0, 0), (1, 1))).astype(np.uint16)
+    return ((padded[:, :-1] * 167 + padded[:, 1:] * 59) >> 1).astype(np.uint8)
+
+
+def _as_words(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as columns of 64-bit words, zeros at the end."""
+    width = -(-rows.shape[1] // 8) * 8
+    return np.ascontiguousarray(np.ascontiguousarray(np.pad(rows, ((0, 0), (0, width - rows.shape[1])))).view(np.uint64).T)
+
+
+def _equal_bytes(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, width: int) -> np.ndarray:
+    """In how many of ``width`` bytes the rows i of ``a`` and j of ``b`` are equal."""
+    out = np.zeros(len(i), dtype=np.int64)
+    for x, y in zip(a, b, strict=True):
+        differ = x[i] ^ y[j]
+        differ = (((differ & _LOW) + _LOW) | differ) & _HIGH
+        out += np.bitwise_count(differ)
+    return width - out
+
+
+class _Class:
+    """Postings of one class, in order; words of the class's length and longer ones by one."""
+
+    def __init__(self, size: int, words: list[bytes], longer: np.ndarray):
+        self.size, self.longer = size, longer
+        row = np.frombuffer(b"".join(w.ljust(size + 1, b"\0") for w in words), dtype=np.uint8).reshape(len(words), size + 1)
+        self.letters = row
+        start, end = np.zeros((len(words), size + 1), dtype=np.uint8), np.zeros((len(words), size + 1), dtype=np.uint8)
+        start[~longer] = _packed_grams(row[~longer, :size])
+        both = _packed_grams(row[longer])
+        start[longer], end[longer] = both[:, :-1], both[:, 1:]
+        self.start, self.end = _as_words(start), _as_words(end)
+
+    def near(self, i: np.ndarray, j: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Which pairs are near and meet here first; i are of the class's length, j of that or longer."""
+        size, q = self.size, self.size // 3
+        more = self.longer[j]
+        shared = _equal_bytes(self.start, self.start, i, j, size + 1)
+        cross = np.flatnonzero(more)
+        shared[cross] += _equal_bytes(self.start, self.end, i[cross], j[cross], size + 1)
+        kept = np.flatnonzero(shared >= size - 1 + more)
+        i, j, more, kind = i[kept], j[kept], more[kept], kind[kept]
+        a, b = self.letters[i, :size], self.letters[j]
         # Verified: common prefix and suffix cover all but one letter of the longer word.
-        prefix = np.cumprod(x == y[:, :size], axis=1).sum(axis=1)
-        suffix = np.cumprod((x == y[:, more:])[:, ::-1], axis=1).sum(axis=1)
-        ok = (prefix + suffix >= width - 1) & ((more > 0) | (prefix < size))
-        kept, gx, gy = kept[ok], gx[ok], gy[ok]
-        if not len(kept):
-            return kept
-        # The first meeting: of the grams by which both words are posted at places that fit, the first in the order of all grams.
-        px, py = _rarest(gx, self.times, Q + 1), _rarest(gy, self.times, Q + 1)
-        kx, ky = np.take_along_axis(gx, px, axis=1), np.take_along_axis(gy, py, axis=1)
-        step = py[:, None, :] - px[:, :, None]
-        meet = (kx[:, :, None] == ky[:, None, :]) & (step >= 0) & (step <= more)
-        first = meet.reshape(len(kept), -1).argmax(axis=1)
-        i, j = first // meet.shape[2], first % meet.shape[2]
-        rows = np.arange(len(kept))
-        return kept[(px[rows, i] == place_a[kept]) & (py[rows, j] == place_b[kept])]
-
-    def pairs(self, pdf: pd.DataFrame, old: int) -> Iterator[pd.DataFrame]:
-        """Near pairs of sorted postings of which the first ``old`` have already met each other."""
-        gram, size, place, longer = (pdf[c].to_numpy() for c in ("gram", "class", "place", "longer"))
-        words, counts = pdf["word"].to_numpy(dtype=object), pdf["n"].to_numpy()
-        new_class = np.concatenate([[True], (np.diff(gram) != 0) | (np.diff(size) != 0)])
-        code = np.cumsum(new_class) * np.int64(1 << 32) + place
-        short, long = np.flatnonzero(~longer), np.flatnonzero(longer)
-        meetings = [(short, code[short] + step, long) for step in (0, 1)]
-        for k, (left, wanted, right) in enumerate([(short, code[short], short), *meetings]):
-            # Of the partners at the wanted place: all; of a word's own length only those after it, so no pair is met twice.
-            lo, hi = (np.searchsorted(code[right], wanted, side=s) for s in ("left", "right"))
-            if k == 0:
-                lo = np.arange(len(left)) + 1
-            many = np.maximum(hi - lo, 0)
-            ends, at = np.cumsum(many), 0
-            while at < len(left):
-                until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
-                n = many[at:until]
-                i = np.repeat(left[at:until], n)
-                j = right[np.repeat(lo[at:until] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-                at = until
-                fresh = (i >= old) | (j >= old)
-                i, j = i[fresh], j[fresh]
-                for one in np.unique(size[i]):
-                    own = np.flatnonzero(size[i] == one)
-                    step = PAIRS if one <= WIDE else max(1, PAIRS * WIDE // int(one))
-                    for part in range(0, len(own), step):
-                        a, b = i[own[part : part + step]], j[own[part : part + step]]
-                        found = self.near(words[a].tolist(), words[b].tolist(), place[a], place[b])
-                        if len(found):
-                            a, b = a[found], b[found]
-                            yield pd.DataFrame({"word": np.concatenate([words[a], words[b]]), "near": np.concatenate([words[b], words[a]]), "n": np.concatenate([counts[a], counts[b]]), "near_n": np.concatenate([counts[b], counts[a]])})
-
-
-def _merge(shared):
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        merging, held = None, None
-        for pdf in batches:
-            merging = merging or _Merge(shared.value)
-            old = 0 if held is None else len(held)
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            yield from merging.pairs(pdf, old)
-            # What the next postings can still meet: those of the last class at the last place and the one before.
-            last = pdf.iloc[-1]
-            held = pdf[(pdf["gram"] == last["gram"]) & (pdf["class"] == last["class"]) & (pdf["place"] >= last["place"] - 1)]
-
-    return merge
+        same = a == b[:, :size]
+        prefix = np.cumprod(same, axis=1, dtype=np.int64).sum(axis=1)
+        suffix = np.cumprod(np.where(more[:, None], a == b[:, 1:], same)[:, ::-1], axis=1, dtype=np.int64).sum(axis=1)
+        ok = (prefix + suffix >= size - 1 + more) & (more | (prefix < size))
+        # The first list: that of the first two grams, then that of the outer ones.
+        met = np.where(kind == 1, same[:, q : 2 * q].all(axis=1), np.where(kind == 2, same[:, :q].all(axis=1), False))
+        return kept[ok & ~met]
+
+
+def _near_of(size: int, grams: np.ndarray, kind: np.ndarray, longer: np.ndarray, words: list[bytes], counts: np.ndarray, old: int) -> Iterator[pa.RecordBatch]:
+    """Near pairs of sorted postings of a class; the first ``old``, of one list, have already met each other."""
+    ends = np.searchsorted(grams, grams, side="right")
+    left = np.flatnonzero(~longer)
+    lo = np.maximum(left + 1, np.where(grams[left] == grams[0], old, 0)) if old else left + 1
+    many = np.maximum(ends[left] - lo, 0)
+    if not many.sum():
+        return
+    held, total, at = _Class(size, words, longer), np.cumsum(many), 0
+    step = max(1, PAIRS * 16 // max(16, size))
+    while at < len(left):
+        until = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + step, side="right")))
+        n = many[at:until]
+        offset = np.repeat(lo[at:until] - (np.cumsum(n) - n), n)
+        i, j = np.repeat(left[at:until], n), offset + np.arange(len(offset))
+        found = held.near(i, j, kind[i])
+        at = until
+        if len(found):
+            i, j = i[found], j[found]
+            a, b = ([words[k].decode("latin-1") for k in x.tolist()] for x in (i, j))
+            yield pa.RecordBatch.from_arrays([pa.array(a + b, pa.string()), pa.array(b + a, pa.string()), pa.array(np.concatenate([counts[i], counts[j]])), pa.array(np.concatenate([counts[j], counts[i]]))], names=["word", "near", "n", "near_n"])
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        old = held.num_rows if held is not None else 0
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        size, grams, kind, longer, counts = (table.column(c).to_numpy() for c in ("class", "grams", "kind", "longer", "n"))
+        words = table.column("word").to_pylist()
+        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(size)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            yield from _near_of(int(size[lo]), grams[lo:hi], kind[lo:hi], longer[lo:hi], words[lo:hi], counts[lo:hi], old if lo == 0 else 0)
+        # What the next postings can still meet: the last list.
+        last = cuts[-2] + int(np.searchsorted(grams[cuts[-2] :], grams[-1]))
+        held = table.slice(last).combine_chunks()
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """(word, near, n, near_n): every near pair of ``words`` (word, n), both ways."""
-    spark = words.sparkSession
-    rows = words.mapInPandas(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most LETTERS**Q rows
-    times = np.zeros(LETTERS**Q, dtype=np.int64)
-    for gram, n in rows:
-        times[gram] = n
-    shared = spark.sparkContext.broadcast(times)
-    posts = words.mapInPandas(_post(shared), "gram long, class long, place long, longer boolean, word string, n long")
-    dealt = posts.repartition("gram", "class").sortWithinPartitions("gram", "class", "place")
-    return dealt.mapInPandas(_merge(shared), "word string, near string, n long, near_n long")
+    posts = words.mapInArrow(_post, "class long, grams long, kind long, longer boolean, word binary, n long")
+    dealt = posts.repartition("grams", "class").sortWithinPartitions("class", "grams", "longer")
+    return dealt.mapInArrow(_merge, "word string, near string, n long, near_n long")
 
 
 def follow_forms(forms: DataFrame) -> DataFrame:
