@@ -6,9 +6,10 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from partmill.sources import feed
 from partmill.sources.storage import materialize, shared_path
 from partmill.sources.storage import read_table as t
-from partmill.streaming import events, stock
+from partmill.streaming import events, holds, stock
 
 _PULL_AT, _NOW = "2024-01-15 00:00:00", datetime.datetime(2024, 1, 20)
 
@@ -68,6 +69,31 @@ def hold_expiry(spark, sf):
     return released.join(entries.select("hold_id", "reserved_change"), "hold_id", "left").select("hold_id", "status", "reserved_change")
 
 
+def stream_stock_holds(spark, sf):
+    """Balances of items after counts, holds with and without an end, releases and settlements; holds that are due expire by timers."""
+    step, own = F.col("event_id") % 4, F.col("event_id") - F.col("event_id") % 4
+    moves = _stream(spark, sf).select(
+        (F.floor(F.col("event_id") / 4) % 97).cast("long").alias("item"), F.col("event_id").alias("id"), F.timestamp_seconds("event_id").alias("at"),
+        F.when(step == 0, "count").when(step == 1, "hold").when((step == 2) & (own % 3 == 0), "release").when((step == 3) & (own % 5 == 0), "settle").otherwise("none").alias("kind"),
+        F.ceil("value").cast("long").alias("units"), F.when(step > 0, own).alias("hold_id"), F.when((step == 1) & (own % 7 == 0), F.timestamp_seconds(F.col("event_id") + 100)).alias("expires_at"),
+    )
+    entries = holds.run_stock(moves, shared_path(spark, "stream-holds"))
+    last = F.max_by(F.struct("reported", "reserved"), "seq").alias("b")
+    return entries.groupBy("item").agg(last, F.count_if(~F.col("applied")).alias("void")).select("item", "b.reported", "b.reserved", "void")
+
+
+def feed_pull(spark, sf):
+    """A paged feed in three states, pulled in turn: what was there at first, what changed, and, in another version, less than before."""
+    e = t(spark, sf, "events").select((F.col("event_id") + 1).alias("id"), F.col("ts").cast("timestamp").alias("changed_at"), F.round(F.col("value") * 100).cast("long").alias("quantity"))
+    cut = datetime.datetime.fromisoformat(_PULL_AT)
+    folder, state, schema = shared_path(spark, "feed-source"), shared_path(spark, "feed-state"), "id long, changed_at timestamp, quantity long"
+    later = datetime.timedelta(days=1000)
+    for rows, version, at in ((e.where(F.col("changed_at") < F.lit(_PULL_AT).cast("timestamp")), "1", cut), (e, "1", cut + later), (e.where("id % 9 <> 0"), "2", cut + 2 * later)):
+        feed.write_feed(rows, folder, version, at)
+        kept = feed.pull_stream(spark, folder, schema, state, page_size=10_000)
+    return kept.select("id", "quantity", "withdrawn")
+
+
 QUERIES = {
     "stream_first_events": (stream_first_events, "SELECT event_id, MIN(user_id) AS user_id, MIN(event_type) AS event_type, MIN(value) AS value FROM events GROUP BY 1"),
     "stream_visits": (stream_visits, """WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -77,6 +103,12 @@ QUERIES = {
     "stream_ledger_state": (stream_ledger_state, """SELECT user_id AS item, event_id AS id, CAST(round(value * 100) AS BIGINT) AS change,
         CAST(SUM(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS balance, TRUE AS in_order FROM events"""),
     "stream_kept_view": (stream_kept_view, "SELECT user_id, COUNT(*) AS events, MAX(event_id) AS last_event FROM events GROUP BY 1"),
+    "stream_stock_holds": (stream_stock_holds, """WITH m AS (SELECT event_id // 4 % 97 AS item, event_id - event_id % 4 AS own, event_id % 4 AS step, CAST(ceil(value) AS BIGINT) AS units FROM events),
+        k AS (SELECT item, step, own, units, CASE WHEN step = 2 AND own % 3 = 0 THEN 'end' WHEN step = 3 AND own % 5 = 0 THEN 'end' WHEN step > 1 THEN 'none' END AS kind FROM m),
+        h AS (SELECT own, item, MAX(units) FILTER (step = 1) AS held, COUNT(*) FILTER (kind = 'end') AS ends FROM k GROUP BY 1, 2),
+        b AS (SELECT item, CAST(SUM(CASE WHEN ends = 0 AND own % 7 <> 0 THEN held ELSE 0 END) AS BIGINT) AS reserved, SUM(greatest(ends - 1, 0)) + SUM(CASE WHEN held IS NULL THEN least(ends, 1) ELSE 0 END) AS void FROM h GROUP BY 1)
+        SELECT item, CAST(COALESCE(SUM(units) FILTER (step = 0), 0) AS BIGINT) AS reported, any_value(reserved) AS reserved, CAST(any_value(void) + COUNT(*) FILTER (kind = 'none') AS BIGINT) AS void FROM k JOIN b USING (item) GROUP BY 1"""),
+    "feed_pull": (feed_pull, "SELECT event_id + 1 AS id, CAST(round(value * 100) AS BIGINT) AS quantity, (event_id + 1) % 9 = 0 AS withdrawn FROM events"),
     "pull_with_cursor": (pull_with_cursor, "SELECT user_id, MAX(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, user_id % 7 = 0 AS withdrawn FROM events GROUP BY 1"),
     "hold_expiry": (hold_expiry, f"""WITH h AS (SELECT event_id AS hold_id, CAST(ceil(value) AS BIGINT) AS units, event_type <> 'error' AND event_id % 5 <> 0 AND ts + INTERVAL 1 DAY <= TIMESTAMP '{_NOW}' AS due, event_type FROM events)
         SELECT hold_id, CASE WHEN event_type = 'error' THEN 'closed' WHEN due THEN 'released' ELSE 'open' END AS status, CASE WHEN due THEN -units END AS reserved_change FROM h"""),

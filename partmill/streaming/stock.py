@@ -2,51 +2,36 @@
 up to date from changed keys.
 
 Jobs end by themselves (``availableNow``) and keep their state under one folder, so a new run takes up where the last stopped; a
-batch that is run again after a failure writes the same version once more."""
+batch that is run again after a failure writes the same rows once more."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from partmill.streaming.kept import KeptTable, SeenRows
+
 
 def _run(writer, state: str) -> None:
     writer.option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
-def _versions(spark: SparkSession, folder: str) -> list[int]:
-    """The versions of a kept table that are whole, lowest first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(path):
-        return []
-    names = [s.getPath() for s in store.listStatus(path)]
-    return sorted(int(p.getName()) for p in names if p.getName().isdigit() and store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-
-def current(spark: SparkSession, folder: str, schema, before: int | None = None) -> DataFrame:
-    """The last whole version of a kept table (before batch ``before``, if given); no rows without one."""
-    found = [v for v in _versions(spark, folder) if before is None or v < before]
-    return spark.read.schema(schema).parquet(f"{folder}/{found[-1]}") if found else spark.createDataFrame([], schema)
-
-
 def ingest_once(updates: DataFrame, keys: list[str], order: list[str], state: str) -> DataFrame:
     """Every update once, by its key: the first by ``order`` in a batch, and none that an earlier batch had.  Returns the table."""
-    folder, schema = f"{state}/updates", updates.schema
+    seen = SeenRows(updates.sparkSession, f"{state}/updates", updates.schema, keys)
 
     def take(batch: DataFrame, number: int) -> None:
-        seen = current(batch.sparkSession, folder, schema, before=number)
         rest = [c for c in batch.columns if c not in keys]
         first = batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*").select(batch.columns)
-        new = first.join(seen.select(*keys), keys, "left_anti")
-        seen.unionByName(new).write.mode("overwrite").parquet(f"{folder}/{number}")
+        had = seen.before(number, first).select(F.struct(*keys).alias("_had"))
+        seen.add(number, first.join(had, F.struct(*keys).eqNullSafe(F.col("_had")), "left_anti"))
 
     _run(updates.writeStream.foreachBatch(take), state)
-    return current(updates.sparkSession, folder, schema)
+    return seen.read()
 
 
 _LEDGER = "item long, at timestamp, id long, change long, balance long, in_order boolean"
@@ -59,7 +44,9 @@ def _balances(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     micros = rows["at"].astype("int64") if rows["at"].dtype.kind != "M" else rows["at"].astype("datetime64[us]").astype("int64")
     late = (micros < last) | ((micros == last) & (rows["id"] <= last_id))
     totals = balance + rows["change"].cumsum()
-    state.update((int(totals.iloc[-1]), max(last, int(micros.iloc[-1])), int(rows["id"].iloc[-1])))
+    # The greatest (time, id) of all: a late row of a greater id does not move it.
+    last, last_id = max((last, last_id), (int(micros.iloc[-1]), int(rows["id"].iloc[-1])))
+    state.update((int(totals.iloc[-1]), last, last_id))
     yield pd.DataFrame({"item": key[0], "at": rows["at"], "id": rows["id"], "change": rows["change"], "balance": totals, "in_order": ~late})
 
 
@@ -74,15 +61,14 @@ def ledger_state(moves: DataFrame, state: str) -> DataFrame:
 def kept_view(changes: DataFrame, key: str, recompute: Callable[[DataFrame], DataFrame], schema, state: str) -> DataFrame:
     """A table kept up to date: each batch's distinct keys are computed anew by ``recompute`` (keys -> rows) and take the place of
     theirs; a key that gives no row goes.  Returns the table."""
-    folder = f"{state}/view"
+    view = KeptTable(changes.sparkSession, f"{state}/view", schema, [key])
 
     def refresh(batch: DataFrame, number: int) -> None:
         keys = batch.select(key).distinct()
-        old = current(batch.sparkSession, folder, schema, before=number)
-        old.join(keys, key, "left_anti").unionByName(recompute(keys)).write.mode("overwrite").parquet(f"{folder}/{number}")
+        view.replace(number, keys, recompute(keys))
 
     _run(changes.writeStream.foreachBatch(refresh), state)
-    return current(changes.sparkSession, folder, schema)
+    return view.read()
 
 
 def rebuild(view: DataFrame, everything: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
