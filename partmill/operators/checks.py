@@ -11,6 +11,11 @@ def differing(a: DataFrame, b: DataFrame, key: str, left: Column, right: Column)
     return a.join(b, key).where(~left.eqNullSafe(right))
 
 
+def orphans(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Rows whose key no row of ``known`` has; a null key is an orphan."""
+    return rows.join(known.select(key), key, "left_anti")
+
+
 def differing_sums(counted: DataFrame, rows: DataFrame, key: str, column: str, units: str) -> DataFrame:
     """(key, counted, found) where ``column`` of ``counted`` is not the sum of ``units`` of ``rows``; missing is 0 on both sides."""
     sums = rows.groupBy(key).agg(F.sum(units).alias("found"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: states in which a reference belongs to one line alone.
 EXCLUSIVE = ("verificado", "declarado")
+#: How sure a reference's state is, surest first; others come last.
+STATES = ("verificado", "declarado", "inferido", "disputa")
 DISPUTED = "disputa"
 TIERS = ("interna_exacta", "interna_sin_marca", "interna", "exacta", "sin_marca", "familia")
 
@@ -15,13 +17,13 @@ def resolve_items(items: DataFrame, references: DataFrame, exclusive: tuple[str,
     """(item_id, rule, action, line_id, ref_id, guard, lines) of every item that some reference's key names.
 
     items: item_id, supplier_id, clave, brand (canonical, '' for none), root (head of the brand's family); references: ref_id,
-    line_id, clave, brand, root, supplier_id (null: public), state.  One equi join on the key; then the first tier that has a
+    line_id, clave, brand, root, supplier_id (null: public), state, and is_main where there is one.  One equi join on the key; then the first tier that has a
     reference decides:
 
     1. the supplier's own exclusive references of the item's brand, else those without a brand, else (items without one) any;
     2. for items with a brand public references of that brand, else without brand, else of its family; for others all public.
 
-    The own tier attaches to its smallest reference.  A public tier attaches where all its references are on one line and one
+    Inside a tier the main reference comes first, then the surest state, then the smallest id.  The own tier attaches to its first.  A public tier attaches where all its references are on one line and one
     is exclusive (a brandless item prefers one without a brand); else it is a case, with the guard ``disputa`` where one is in
     dispute, ``lineas`` otherwise.  Items with a null or empty key match nothing."""
     keyed = items.where("clave <> ''").select("item_id", "clave", F.col("supplier_id").alias("own"), F.col("brand").alias("named"), F.col("root").alias("family"))
@@ -37,7 +39,11 @@ def resolve_items(items: DataFrame, references: DataFrame, exclusive: tuple[str,
         .when(public & ((F.col("brand") == "") | ~has), 4)
         .when(public & (F.col("root") == F.col("family")), 5)
     )
-    pick = F.struct((~has & (F.col("brand") != "")).alias("b"), "ref_id", "line_id", F.col("brand").alias("brand"))
+    main = F.coalesce(F.col("is_main"), F.lit(False)) if "is_main" in references.columns else F.lit(False)
+    sure = F.coalesce(*[F.when(F.col("state") == s, k) for k, s in enumerate(STATES)], F.lit(len(STATES)))
+    # A brandless item prefers a reference without a brand in the public tiers only.
+    branded = (~has & (F.col("brand") != "") & public).alias("b")
+    pick = F.struct(branded, (~main).alias("other"), sure.alias("sure"), "ref_id", "line_id", F.col("brand").alias("brand"))
     met = both.withColumn("tier", tier).where("tier is not null").groupBy("item_id", "tier").agg(
         F.count_distinct("line_id").alias("lines"), F.min(F.when(alone, pick)).alias("pick"), F.bool_or(F.col("state") == DISPUTED).alias("disputed")
     )

@@ -79,8 +79,8 @@ def problem_counts(spark, sf):
 
 
 def first_seen_created(spark, sf):
-    first = read_table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("item")).agg(F.min("l_shipdate").alias("created_at"))
-    return first.select("item", "created_at", F.lit(0).cast("long").alias("before"))
+    """An item's first entry, and what the balance it recorded says was there before."""
+    return entries(spark, sf).where("seq = 1").select("item", F.col("shipped").alias("created_at"), (F.col("recorded") - F.col("change")).alias("before"))
 
 
 QUERIES = {
@@ -93,5 +93,5 @@ QUERIES = {
     "ledger_day_range": (ledger_day_range, _ENTRIES_SQL + " SELECT item, COUNT(*) AS n, CAST(SUM(change) AS BIGINT) AS change FROM l WHERE shipped >= TIMESTAMP '1998-03-01' AND shipped < TIMESTAMP '1998-04-01' GROUP BY 1"),
     "problem_counts": (problem_counts, _ENTRIES_SQL + """, b AS (SELECT *, CASE WHEN recorded > before + change THEN 'too_high' ELSE 'too_low' END AS problem FROM c WHERE recorded <> before + change)
         SELECT problem, COUNT(*) AS n, array_to_string(list_sort(list(DISTINCT item))[1:5], ',') AS sample FROM b GROUP BY 1"""),
-    "first_seen_created": (first_seen_created, _ENTRIES_SQL + " SELECT item, shipped AS created_at, balance - change AS before FROM l WHERE seq = 1"),
+    "first_seen_created": (first_seen_created, _ENTRIES_SQL + " SELECT item, shipped AS created_at, recorded - change AS before FROM l WHERE seq = 1"),
 }

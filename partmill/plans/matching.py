@@ -105,7 +105,7 @@ def matching_tiers(spark, sf):
     state = F.when(F.col("p_size") % 7 == 0, "disputa").when(F.col("p_size") % 7 == 1, "otro").otherwise("verificado")
     refs = p.where("p_partkey % 2 = 1").select(
         F.col("p_partkey").alias("ref_id"), F.floor(F.col("p_partkey") / 50).cast("long").alias("line_id"), F.concat_ws("/", "p_name", "p_type").alias("clave"), brand.alias("brand"), root.alias("root"),
-        F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey") % 5).alias("supplier_id"), state.alias("state"),
+        F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey") % 5).alias("supplier_id"), state.alias("state"), (F.col("p_partkey") % 4 == 1).alias("is_main"),
     )
     return matching.resolve_items(items, refs)
 
@@ -192,8 +192,8 @@ QUERIES = {
         j AS (SELECT i.p_partkey AS item_id, i.brand AS ib, r.*, CASE WHEN supplier = i.p_partkey % 5 AND state = 'verificado' AND (r.brand = i.brand) THEN 0 WHEN supplier = i.p_partkey % 5 AND state = 'verificado' AND r.brand = '' THEN 1
           WHEN supplier = i.p_partkey % 5 AND state = 'verificado' AND i.brand = '' THEN 2 WHEN supplier IS NULL AND i.brand <> '' AND r.brand = i.brand THEN 3 WHEN supplier IS NULL AND (r.brand = '' OR i.brand = '') THEN 4
           WHEN supplier IS NULL AND r.root = i.root THEN 5 END AS tier FROM p i JOIN r ON r.clave = i.clave WHERE i.p_partkey % 2 = 0),
-        k AS (SELECT *, row_number() OVER (PARTITION BY item_id, tier ORDER BY state <> 'verificado', ib = '' AND brand <> '', ref_id) AS rn FROM j WHERE tier IS NOT NULL QUALIFY tier = MIN(tier) OVER (PARTITION BY item_id)),
-        g AS (SELECT item_id, tier, COUNT(DISTINCT line_id) AS lines, bool_or(state = 'verificado') AS alone, bool_or(state = 'disputa') AS disputed, MAX(line_id) FILTER (rn = 1) AS line_id, MAX(ref_id) FILTER (rn = 1) AS ref_id, bool_or(rn = 1 AND ib = '' AND brand <> '') AS b FROM k GROUP BY 1, 2),
+        k AS (SELECT *, row_number() OVER (PARTITION BY item_id, tier ORDER BY state <> 'verificado', ib = '' AND brand <> '' AND supplier IS NULL, ref_id % 4 <> 1, ref_id) AS rn FROM j WHERE tier IS NOT NULL QUALIFY tier = MIN(tier) OVER (PARTITION BY item_id)),
+        g AS (SELECT item_id, tier, COUNT(DISTINCT line_id) AS lines, bool_or(state = 'verificado') AS alone, bool_or(state = 'disputa') AS disputed, MAX(line_id) FILTER (rn = 1) AS line_id, MAX(ref_id) FILTER (rn = 1) AS ref_id, bool_or(rn = 1 AND ib = '' AND brand <> '' AND supplier IS NULL) AS b FROM k GROUP BY 1, 2),
         a AS (SELECT *, tier < 3 OR (lines = 1 AND alone) AS attach FROM g)
         SELECT item_id, CASE WHEN tier < 3 THEN 'interna' WHEN attach AND tier = 4 AND b THEN 'marca_de_la_linea' ELSE ['exacta', 'sin_marca', 'familia'][tier - 2] END AS rule, CASE WHEN attach THEN 'attach' ELSE 'case' END AS action,
           CASE WHEN attach THEN line_id END AS line_id, CASE WHEN attach THEN ref_id END AS ref_id, CASE WHEN NOT attach THEN CASE WHEN disputed THEN 'disputa' ELSE 'lineas' END END AS guard, lines FROM a"""),

@@ -18,7 +18,9 @@ def dq_one_main(spark, sf):
 
 
 def dq_orphans(spark, sf):
-    return t(spark, sf, "lineitem").where("l_orderkey % 3 = 0").select("l_orderkey").distinct().join(t(spark, sf, "orders").where("o_orderkey % 2 = 0"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
+    """Orders that lines name and that are not there, and orders without a line."""
+    named, known = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key")).distinct(), t(spark, sf, "orders").select(F.col("o_orderkey").alias("key"))
+    return checks.orphans(named, known, "key").select("key", F.lit("no_order").alias("kind")).unionByName(checks.orphans(known, named, "key").select("key", F.lit("no_line").alias("kind")))
 
 
 def dq_key_on_two_lines(spark, sf):
@@ -196,7 +198,8 @@ def change_collapse(spark, sf):
 
 QUERIES = {
     "dq_one_main": (dq_one_main, "SELECT p_name, COUNT(*) FILTER (p_partkey % 5 = 0) AS mains FROM part GROUP BY 1 HAVING COUNT(*) FILTER (p_partkey % 5 = 0) <> 1"),
-    "dq_orphans": (dq_orphans, "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 3 = 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderkey % 2 = 0)"),
+    "dq_orphans": (dq_orphans, """SELECT DISTINCT l_orderkey AS key, 'no_order' AS kind FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+        UNION ALL SELECT o_orderkey, 'no_line' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"""),
     "dq_key_on_two_lines": (dq_key_on_two_lines, "SELECT a.p_partkey AS plain, b.p_partkey AS branded FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey <> b.p_partkey WHERE a.p_size < 10 AND b.p_size > 40"),
     "dq_brand_known": (dq_brand_known, """SELECT p_partkey, p_brand FROM part WHERE p_size = 25 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_size < 25 AND p_brand < 'Brand#2')
         AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_type = 'PROMO' AND p_brand > 'Brand#3')"""),

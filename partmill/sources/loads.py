@@ -57,11 +57,14 @@ def read_stock(raw: DataFrame) -> DataFrame:
     price = amount(F.col("price"))
     whole = F.when(F.col("quantity").rlike(r"^[0-9]{1,9}(\.0+)?$"), F.col("quantity").try_cast("decimal(20,0)").cast("long"))
     rows = rows.withColumns({"clave": code_key(F.col("code")), "_price": price, "_units": whole})
+    named, nameless = rows.where("code is not null"), rows.where("code is null")
+    # Rows without a code repeat nothing and would all share one window.
     times = F.count("*").over(Window.partitionBy("clave", F.upper(F.coalesce("brand", F.lit("")))))
+    rows = named.withColumn("_times", times).unionByName(nameless.withColumn("_times", F.lit(1).cast("long")))
     formula = F.exists(F.array(*STOCK_TITLES), lambda c: F.coalesce(c.startswith("="), F.lit(False)))
     errors = F.array_compact(F.array(
         F.when(F.col("code").isNull() | (F.length("code") > 120), "code"), F.when(formula, "formula"), F.when(F.col("_units").isNull(), "quantity"),
-        F.when(F.col("_price.error").isNotNull(), F.concat(F.lit("price:"), F.col("_price.error"))), F.when(F.col("code").isNotNull() & (times > 1), "repeated"),
+        F.when(F.col("_price.error").isNotNull(), F.concat(F.lit("price:"), F.col("_price.error"))), F.when(F.col("_times") > 1, "repeated"),
     ))
     return rows.select("row", "code", "clave", F.upper("brand").alias("brand"), "description", F.col("_units").alias("quantity"), F.col("_price.value").alias("price"), errors.alias("errors"))
 

@@ -127,3 +127,18 @@ def test_checks(spark):
     assert [r["id"] for r in checks.unattended(items, cases, "id", "at", F.lit(datetime.datetime(2024, 1, 1, 10)).cast("timestamp_ntz")).collect()] == [2]
     a, b = spark.createDataFrame([(1, "x"), (2, None), (3, "y")], "id long, p string"), spark.createDataFrame([(1, "x"), (2, None), (3, "z")], "id long, q string")
     assert [r["id"] for r in checks.differing(a, b, "id", F.col("p"), F.col("q")).collect()] == [3]
+
+
+def test_rank_inside_a_tier(spark):
+    refs = lambda *rows: spark.createDataFrame([(r, line, "K", "KAIYI", "CHERY", own, state, main) for r, line, own, state, main in rows], REF + ", is_main boolean")
+    items = spark.createDataFrame([(1, 1, "K", "KAIYI", "CHERY")], ITEM)
+    pick = lambda *rows: matching.resolve_items(items, refs(*rows)).first()["ref_id"]
+    assert pick((1, 10, None, "declarado", False), (2, 10, None, "verificado", False)) == 2
+    assert pick((1, 10, None, "verificado", False), (2, 10, None, "declarado", True)) == 2
+    assert pick((1, 10, None, "verificado", False), (2, 10, None, "verificado", None)) == 1
+    assert pick((1, 10, 1, "declarado", False), (2, 20, 1, "verificado", False), (3, 30, None, "verificado", True)) == 2
+
+
+def test_orphans(spark):
+    rows, known = spark.createDataFrame([(1,), (2,), (None,)], "key long"), spark.createDataFrame([(1,), (3,), (None,)], "key long")
+    assert sorted(str(r["key"]) for r in checks.orphans(rows, known, "key").collect()) == ["2", "None"]
