@@ -252,17 +252,22 @@ def spec_conflict(a: Column, b: Column) -> Column:
     return reduce(lambda p, q: p | q, parts)
 
 
-def head_and_qualifier(text: Column, heads: Mapping[str, str], qualifiers: Mapping[str, Sequence[str]], filler: Sequence[str] = ("DE", "PARA", "P", "EL", "LA")) -> Column:
+def head_and_qualifier(text: Column, heads: Mapping[str, str], qualifiers: Mapping[str, Sequence[str]], filler: Sequence[str] = ("DE", "PARA", "P", "EL", "LA"), synonyms: Mapping[str, str] | None = None, groups: Mapping[tuple[str, str], str] | None = None) -> Column:
     """``struct<head, qualifier>``: the first noun of a description by its synonym, and the first word after it (of the next
-    three, filler left out) where it is one of that noun's qualifiers."""
+    three, filler left out) where it, or its synonym, is one of that noun's qualifiers; ``groups``: (head, qualifier) -> the name that
+    several of a noun's qualifiers share."""
     words = F.regexp_extract_all(wide_fold(text), F.lit("([A-Z][A-Z0-9/]*)"), 1)
     first = F.regexp_extract(F.coalesce(F.try_element_at(words, F.lit(1)), F.lit("")), "^([A-Z]+)", 1)
     head = F.coalesce(F.try_element_at(_map(heads), first), first)
     following = F.filter(F.slice(words, 2, 3), lambda w: ~w.isin(*filler))
     allowed = F.create_map(*[x for h, qs in qualifiers.items() for x in (F.lit(h), F.array(*map(F.lit, qs)))])
     word = F.try_element_at(following, F.lit(1))
-    fits = F.coalesce(F.array_contains(F.try_element_at(allowed, head), word), F.lit(False))
-    return F.struct(head.alias("head"), F.when(fits, word).otherwise("").alias("qualifier"))
+    named = F.coalesce(F.try_element_at(_map(synonyms), word), word) if synonyms else word
+    own = F.try_element_at(allowed, head)
+    fits = F.coalesce(F.array_contains(own, named) | F.array_contains(own, word), F.lit(False))
+    if groups:
+        named = F.coalesce(F.try_element_at(_map({f"{h} {q}": g for (h, q), g in groups.items()}), F.concat_ws(" ", head, named)), named)
+    return F.struct(head.alias("head"), F.when(fits, named).otherwise("").alias("qualifier"))
 
 
 def first_rule(text: Column, rules: Sequence[tuple[str, str]], given: Column | None = None) -> Column:

@@ -30,14 +30,37 @@ def _latin_letters() -> tuple[str, str]:
 MARKED, UNMARKED = _latin_letters()
 
 
+def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
+    """What compatibility decomposition without marks makes of a character: one other, or several (fractions, ligatures, numerals).
+
+    All of the basic plane but syllables, whose parts are no marks; several only where letters, numbers and their forms are."""
+    one, many = {}, {}
+    for n in [*range(0x80, 0xAC00), *range(0xE000, 0xFFFE)]:
+        out = "".join(x for x in unicodedata.normalize("NFKD", chr(n)) if not unicodedata.combining(x))
+        if out != chr(n) and len(out) == 1:
+            one[chr(n)] = out
+        elif len(out) > 1 and (n < 0x2600 or 0xFB00 <= n < 0xFB07):
+            many[chr(n)] = out
+    return one, many
+
+
+SINGLE, SEVERAL = _decompositions()
+
+
 def fold(text: Column) -> Column:
     """Search folding: the accents of ``ACCENTED`` off, composed or not, upper case."""
     return F.upper(F.translate(F.regexp_replace(text, _COMPOSED, "$1$2"), ACCENTED, PLAIN))
 
 
 def wide_fold(text: Column) -> Column:
-    """The wider folding: all marks off Latin letters, upper case, single spaces."""
-    plain = F.regexp_replace(F.translate(F.upper(text), MARKED, UNMARKED), r"\p{M}", "")
+    """The wider folding: upper case, then compatibility forms decomposed (½, ², º, full-width letters) and all marks off; single spaces.
+
+    Letters that only come from decomposing stay as they come: ``Nº`` is ``No``."""
+    upper = F.upper(text)
+    several = F.create_map(*[F.lit(x) for pair in SEVERAL.items() for x in pair])
+    spelt = F.array_join(F.transform(F.split(upper, ""), lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
+    upper = F.when(upper.rlike("[" + "".join(SEVERAL) + "]"), spelt).otherwise(upper)
+    plain = F.regexp_replace(F.translate(upper, "".join(SINGLE), "".join(SINGLE.values())), r"\p{M}", "")
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 

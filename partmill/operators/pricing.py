@@ -9,6 +9,8 @@ MONEY = "decimal(12,2)"
 #: Greater wins.
 SCOPES, TARGETS = {"client": 2, "all": 1}, {"item": 4, "line": 3, "brand": 2, "all": 1}
 LARGEST = 9_999_999_999.99
+#: Volume breaks shown.
+MAX_BREAKS = 2
 
 
 def _rank(values: dict[str, int], of: str) -> Column:
@@ -43,6 +45,45 @@ def general_discounts(profiles: DataFrame) -> DataFrame:
     )
 
 
+def _rule_price(parity: bool) -> tuple[Column, Column, Column]:
+    """Whether a line's base price can be used, that price, and what a candidate rule makes of it (null: it can't be used)."""
+    same = lambda c: (c == F.col("currency")) | F.lit(parity)
+    usable_base = F.col("base_price").isNotNull() & F.coalesce(same(F.col("base_currency")), F.lit(False))
+    base = F.col("base_price").cast(MONEY)
+    net = F.when(same(F.col("rule.currency")), F.col("rule.value"))
+    off = F.when(usable_base, F.round(base * (F.lit(100).cast("decimal(5,0)") - F.col("rule.value")) / 100, 2))
+    return usable_base, base, F.when(F.col("rule.kind") == "net_price", net).otherwise(off).cast(MONEY)
+
+
+def _order() -> Column:
+    """Smallest first: negated ranks, higher price, older, id.  A null creation day sorts before all."""
+    scope, target = _rank(SCOPES, "rule.scope"), _rank(TARGETS, "rule.target")
+    return F.struct((-scope).alias("a"), (-target).alias("b"), (-F.col("rule.min_quantity")).alias("c"), (-F.col("price")).alias("d"), F.col("rule.created_at").alias("e"), F.col("rule.rule_id").cast("string").alias("f"))
+
+
+def volume_breaks(lines: DataFrame, rules: DataFrame, parity: bool = False, most: int = MAX_BREAKS) -> DataFrame:
+    """(line_id, step, min_quantity, unit_price, rule_id): the next ``most`` quantities above a line's own at which its price changes.
+
+    At every least quantity of a rule that fits the line the rule is chosen anew; a price that stays is no break, nor is one that no
+    rule gives.  Lines and rules as for ``price_lines``; a line carries its rules, so their number is bounded by the rule table."""
+    usable_base, base, price = _rule_price(parity)
+    pool = candidate_rules(lines, rules).withColumn("price", price)
+    held = F.collect_list(F.struct(F.col("rule.min_quantity").alias("least"), _order().alias("o"), "price", F.col("rule.rule_id").cast("string").alias("rule_id"))).alias("rules")
+    per = pool.groupBy("line_id").agg(held, F.first("quantity").alias("quantity"), F.first(F.when(usable_base, F.round(base, 2).cast(MONEY))).alias("base"))
+    chosen = lambda q: F.array_min(F.transform(F.filter("rules", lambda r: (r["least"] <= q) & r["price"].isNotNull()), lambda r: F.struct(r["o"].alias("o"), r["price"].alias("price"), r["rule_id"].alias("rule_id"))))
+    now = F.coalesce(chosen(F.col("quantity"))["price"], F.col("base"))
+    start = F.struct(F.when(now <= LARGEST, now).alias("last"), F.array().cast(f"array<struct<min_quantity:bigint,unit_price:{MONEY},rule_id:string>>").alias("found"))
+    ahead = F.array_sort(F.array_distinct(F.filter(F.col("rules.least"), lambda q: q > F.col("quantity"))))
+
+    def step(state: Column, q: Column) -> Column:
+        rule = chosen(q)
+        moved = rule["price"].isNotNull() & (rule["price"] <= LARGEST) & ~rule["price"].eqNullSafe(state["last"]) & (F.size(state["found"]) < most)
+        new = F.concat(state["found"], F.array(F.struct(q.cast("long").alias("min_quantity"), rule["price"].alias("unit_price"), rule["rule_id"].alias("rule_id"))))
+        return F.struct(F.when(moved, rule["price"]).otherwise(state["last"]).alias("last"), F.when(moved, new).otherwise(state["found"]).alias("found"))
+
+    return per.select("line_id", F.posexplode(F.aggregate(ahead, start, step)["found"]).alias("step", "b")).select("line_id", (F.col("step") + 1).alias("step"), "b.*")
+
+
 def price_lines(lines: DataFrame, rules: DataFrame, parity: bool = False) -> DataFrame:
     """``lines`` with rule_id (null: none), unit_price, status and ``codes``, sorted.
 
@@ -50,17 +91,11 @@ def price_lines(lines: DataFrame, rules: DataFrame, parity: bool = False) -> Dat
     another currency than the line's (with ``parity`` currencies are equal) or where it takes off a price that is missing.
     Status: priced, out_of_range, currency_mismatch, missing.  Codes: below_floor, rule_conflict (an equally specific rule gives
     a lower price), currency_mismatch, currency_parity, no_list_price.  Each line_id must occur once."""
-    same = lambda c: (c == F.col("currency")) | F.lit(parity)
-    usable_base = F.col("base_price").isNotNull() & F.coalesce(same(F.col("base_currency")), F.lit(False))
-    base = F.col("base_price").cast(MONEY)
-    net = F.when(same(F.col("rule.currency")), F.col("rule.value"))
-    off = F.when(usable_base, F.round(base * (F.lit(100).cast("decimal(5,0)") - F.col("rule.value")) / 100, 2))
-    price = F.when(F.col("rule.kind") == "net_price", net).otherwise(off).cast(MONEY)
+    usable_base, base, price = _rule_price(parity)
     fits = candidate_rules(lines, rules).where(F.col("rule.min_quantity") <= F.col("quantity")).withColumn("price", price)
     scope, target = _rank(SCOPES, "rule.scope"), _rank(TARGETS, "rule.target")
     specific = F.struct(scope.alias("scope"), target.alias("target"), F.col("rule.min_quantity").alias("least"))
-    # Smallest first: negated ranks, unusable last, higher price, older, id.  A null creation day sorts before all.
-    order = F.struct((-scope).alias("a"), (-target).alias("b"), (-F.col("rule.min_quantity")).alias("c"), (-F.col("price")).alias("d"), F.col("rule.created_at").alias("e"), F.col("rule.rule_id").cast("string").alias("f"))
+    order = _order()
     usable = fits.where("price is not null").select("line_id", order.alias("o"), specific.alias("specific"), "price", F.col("rule.rule_id").cast("string").alias("rule_id"), F.when(F.col("rule.kind") == "net_price", F.col("rule.currency")).otherwise(F.col("base_currency")).alias("result_currency"))
     won = usable.groupBy("line_id").agg(F.min_by(F.struct("rule_id", "price", "specific", "result_currency"), "o").alias("w"))
     tied = usable.join(won.select("line_id", F.col("w.specific").alias("specific"), F.col("w.price").alias("won")), ["line_id", "specific"]).where("price < won").select("line_id").distinct()

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,28 +31,28 @@ def expand_aliases(docs: DataFrame, key: str, text_col: str, aliases: DataFrame)
     return docs.join(names, key, "left").withColumn("added", F.coalesce("_added", F.array().cast("array<string>"))).drop("_added")
 
 
-def _edits(a: str, b: str) -> int:
-    """Letters to change, add, drop or swap with a neighbour."""
-    before, last = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            best = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, before[j - 2] + 1)
-            row.append(best)
-        before, last = last, row
-    return last[-1]
+def edits(a: Column, b: Column) -> Column:
+    """Optimal string alignment distance up to 2 (a swap of neighbours is one edit); greater ones may come out greater than they are.
 
+    Levenshtein's distance counts a swap as two: words at 2 of it are one apart if swapping makes them equal, words at 3 or 4 are two
+    apart if undoing the first swap (or both) leaves as much.  The swap is where the common prefix ends."""
+    plain = F.levenshtein(a, b)
 
-def edits(a: Column, b: Column) -> Column:
-    """Optimal string alignment distance: a swap of neighbours is one edit."""
+    def swapped(x: Column, y: Column) -> Column:
+        """x with its first difference from y swapped back, where two neighbours stand crosswise there; null else."""
+        n = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.least(F.length(x), F.length(y)), F.lit(1))), lambda k: F.substr(x, F.lit(1), k) == F.substr(y, F.lit(1), k)))
+        crosswise = (F.substr(x, n + 1, F.lit(1)) == F.substr(y, n + 2, F.lit(1))) & (F.substr(x, n + 2, F.lit(1)) == F.substr(y, n + 1, F.lit(1))) & (F.length(x) >= n + 2) & (F.length(y) >= n + 2)
+        return F.when(crosswise, F.concat(F.substr(x, F.lit(1), n), F.substr(y, n + 1, F.lit(2)), F.substr(x, n + 3)))
 
-    def each(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, y in batches:
-            yield pd.Series([_edits(p, q) for p, q in zip(x, y, strict=True)], dtype="int32")
+    front, back = swapped(a, b), F.reverse(swapped(F.reverse(a), F.reverse(b)))
+    both = swapped(back, b)
+    return F.least(plain, F.levenshtein(front, b) + 1, F.levenshtein(back, b) + 1, F.levenshtein(both, b) + 2).cast("int")
 
-    return F.pandas_udf(each, "int")(a, b)
+
+def _pieces(word: Column, length: Column, most: int) -> Column:
+    """A word's ``most`` + 1 pieces, cut as words of ``length`` are: (number, piece)."""
+    size = F.floor(length / (most + 1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.struct(k.alias("k"), F.when(k < most, F.substr(word, k * size + 1, size)).otherwise(F.substr(word, k * size + 1)).alias("piece")))
 
 
 def _without(word: Column, most: int) -> Column:
@@ -69,14 +66,31 @@ def _without(word: Column, most: int) -> Column:
     return kept
 
 
-def typo_fixes(vocabulary: DataFrame, known: int, most: int = 2, short: int = 5) -> DataFrame:
-    """(word, fix, edits): words of ``vocabulary`` (word, n) used less than ``known`` times that are at most ``most`` edits from
+def typo_fixes(vocabulary: DataFrame, known: int, most: int = 2, short: int = 5, long: int = 16) -> DataFrame:
+    """(word, fix, edits): words of ``vocabulary`` (word, n) used less than ``known`` times that are at most ``most`` (1 or 2) edits from
     one used as often (one edit for words shorter than ``short``).
 
-    Two words within k edits share what is left after k letters are dropped from each: they meet on that, never all with all."""
-    left = vocabulary.select("word", "n", F.explode(_without(F.col("word"), most)).alias("rest"))
-    rare, common = left.where(F.col("n") < known).drop("n"), left.where(F.col("n") >= known).select(F.col("word").alias("fix"), "rest")
-    pairs = rare.join(common, "rest").select("word", "fix").distinct()
+    Two words within k edits share what is left after k letters are dropped from each: words of up to ``long`` letters meet on that.
+    Of longer ones, which would have too many such keys, a piece is whole in the other: a swap touches two letters, so of
+    ``2 * most`` + 1 pieces one is, moved by ``most`` places at most.  They meet on the length they were cut by, the piece and its
+    place.  Never all meet all, and a word's keys do not grow faster than its length."""
+    rare, common = vocabulary.where(F.col("n") < known).select("word"), vocabulary.where(F.col("n") >= known).select(F.col("word").alias("fix"))
+    left = lambda df, name, reach: df.where(F.length(name) <= reach).select(name, F.explode(_without(F.col(name), most)).alias("rest"))
+    by_rest = left(rare, "word", long).join(left(common, "fix", long + most), "rest").select("word", "fix")
+    cut = rare.where(F.length("word") > long).select("word", F.length("word").alias("cut"), F.explode(_pieces(F.col("word"), F.length("word"), 2 * most)).alias("p")).select("word", "cut", "p.*")
+    by_piece = cut.join(_shifted(common.where(F.length("fix") > long - most), most, 2 * most), ["cut", "k", "piece"]).select("word", "fix")
+    pairs = by_rest.unionByName(by_piece).distinct()
     # A swap is two edits for levenshtein, so nothing within reach is lost here.
     near = pairs.where(F.levenshtein("word", "fix") <= 2 * most).withColumn("edits", edits(F.col("word"), F.col("fix")))
     return near.where(F.col("edits") <= F.when(F.length("word") >= short, most).otherwise(1))
+
+
+def _shifted(words: DataFrame, most: int, parts: int) -> DataFrame:
+    """(fix, cut, k, piece) of ``words`` (fix): what a word of ``cut`` letters can have as its k-th piece if ``fix`` is within ``most`` edits of it."""
+    each = words.select("fix", F.explode(F.sequence(F.greatest(F.length("fix") - most, F.lit(1)), F.length("fix") + most)).alias("cut"))
+    each = each.select("fix", "cut", F.floor(F.col("cut") / (parts + 1)).cast("int").alias("size"), F.explode(F.sequence(F.lit(0), F.lit(parts))).alias("k"))
+    each = each.select("*", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("shift")).withColumn("at", F.col("k") * F.col("size") + 1 + F.col("shift"))
+    # The last piece goes to the end of the word, however long that is.
+    rest = F.col("cut") - F.col("k") * F.col("size")
+    wide = F.when(F.col("k") < parts, F.col("size")).otherwise(rest)
+    return each.where((F.col("at") >= 1) & (F.col("at") + wide - 1 <= F.length("fix"))).select("fix", "cut", "k", F.substr("fix", F.col("at"), wide).alias("piece")).distinct()

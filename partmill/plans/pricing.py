@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partmill.operators.pricing import price_lines
+from partmill.operators.pricing import volume_breaks as engine_breaks
 from partmill.operators.relational import top_row
 from partmill.sources.storage import read_table as t
 
@@ -144,6 +145,17 @@ def pricing_engine(spark, sf):
     return found.groupBy("rule_id", "status", F.array_join("codes", ",").alias("codes"), "brand").agg(F.count("*").alias("n"), F.sum("unit_price").cast("decimal(20,2)").alias("total"))
 
 
+def volume_breaks(spark, sf):
+    """The next quantities at which the engine's price of a part changes, for client 7, from 2 units on."""
+    schema = "rule_id string, scope string, profile_id string, target string, target_value string, kind string, value string, currency string, min_quantity long, valid_from string, valid_until string, active boolean, created_at string"
+    rules = spark.createDataFrame(list(ENGINE_RULES), schema).withColumns({"value": F.col("value").cast(_CENTS), "valid_from": F.col("valid_from").cast("date"), "valid_until": F.col("valid_until").cast("date"), "created_at": F.col("created_at").cast("timestamp_ntz")})
+    lines = t(spark, sf, "part").select(
+        F.col("p_partkey").alias("line_id"), F.when(F.col("p_partkey") % 2 == 0, "7").otherwise("8").alias("profile_id"), F.col("p_partkey").cast("string").alias("item_id"), F.col("p_brand").alias("brand"), F.col("p_type").alias("discount_group"),
+        F.lit(TODAY).cast("date").alias("day"), F.lit(2).cast("long").alias("quantity"), F.lit("USD").alias("currency"), F.when(F.col("p_partkey") % 13 != 0, F.col("p_retailprice").cast(_CENTS)).alias("base_price"), F.lit("USD").alias("base_currency"),
+    )
+    return engine_breaks(lines, rules)
+
+
 _FITS = f"""WITH {_rules_sql()}, i AS (SELECT p_partkey, p_brand, CAST(p_retailprice AS DECIMAL(12,2)) AS list_price FROM part),
 fit AS (SELECT i.*, rule.*, CASE target WHEN 'item' THEN 3 WHEN 'brand' THEN 2 ELSE 1 END AS specific,
   CAST(CASE WHEN kind = 'net_price' THEN amount * 100 ELSE floor((CAST(list_price * 100 AS BIGINT) * CAST((100 - amount) * 100 AS BIGINT) + 5000) // 10000) END AS BIGINT) AS cents
@@ -168,8 +180,24 @@ def _engine_sql() -> str:
       p_brand AS brand, COUNT(*) AS n, CAST(CAST(SUM(cents) AS DECIMAL(20,2)) / 100 AS DECIMAL(20,2)) AS total FROM g GROUP BY 1, 2, 3, 4"""
 
 
+def _breaks_sql() -> str:
+    quote = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else f"'{v}'"
+    rows = ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in ENGINE_RULES)
+    return f"""WITH rule AS (SELECT * FROM (VALUES {rows}) AS r({_ENGINE}) WHERE active AND (valid_until IS NULL OR CAST(valid_until AS DATE) >= DATE '{TODAY}')),
+    line AS (SELECT p_partkey AS line_id, CASE WHEN p_partkey % 2 = 0 THEN '7' ELSE '8' END AS client, p_brand, p_type, CASE WHEN p_partkey % 13 <> 0 THEN CAST(CAST(p_retailprice AS DECIMAL(12,2)) * 100 AS BIGINT) END AS base FROM part),
+    fit AS (SELECT line.*, rule.rule_id, rule.created_at, CASE scope WHEN 'client' THEN 2 ELSE 1 END AS s, CASE target WHEN 'item' THEN 4 WHEN 'line' THEN 3 WHEN 'brand' THEN 2 ELSE 1 END AS g, min_quantity AS q,
+      CASE WHEN kind = 'net_price' THEN CASE WHEN rule.currency = 'USD' THEN CAST(CAST(value AS DECIMAL(12,2)) * 100 AS BIGINT) END ELSE (base * (10000 - CAST(CAST(value AS DECIMAL(12,2)) * 100 AS BIGINT)) + 5000) // 10000 END AS cents
+      FROM line JOIN rule ON (scope = 'all' OR client = profile_id) AND (target = 'all' OR target = 'item' AND target_value = CAST(line_id AS VARCHAR) OR target = 'brand' AND target_value = p_brand OR target = 'line' AND target_value = p_type)),
+    qs AS (SELECT DISTINCT line_id, q AS t FROM fit WHERE q > 2 UNION SELECT line_id, 2 FROM line),
+    c AS (SELECT qs.line_id, t, arg_min(cents, (-s, -g, -q, -cents, created_at, rule_id)) AS cents, arg_min(rule_id, (-s, -g, -q, -cents, created_at, rule_id)) AS rule_id FROM qs JOIN fit ON fit.line_id = qs.line_id AND q <= t AND cents IS NOT NULL GROUP BY 1, 2),
+    p AS (SELECT qs.line_id, qs.t, COALESCE(c.cents, CASE WHEN qs.t = 2 THEN base END) AS cents, c.rule_id FROM qs JOIN line USING (line_id) LEFT JOIN c ON c.line_id = qs.line_id AND c.t = qs.t),
+    b AS (SELECT *, lag(cents) OVER (PARTITION BY line_id ORDER BY t) AS before FROM p WHERE cents IS NOT NULL OR t = 2)
+    SELECT line_id, CAST(row_number() OVER (PARTITION BY line_id ORDER BY t) AS INTEGER) AS step, CAST(t AS BIGINT) AS min_quantity, CAST(cents / 100 AS DECIMAL(12,2)) AS unit_price, rule_id FROM b WHERE t > 2 AND cents IS DISTINCT FROM before QUALIFY step <= 2"""
+
+
 QUERIES = {
     "pricing_engine": (pricing_engine, _engine_sql()),
+    "volume_breaks": (volume_breaks, _breaks_sql()),
     "pricing_rules": (pricing_rules, _FITS + """ SELECT p_partkey, CAST(rule_id AS BIGINT) AS rule_id, list_price, CAST(cents / 100 AS DECIMAL(12,2)) AS price FROM fit WHERE min_quantity <= 12
         QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY specific DESC, min_quantity DESC, cents DESC, rule_id) = 1"""),
     "price_breaks": (price_breaks, _FITS + """, q AS (SELECT DISTINCT min_quantity AS quantity FROM rule),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partmill.plans import availability, catalog, dashboard, entities, ledger, matching, orders, pricing, quality, review, streams, texts, writes
+from partmill.plans import availability, catalog, dashboard, entities, ledger, matching, orders, pricing, quality, quotations, review, streams, texts, writes
 
-_MODULES = (availability, dashboard, catalog, orders, ledger, pricing, matching, quality, review, streams, texts, writes, entities)
+_MODULES = (availability, dashboard, catalog, orders, ledger, pricing, matching, quality, review, streams, texts, writes, entities, quotations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

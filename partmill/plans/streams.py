@@ -23,6 +23,14 @@ def stream_first_events(spark, sf):
     return events.run_once(events.first_of_each(_stream(spark, sf))).select("event_id", "user_id", "event_type", "value")
 
 
+def stream_rejects(spark, sf):
+    """Events taken in by an id that two share: the first of each, and the other as rejected."""
+    halved = _stream(spark, sf).withColumn("event_id", F.floor(F.col("event_id") / 2).cast("long"))
+    taken, rejected = events.take_events(halved, shared_path(spark, "stream-rejects"))
+    count = lambda df, what: df.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids")).withColumn("outcome", F.lit(what))
+    return count(taken, "taken").unionByName(count(rejected, "rejected"))
+
+
 def stream_visits(spark, sf):
     """Sessions of 30 minutes that the watermark has closed."""
     return events.run_once(events.visits(_stream(spark, sf))).select("user_id", F.unix_micros("started_at").alias("started_micros"), "events")
@@ -96,6 +104,8 @@ def feed_pull(spark, sf):
 
 QUERIES = {
     "stream_first_events": (stream_first_events, "SELECT event_id, MIN(user_id) AS user_id, MIN(event_type) AS event_type, MIN(value) AS value FROM events GROUP BY 1"),
+    "stream_rejects": (stream_rejects, """WITH e AS (SELECT event_id // 2 AS id, event_type, row_number() OVER (PARTITION BY event_id // 2 ORDER BY ts, event_id) = 1 AS first FROM events)
+        SELECT event_type, COUNT(*) AS n, COUNT(DISTINCT id) AS ids, CASE WHEN first THEN 'taken' ELSE 'rejected' END AS outcome FROM e GROUP BY event_type, first"""),
     "stream_visits": (stream_visits, """WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         s AS (SELECT *, SUM(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS visit FROM g)
         SELECT user_id, epoch_us(MIN(ts)) AS started_micros, COUNT(*) AS events FROM s GROUP BY user_id, visit HAVING MAX(ts) + INTERVAL 30 MINUTE <= (SELECT date_trunc('milliseconds', MAX(ts)) - INTERVAL 1 HOUR FROM events)"""),

@@ -5,10 +5,12 @@ The jobs end by themselves (``availableNow``) and keep their state in the shared
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from partmill.sources.storage import shared_path
+from partmill.streaming.kept import SeenRows
 
 #: Our policy for late events, and the inactivity that ends a visit.
 WATERMARK, GAP = "1 hour", "30 minutes"
@@ -40,7 +42,32 @@ def run_once(stream: DataFrame, out: str | None = None, mode: str = "append") ->
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def take_events(events: DataFrame, state: str) -> tuple[DataFrame, DataFrame]:
+    """(taken, rejected) of a stream: each event id once, the first; a repeat with other contents is rejected, one with the same is nothing.
+
+    Ids are kept in buckets with a digest of their contents, so a repeat is told however late it comes; a batch reads only the
+    buckets of its ids."""
+    spark, schema = events.sparkSession, StructType([*events.schema.fields, StructField("digest", StringType())])
+    taken, rejected = SeenRows(spark, f"{state}/taken", schema, ["event_id"]), SeenRows(spark, f"{state}/rejected", schema, ["event_id"])
+
+    def take(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("digest", _content()).select(schema.fieldNames())
+        first = rows.groupBy("event_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "event_id"]), F.struct("ts", "digest")).alias("_r")).select("event_id", "_r.*")
+        had = taken.before(number, rows, ["digest"]).select(F.col("event_id").alias("_id"), F.col("digest").alias("_had"))
+        known = first.join(had, F.col("event_id").eqNullSafe(F.col("_id")), "left")
+        accepted = known.select(F.col("event_id").alias("_id"), F.coalesce("_had", "digest").alias("_had"), F.col("_had").isNotNull().alias("_known"))
+        taken.add(number, known.where("_had is null").select(schema.fieldNames()))
+        others = rows.distinct().join(accepted, F.col("event_id").eqNullSafe(F.col("_id"))).where("digest <> _had")
+        rejected.add(number, others.select(schema.fieldNames()))
+
+    events.writeStream.foreachBatch(take).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return taken.read().drop("digest"), rejected.read().drop("digest")
+
+
+def _content() -> Column:
+    return F.sha2(F.to_json(F.struct("ts", "user_id", "event_type", "value", "props")), 256)
+
+
 def conflicting_repeats(events: DataFrame) -> DataFrame:
     """Ids that occur with different contents: an error, not a repeat (batch check of what was taken in)."""
-    content = F.sha2(F.to_json(F.struct("ts", "user_id", "event_type", "value", "props")), 256)
-    return events.groupBy("event_id").agg(F.count_distinct(content).alias("contents")).where("contents > 1")
+    return events.groupBy("event_id").agg(F.count_distinct(_content()).alias("contents")).where("contents > 1")

@@ -79,10 +79,10 @@ class SeenRows:
     def read(self) -> DataFrame:
         return self._all().select(self.table.schema.fieldNames())
 
-    def before(self, number: int, keys: DataFrame) -> DataFrame:
-        """The keys that batches before ``number`` added to the buckets of ``keys``."""
+    def before(self, number: int, keys: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+        """The keys (and ``more`` columns) that batches before ``number`` added to the buckets of ``keys``."""
         own = [r[0] for r in keys.select(self.table.bucket()).distinct().collect()]
-        return self._all().where(F.col("_bucket").isin(own) & (F.col("_batch") < number)).select(self.table.key)
+        return self._all().where(F.col("_bucket").isin(own) & (F.col("_batch") < number)).select(*self.table.key, *more)
 
     def add(self, number: int, rows: DataFrame) -> None:
         named = rows.select(self.table.schema.fieldNames()).withColumns({"_bucket": self.table.bucket(), "_batch": F.lit(number)})

@@ -92,3 +92,53 @@ def test_descriptions(spark):
     assert each(spark, lambda t, g: parts.first_rule(t, rules, g), [("bujía", None), ("bujía", "Bujías"), ("bujía", "cables")], "t string, g string") == ["bujias", "bujias", None]
     assert each(spark, parts.masked, ["a@b.co pide $ 12.50 y 5 % en 04465-33450", "te cuesta 45 USD"]) == ["[email] pide [amount] y [amount] en 04465-33450", "te cuesta [amount]"]
     assert each(spark, lambda t: parts.masked(t, numbers=True), ["tengo 3 de BKR6E-11"]) == ["tengo [number] de BKR6E-11"]
+
+
+def osa(a, b):
+    d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_typo_fixes_equal_all_pairs(spark):
+    import random
+
+    from partmill.operators import text_joins
+
+    rng = random.Random(12)
+
+    def typo(w):
+        w = list(w)
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(w)) if w else 0
+            what = rng.randrange(4)
+            if what == 0 and len(w) > k + 1:
+                w[k], w[k + 1] = w[k + 1], w[k]
+            elif what == 1 and len(w) > 1:
+                del w[k]
+            elif what == 2:
+                w.insert(k, rng.choice("ABC"))
+            elif w:
+                w[k] = rng.choice("ABC")
+        return "".join(w)
+
+    common = {"".join(rng.choice("ABCDE") for _ in range(rng.choice([2, 4, 5, 9, 15, 16, 17, 18, 30, 60]))) for _ in range(60)}
+    rare = {typo(rng.choice(sorted(common))) for _ in range(300)} - common - {""}
+    rows = [(w, 9) for w in common] + [(w, 1) for w in rare]
+    got = {(r["word"], r["fix"], r["edits"]) for r in text_joins.typo_fixes(spark.createDataFrame(rows, "word string, n long"), 5).collect()}
+    assert got == {(w, f, osa(w, f)) for w in rare for f in common if osa(w, f) <= (2 if len(w) >= 5 else 1)}
+
+
+def test_wide_fold_decomposes_everything(spark):
+    import unicodedata
+
+    from partmill.functions.text import wide_fold
+
+    plain = lambda t: " ".join("".join(c for c in unicodedata.normalize("NFKD", t.upper()) if not unicodedata.combining(c)).split())
+    texts = ["Nº 5", "1ª", "½ x ²", "ＦＵＬＬ　ｗｉｄｔｈ１", "ﬁltro", "Ⅳ №", "é É ñ ß", "áb", "…"]
+    got = [r["x"] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string").select("k", wide_fold(F.col("t")).alias("x")).orderBy("k").collect()]
+    assert got == list(map(plain, texts))

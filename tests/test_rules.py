@@ -142,3 +142,24 @@ def test_rank_inside_a_tier(spark):
 def test_orphans(spark):
     rows, known = spark.createDataFrame([(1,), (2,), (None,)], "key long"), spark.createDataFrame([(1,), (3,), (None,)], "key long")
     assert sorted(str(r["key"]) for r in checks.orphans(rows, known, "key").collect()) == ["2", "None"]
+
+
+def test_volume_breaks_are_the_prices_at_each_threshold(spark):
+    rules = [rule("a", "5"), rule("b", "10", least=5), rule("c", "10", least=8, made=2), rule("d", "20", least=10, target="brand", aimed="KIA"), rule("e", "30", least=20), rule("n", "70", least=12, kind="net_price", currency="EUR", target="item", aimed="7"), rule("x", "99", least=6, active=False)]
+    given = {"line_id": 1, "profile_id": "P", "item_id": "7", "brand": "KIA", "discount_group": "G", "day": DAY, "quantity": 1, "currency": "USD", "base_price": Decimal(100), "base_currency": "USD", "floor_price": None}
+
+    def breaks(rules, parity=False, most=9, **line):
+        return [tuple(r)[2:] for r in pricing.volume_breaks(spark.createDataFrame([tuple((given | line).values())], LINE), spark.createDataFrame(rules, RULE), parity, most).orderBy("step").collect()]
+
+    for parity in (False, True):
+        for quantity in (1, 5, 9, 12):
+            last, want = priced(spark, rules, parity, quantity=quantity)[1], []
+            for q in sorted({r[8] for r in rules if r[8] > quantity and r[11]}):
+                rid, price, *_ = priced(spark, rules, parity, quantity=q)
+                if rid and price and price != last:
+                    want.append((q, Decimal(price), rid))
+                    last = price
+            assert breaks(rules, parity, quantity=quantity) == want
+    assert breaks(rules, most=2) == [(5, Decimal("90.00"), "b"), (10, Decimal("80.00"), "d")]
+    assert breaks(rules, base_price=None) == [] and breaks([rule("n", "9", least=3, kind="net_price")], base_price=None) == [(3, Decimal("9.00"), "n")]
+    assert breaks([rule("a", "5")]) == []
