@@ -1,7 +1,7 @@
 """Benchmark decontamination: n-gram seeds join texts to test items, Smith-Waterman alignment scores the passage.
 
 1.  The n-grams of the items are counted in the corpus.  An item's seeds are its rare n-grams; one is frequent if it would make
-    more hits than ``FREQUENT`` of all n-grams that the corpus has (occurrences x items with it).  A frequent n-gram is a seed
+    more than ``FEW`` hits (occurrences x items with it) and more than ``FREQUENT`` of all n-grams that the corpus has.  A frequent n-gram is a seed
     only where no rare one shares a word with it, so every stretch of an item is covered, also of items that have no rare ones.
     An edit breaks the n-grams around it and no others.  Out of reach are copies without a run of ``n`` unedited words that
     holds a seed, for example those of which every second or third word is replaced.
@@ -81,8 +81,10 @@ def _verbatim(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int] | No
 
 
 def _rare_seeds(grams: np.ndarray, item: np.ndarray, place: np.ndarray, hits: np.ndarray, most: float, n: int) -> np.ndarray:
-    """Which n-grams (by item and place) are seeds: rare ones, and frequent ones that share no word with a rare one."""
-    rare = hits <= most
+    """Which n-grams (by item and place) are seeds: rare ones, and frequent ones that share no word with a rare one.
+
+    One that the corpus does not have at all is no seed to rely on."""
+    rare = (hits > 0) & (hits <= most)
     near = rare.copy()
     for d in range(1, n):
         # Places of an item follow each other, and an item's places are in order.
@@ -145,7 +147,7 @@ def _block_of(texts: list[str], ids: list[int | None], n: int, window: int, min_
         times = np.zeros(len(own) + 1, dtype=np.int64)
         for row in docs.mapInPandas(_count_seeds(own, n), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
             times[row["seed"]] = row["n"]
-        long = long[_rare_seeds(grams[long], seed_item[long], seed_pos[long], (times[:-1] * items_with)[which], frequent * times[-1], n)]
+        long = long[_rare_seeds(grams[long], seed_item[long], seed_pos[long], (times[:-1] * items_with)[which], max(frequent * times[-1], FEW), n)]
         needed = np.minimum(needed, np.maximum(np.bincount(seed_item[long], minlength=len(items)), 1))
     order = long[np.argsort(grams[long], kind="stable")]
     return _Block(items, ids, needed, grams[order], seed_item[order], seed_pos[order], short)
@@ -241,6 +243,8 @@ def _passages(block: _Block, n: int, threshold: float):
 
 _FIELDS = ("item_id", "score", "n_seeds", "word_start", "word_end")
 _PASSAGES = "array<struct<item_id:long,score:double,n_seeds:long,word_start:long,word_end:long>>"
+#: Hits that are never too many.
+FEW = 1000
 #: Words of a seed, windows, seeds needed, the least share of a perfect score, and the hits of a rare seed, as a share of all n-grams.
 N_WORDS, N_WINDOW, MIN_SEEDS, THRESHOLD, FREQUENT = 3, 4, 2, 0.5, 1e-4
 
