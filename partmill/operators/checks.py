@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,16 @@ def differing(a: DataFrame, b: DataFrame, key: str, left: Column, right: Column)
     return a.join(b, key).where(~left.eqNullSafe(right))
 
 
+def profile(rows: DataFrame, name: str, keys: list[Column], groups: int | None = None) -> DataFrame:
+    """(profile, groups_of, n, as_expected): how many rows each combination of ``keys`` has; a null key is told as ``-``.  ``groups``: how
+    many combinations there shall be; ``as_expected`` is null where nothing is expected."""
+    shown = F.concat_ws("|", *[F.coalesce(k.cast("string"), F.lit("-")) for k in keys])
+    counted = rows.groupBy(shown.alias("groups_of")).agg(F.count("*").alias("n"))
+    # The combinations are few: one row a combination, counted over all of them.
+    expected = (F.count("*").over(Window.partitionBy(F.lit(name))) == groups) if groups is not None else F.lit(None).cast("boolean")
+    return counted.select(F.lit(name).alias("profile"), "groups_of", "n", expected.alias("as_expected"))
+
+
 def orphans(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Rows whose key no row of ``known`` has; a null key is an orphan."""
     return rows.join(known.select(key), key, "left_anti")

@@ -51,7 +51,13 @@ def dq_merge_depth(spark, sf):
 
 
 def dq_profiles(spark, sf):
-    return t(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+    """Rows by state, in four profiles, two of which shall have so many groups."""
+    lines, orders, parts = (t(spark, sf, name) for name in ("lineitem", "orders", "part"))
+    found = [
+        checks.profile(lines, "line_state", [F.col("l_returnflag"), F.col("l_linestatus")]), checks.profile(orders, "order_status", [F.col("o_orderstatus")], groups=3),
+        checks.profile(parts, "part_type", [F.col("p_type")]), checks.profile(parts, "part_state", [F.col("p_type") == "PROMO", F.col("p_size") > 25, F.col("p_partkey") % 4 == 0], groups=9),
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
 
 
 def dq_ledger(spark, sf):
@@ -205,7 +211,9 @@ QUERIES = {
         AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_type = 'PROMO' AND p_brand > 'Brand#3')"""),
     "dq_document_exists": (dq_document_exists, "WITH b AS (SELECT p_partkey, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) AS sold, p_partkey % 2 = 0 AS doc FROM part) SELECT * FROM b WHERE sold <> doc"),
     "dq_merge_depth": (dq_merge_depth, "WITH p AS (SELECT p_partkey, p_partkey // 3 AS into_ FROM part WHERE p_partkey % 3 <> 0) SELECT a.p_partkey AS line, b.into_ AS beyond FROM p a JOIN p b ON a.into_ = b.p_partkey"),
-    "dq_profiles": (dq_profiles, "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY 1, 2"),
+    "dq_profiles": (dq_profiles, """WITH s AS (SELECT concat(p_type = 'PROMO', '|', p_size > 25, '|', p_partkey % 4 = 0) AS g, COUNT(*) AS n FROM part GROUP BY 1), o AS (SELECT o_orderstatus AS g, COUNT(*) AS n FROM orders GROUP BY 1)
+        SELECT 'line_state' AS profile, concat(l_returnflag, '|', l_linestatus) AS groups_of, COUNT(*) AS n, CAST(NULL AS BOOLEAN) AS as_expected FROM lineitem GROUP BY 2 UNION ALL SELECT 'order_status', g, n, (SELECT COUNT(*) FROM o) = 3 FROM o
+        UNION ALL SELECT 'part_type', p_type, COUNT(*), NULL FROM part GROUP BY 2 UNION ALL SELECT 'part_state', g, n, (SELECT COUNT(*) FROM s) = 9 FROM s"""),
     "dq_ledger": (dq_ledger, _ENTRIES_SQL + " SELECT COUNT(*) FILTER (recorded <> before + change) AS broken, COUNT(*) FILTER (recorded < 0) AS negative, COUNT(DISTINCT item) AS items FROM c"),
     "dq_entry_shape": (dq_entry_shape, "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag = 'A' AND l_quantity > 49"),
     "dq_repeated_identifier": (dq_repeated_identifier, "SELECT l_orderkey, l_linenumber, l_partkey, COUNT(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS times FROM lineitem QUALIFY times > 1"),

@@ -163,3 +163,11 @@ def test_volume_breaks_are_the_prices_at_each_threshold(spark):
     assert breaks(rules, most=2) == [(5, Decimal("90.00"), "b"), (10, Decimal("80.00"), "d")]
     assert breaks(rules, base_price=None) == [] and breaks([rule("n", "9", least=3, kind="net_price")], base_price=None) == [(3, Decimal("9.00"), "n")]
     assert breaks([rule("a", "5")]) == []
+
+
+def test_profiles(spark):
+    rows = spark.createDataFrame([("a", True), ("a", True), (None, False)], "state string, active boolean")
+    keys = [F.col("state"), F.col("active")]
+    assert sorted(map(tuple, checks.profile(rows, "p", keys, groups=2).collect())) == [("p", "-|false", 1, True), ("p", "a|true", 2, True)]
+    assert {r["as_expected"] for r in checks.profile(rows, "p", keys, groups=3).collect()} == {False} and {r["as_expected"] for r in checks.profile(rows, "p", keys).collect()} == {None}
+    assert checks.profile(rows.limit(0), "p", keys, groups=0).collect() == []
