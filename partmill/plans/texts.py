@@ -185,7 +185,6 @@ QUERIES = {
         y AS (SELECT *, TRY_CAST(y1 AS INTEGER) AS a, TRY_CAST(y2 AS INTEGER) AS b FROM w), z AS (SELECT *, {_YEAR("a")} AS f, {_YEAR("b")} AS l FROM y)
         SELECT p_partkey, concat_ws(',', CASE WHEN {_SIDE["front"]} AND NOT {_SIDE["rear"]} THEN 'front' END, CASE WHEN {_SIDE["left"]} AND NOT {_SIDE["right"]} THEN 'left' END, CASE WHEN {_SIDE["rear"]} AND NOT {_SIDE["front"]} THEN 'rear' END,
           CASE WHEN {_SIDE["right"]} AND NOT {_SIDE["left"]} THEN 'right' END) AS sides, CASE WHEN f <= l THEN f END AS first, CASE WHEN f <= l THEN l END AS last FROM z"""),
-    "spec_conflicts": (spec_conflicts, ""),
     "noted_references": (noted_references, _part(r"""concat(p_partkey + 90000, '01253') AS labelled, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(upper(note), '[A-Z0-9]+(?:[-./][A-Z0-9]+)*'), lambda x: regexp_replace(x, '[^A-Z0-9]', '', 'g')),
         lambda x: length(x) >= 6 AND length(regexp_replace(x, '[^0-9]', '', 'g')) >= 3))), ',') AS tokens, regexp_replace(regexp_replace(note, '[^ ]+@mail\.com', '[email]'), '\$ [0-9.]+|5 %', '[amount]', 'g') AS masked""", note="")),
     "canonical_numbers": (canonical_numbers, _part("""CASE WHEN p_size % 3 = 0 THEN 'SUZUKI' ELSE 'GM' END AS scope, CASE WHEN p_size % 3 = 0 AND p_partkey % 3 = 0 THEN concat('16100', p_partkey + 10000)
@@ -202,3 +201,8 @@ QUERIES = {
         p AS (SELECT a.word, b.word AS fix, CAST(damerau_levenshtein(a.word, b.word) AS INTEGER) AS edits FROM v a JOIN v b ON a.n < 3 AND b.n >= 3 AND abs(length(a.word) - length(b.word)) <= 2)
         SELECT * FROM p WHERE edits <= CASE WHEN length(word) >= 5 THEN 2 ELSE 1 END"""),
 }
+
+#: The described parts name no kits, measures or part nouns: sides and years can contradict each other.
+_OPPOSITE = " OR ".join(f"(list_contains(a.s, '{x}') AND list_contains(b.s, '{y}'))" for x, y in (("left", "right"), ("right", "left"), ("front", "rear"), ("rear", "front")))
+QUERIES["spec_conflicts"] = (spec_conflicts, f"""WITH n AS ({QUERIES["described_sides"][1]}), x AS (SELECT p_partkey, {_RAW["described"]} AS described, string_split(n.sides, ',') AS s, n.first AS f, n.last AS l FROM part JOIN n USING (p_partkey))
+    SELECT a.p_partkey, a.described, b.described AS next FROM x a JOIN x b ON b.p_partkey = a.p_partkey + 1 WHERE {_OPPOSITE} OR greatest(a.f, b.f) > least(a.l, b.l) AND a.f IS NOT NULL AND b.f IS NOT NULL""")
