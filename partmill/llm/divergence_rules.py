@@ -47,17 +47,37 @@ def _without(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, f"{pattern}+", "")
 
 
+def any_of(words: Column) -> Column:
+    """A regular expression of which group 1 is one of these words, between spaces."""
+    quoted = F.transform(words, lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    return F.concat(F.lit(f"{_SPACE}("), F.array_join(quoted, "|"), F.lit(f")(?={_SPACE})"))
+
+
+def count_each(text: Column, words: Column, pattern: Column) -> Column:
+    """How often each of ``words`` stands in ``text``, without case; ``pattern`` is their ``any_of``.
+
+    The pattern takes the common words out first, each between spaces of its own; what is short is then searched for each."""
+    common = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), pattern, 1), "  "), F.lit(" "))
+    size = lambda c: F.octet_length(c).cast("long")
+    alone = lambda w: F.concat(F.lit(" "), w, F.lit(" "))
+    return F.transform(F.array(common), lambda c: F.transform(words, lambda w: F.floor((size(c) - size(F.replace(c, alone(w), F.lit("")))) / size(alone(w)))))[0]
+
+
 def text_features(df: DataFrame) -> DataFrame:
-    """One row a document of ``df`` (doc_id, lang, text, ref_words): base counts, class counts and ``hits``, the count of each of
-    its language's common words."""
-    df = df.withColumns({"words": words_of(F.col("text")), "rest": _without(F.col("text"), CLASSES[0])})
-    df = df.withColumns({"n_words": F.size("words").cast("long"), "left": _without(F.col("rest"), "[A-Z\\x20\\x09-\\x0D]")})
+    """One row a document of ``df`` (doc_id, lang, text, ref_words, ref_pattern): base counts, class counts and ``hits``, the count
+    of each of its language's common words."""
+    length = lambda c: F.length(c).cast("long")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    df = df.withColumns({"lines": lines, "hashes": F.transform("words", lambda w: F.xxhash64(w))})
+    # What needs the text comes first, so that the steps below don't carry it along.
+    hits = count_each(F.col("text"), F.col("ref_words"), F.col("ref_pattern"))
+    df = df.select("doc_id", "lang", length("text").alias("n_chars"), words_of(F.col("text")).alias("words"), lines.alias("lines"), hits.alias("hits"))
+    df = df.withColumns({"n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"), "n_words": F.size("words").cast("long"), "dense": F.array_join("words", ""), "hashes": F.transform("words", lambda w: F.xxhash64(w))})
+    df = df.withColumn("rest", _without(F.col("dense"), CLASSES[0]))
+    df = df.withColumn("left", _without(F.col("rest"), CLASSES[1]))
     # Hash of the window that begins at each word.
-    at = lambda i, k: F.get(F.col("hashes"), i + k)
-    begins = F.when(F.col("n_words") >= WINDOW, F.sequence(F.lit(0), F.size("words") - WINDOW)).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn("windows", F.transform(begins, lambda i: F.xxhash64(*[at(i, k) for k in range(WINDOW)])))
+    many = F.greatest(F.size("hashes") - (WINDOW - 1), F.lit(0))
+    side_by_side = F.arrays_zip(*[F.slice("hashes", k + 1, many) for k in range(WINDOW)])
+    df = df.withColumn("windows", F.transform(side_by_side, lambda x: F.xxhash64(x)))
     again = F.size(F.array_distinct("windows")) < F.size("windows")
     tagged = F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     df = df.withColumn("sorted", F.when(again, F.sort_array(tagged)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
@@ -65,24 +85,20 @@ def text_features(df: DataFrame) -> DataFrame:
     df = df.withColumn("repeated", F.sort_array(F.transform(F.filter("sorted", lambda x, j: F.coalesce(same(x, j), F.lit(False))), lambda x: x["i"])))
     # Each repeated window covers the words up to the next one's beginning, five at most.
     gaps = F.zip_with("repeated", F.slice("repeated", F.lit(2), F.greatest(F.size("repeated") - 1, F.lit(0))), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
-    length = lambda c: F.length(c).cast("long")
-    rest, left = F.col("rest"), F.col("left")
-    upper = length(rest) - length(_without(rest, CLASSES[1]))
-    space = length(rest) - length(left) - upper
+    dense, rest, left = F.col("dense"), F.col("rest"), F.col("left")
+    space, upper = F.col("n_chars") - length(dense), length(rest) - length(left)
     marks = length(left) - length(_without(left, CLASSES[4]))
     digits = length(left) - length(_without(left, CLASSES[2]))
     ascii_left = length(left) - length(_without(left, "[\\x21-\\x7E]"))
-    classes = F.array(length("text") - length(rest), upper, digits, space, marks, ascii_left - marks - digits, length(left) - ascii_left)
-    df = df.withColumn("common", F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: F.array_contains(F.col("ref_words"), w)))
-    hits = F.transform("ref_words", lambda r: (F.size("common") - F.size(F.array_remove(F.col("common"), r))).cast("long"))
+    classes = F.array(length(dense) - length(rest), upper, digits, space, marks, ascii_left - marks - digits, length(left) - ascii_left)
     return df.select(
         "doc_id", "lang", "n_words",
-        length(F.array_join("words", "")).alias("word_chars"),
+        length(dense).alias("word_chars"),
         (length(left) - length(_without(left, "[#*$%&|<>]"))).alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        "n_dup_lines",
         F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g).alias("n_repeat_words"),
         classes.alias("classes"),
-        hits.alias("hits"),
+        "hits",
     )
 
 
@@ -93,7 +109,7 @@ def _by_language(rows: DataFrame) -> DataFrame:
 
 def learn_words(texts: DataFrame) -> DataFrame:
     """(lang, ref_words, ref_counts) of the languages of ``texts`` (lang, text): the common words and how often each occurs."""
-    words = texts.select("lang", F.explode(F.transform(words_of(F.col("text")), lambda w: F.lower(w))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    words = texts.select("lang", F.explode(words_of(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     words = _by_language(words).groupBy("to", "word").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("to").orderBy(F.desc("n"), "word")
     top = words.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= COMMON)
@@ -114,10 +130,12 @@ def learn_shares(features: DataFrame, words: DataFrame) -> DataFrame:
 
 def js_distance(counts: Column, shares: Column) -> Column:
     """Square root of the Jensen-Shannon divergence (base 2) of an array of counts from an array of shares; 0 without counts."""
-    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+    added = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-    terms = F.zip_with(counts, shares, lambda c, q: part(c / total, (c / total + q) / 2) + part(q, (c / total + q) / 2))
-    return F.when(total > 0, F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))).otherwise(0.0)
+    # The sum is made once, before the lambda that divides by it: inside, it would be made again for each element.
+    parts = F.transform(F.array(added(counts)), lambda total: F.transform(counts, lambda c: F.when(total > 0, c / total)))[0]
+    terms = F.zip_with(parts, shares, lambda p, q: part(p, (p + q) / 2) + part(q, (p + q) / 2))
+    return F.coalesce(F.sqrt(F.greatest(added(terms) / 2, F.lit(0.0))), F.lit(0.0))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -125,7 +143,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit(POOLED)).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     words = materialize(learn_words(texts), "quality-words")
     # The joins are broadcast where the table of languages is small; else skew is left to AQE.
-    known = texts.join(words.select("lang", "ref_words"), "lang", "left").withColumn("ref_words", F.coalesce("ref_words", F.array().cast("array<string>")))
+    refs = words.select("lang", "ref_words", any_of(F.col("ref_words")).alias("ref_pattern"))
+    known = texts.join(refs, "lang", "left").withColumns({"ref_words": F.coalesce("ref_words", F.array().cast("array<string>")), "ref_pattern": F.coalesce("ref_pattern", F.lit("()"))})
     features = materialize(text_features(known), "quality-features")
     df = features.join(materialize(learn_shares(features, words), "quality-shares"), "lang")
     others = F.col("n_words") - F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x)

@@ -474,6 +474,26 @@ def test_divergence(spark):
     assert np.allclose(got, [0, 1, 0, want])
 
 
+def test_a_distance_sums_its_counts_once(spark):
+    """A sum inside the lambda over the counts would be made again for each of them."""
+    text = spark.createDataFrame([], "c array<double>, q array<double>").select(divergence_rules.js_distance(F.col("c"), F.col("q")).alias("d"))._jdf.queryExecution().analyzed().toString()
+    assert text.count("aggregate(c#") == 1, text
+
+
+def test_common_words_are_counted_as_they_stand(spark):
+    """Words that mean something in a regular expression, begin alike, or stand beside any white space."""
+    words = ["a", "a.", "|", "\\E", "(", "aa", "\\q\\e", "é", "i̇", "$1", "ς"]
+    pieces = [*words, "A", "É", "İ", "\\Q\\E", "a|", "aaa", "b", "Σ", "ΑΣ"]
+    rng = np.random.default_rng(5)
+    gaps = [" ", "\n", "\t ", "\x0b", "\r\n", "\x0c"]
+    texts = ["".join(str(rng.choice(pieces)) + str(rng.choice(gaps)) for _ in range(int(rng.integers(0, 60)))) for _ in range(200)] + ["", "a", " a a ", "a\xa0a"]
+    df = spark.createDataFrame([(k, t, words) for k, t in enumerate(texts)], "k long, text string, words array<string>")
+    got = {r["k"]: r["n"] for r in df.select("k", divergence_rules.count_each(F.col("text"), F.col("words"), divergence_rules.any_of(F.col("words"))).alias("n")).collect()}
+    for k, t in enumerate(texts):
+        own = [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t)]
+        assert got[k] == [own.count(w) for w in words], repr(t)
+
+
 # ---- ids beside a null ---------------------------------------------------------------------------------------------
 
 
