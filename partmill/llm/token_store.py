@@ -56,6 +56,9 @@ REMEMBERED, TOGETHER = 150_000, 1 << 18
 _KIND = np.zeros(256, dtype=np.uint8)
 for _a, _b, _k in ((33, 38, 3), (40, 47, 3), (48, 57, 2), (58, 64, 3), (65, 90, 1), (91, 96, 3), (97, 122, 1), (123, 126, 3)):
     _KIND[_a : _b + 1] = _k
+#: Of a byte: whether it is no white space.
+_SOLID = np.ones(256, dtype=bool)
+_SOLID[[*range(9, 14), 32]] = False
 _MARK = regex.compile(r"\p{M}")
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
 #: How a tokenizer must split for its words to be encoded one by one.
@@ -91,8 +94,13 @@ class WordEncoder:
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.remembered, self.by_word = remembered, splits_words(path)
         # For a word of lower-case letters, normalising and splitting change nothing.
-        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.plain.model._resize_cache(0)
+        # Whether an id ends a word.
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.closes[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix) and t not in self.added]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -109,20 +117,37 @@ class WordEncoder:
         self.begin = np.concatenate([[0], np.cumsum(size)])
         self.number = {words[k]: i for i, k in enumerate(keep)}
 
-    def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
-        plain = [bool(_PLAIN.fullmatch(t)) for t in texts]
-        order = sorted(range(len(words)), key=plain.__getitem__)
-        words, texts, split = [words[k] for k in order], [texts[k] for k in order], len(plain) - sum(plain)
-        found = []
-        for tokenizer, part in ((self.tokenizer, texts[:split]), (self.plain, texts[split:])):
-            found += [e.ids for lo in range(0, len(part), 4096) for e in tokenizer.encode_batch_fast(part[lo : lo + 4096], add_special_tokens=False)]
+    @staticmethod
+    def _each(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
+        return np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum())), sizes
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of lower-case letters as those of one text, parted where an id ends a word; each for itself if that parts
+        them otherwise."""
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.closes[ids])
+        if len(ends) != len(words) or ends[-1] != len(ids) - 1:
+            return self._each(self.plain, words)
+        return ids, np.diff(ends, prepend=-1)
+
+    def _learn(self, words: list[bytes]) -> np.ndarray:
+        """The numbers that ``words`` get."""
+        texts = [w.decode() for w in words]
+        plain = np.array([bool(_PLAIN.fullmatch(t)) for t in texts])
+        order = np.argsort(plain, kind="stable")
+        words, texts, split = [words[k] for k in order], [texts[k] for k in order], len(plain) - int(plain.sum())
+        numbers = np.empty(len(words), np.int64)
+        numbers[order] = np.arange(len(self.number), len(self.number) + len(words))
+        found = [self._each(self.tokenizer, texts[lo : min(lo + 4096, split)]) for lo in range(0, split, 4096)]
+        found += [self._together(texts[lo : lo + 4096]) for lo in range(split, len(texts), 4096)]
+        flat, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
         self.ids = np.concatenate([self.ids, flat])
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
         self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
+        return numbers
 
     def _encode_some_whole(self, texts: Sequence[str | None], whole: list[int]) -> tuple[np.ndarray, np.ndarray]:
         found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)]
@@ -137,31 +162,40 @@ class WordEncoder:
         whole = [k for k, t in enumerate(texts) if t and (not self.by_word or any(x in t for x in self.added))]
         if whole:
             return self._encode_some_whole(texts, whole)
-        words: list[bytes] = []
-        per_text = np.zeros(len(texts), dtype=np.int64)
-        for k, text in enumerate(texts):
-            if text:
-                raw = text.encode()
-                a = np.frombuffer(raw, dtype=np.uint8)
-                if a.max() < 0xCC or not _MARK.search(text):  # below U+0300 there are none
-                    a = np.frombuffer(raw.lower(), dtype=np.uint8)
-                kind = _KIND[a]
-                left, right = kind[:-1], kind[1:]
-                at = np.flatnonzero((left != 0) & (right != 0) & ((left != right) | (left == 2))) + 1
-                own = (np.insert(a, at, 32) if len(at) else a).tobytes().split()
-                per_text[k] = len(own)
-                words += own
+        words, per_text = self._words(texts)
+        distinct, which = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
         if len(self.number) > self.remembered:
             self._shrink()
-        missing = [w for w in set(words) if w not in self.number]
-        if missing:
-            self._learn(missing)
-        which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        np.add.at(self.uses, which, 1)
-        size = np.diff(self.begin)[which]
-        at = np.repeat(self.begin[which] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(per_text)])]
-        return self.ids[at], np.diff(ends)
+        # Each distinct word is looked up once; all else is done for whole arrays.
+        known = np.array([self.number.get(w, -1) for w in distinct], np.int64)
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            known[new] = self._learn([distinct[k] for k in new])
+        self.uses[known] += np.bincount(which, minlength=len(distinct))
+        begin = self.begin[known]
+        size = (self.begin[known + 1] - begin)[which]
+        ends = np.cumsum(size)
+        at = np.repeat(begin[which] - (ends - size), size) + np.arange(int(size.sum()))
+        return self.ids[at], np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])])
+
+    @staticmethod
+    def _words(texts: Sequence[str | None]) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The words of all texts, end to end, and how many each has."""
+        raw = []
+        for text in texts:
+            own = text.encode() if text else b""
+            # Below U+0300 there are no marks.
+            marked = text and not text.isascii() and np.frombuffer(own, dtype=np.uint8).max() >= 0xCC and _MARK.search(text)
+            raw.append(own if marked else own.lower())
+        a = np.frombuffer(b"\n".join([*raw, b""]), dtype=np.uint8)
+        kind, solid = _KIND[a], _SOLID[a]
+        left, right = kind[:-1], kind[1:]
+        first = solid.copy()
+        first[1:] &= ~solid[:-1] | ((left != 0) & (right != 0) & ((left != right) | (left == 2)))
+        data, offsets = a[solid], np.flatnonzero(first[solid])
+        words = pa.Array.from_buffers(pa.binary(), len(offsets), [None, pa.py_buffer(np.append(offsets, len(data)).astype(np.int32)), pa.py_buffer(data)])
+        bounds = np.concatenate([[0], np.cumsum([len(x) + 1 for x in raw])])
+        return words.dictionary_encode(), np.diff(np.searchsorted(np.flatnonzero(first), bounds))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -310,6 +310,28 @@ def test_ids_equal_the_library_on_any_text():
             assert [*got, 1] == want, t
 
 
+def test_a_word_is_looked_up_once_a_piece():
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+        def get(self, key, default=None):
+            self.asked += 1
+            return super().get(key, default)
+
+    mine = token_store.WordEncoder(queries.tokenizer_path())
+    mine.number = Counted()
+    part = ["The cat's hat " * 500, None, "", "the hat! é e\u0301", " \n"]
+    ids, counts = mine.encode(part)
+    for got, want in zip(np.split(ids, np.cumsum(counts)[:-1]), plain_tokens(part), strict=True):
+        assert [*got, 1] == want
+    assert mine.number.asked <= 8 and mine.uses.sum() == 1500 + 5
+    assert [len(x) for x in mine.encode([])] == [0, 0] and [len(x) for x in mine.encode([None, " "])] == [0, 2]
+
+
 @pytest.mark.parametrize("kind", ["bit", "byte"])
 def test_shards_round_trip(spark, kind):
     texts = [(3, "It's a.b, c!! 12x"), (1, None), (2, ""), (None, "İ é É. Σας"), (5, LONG), (5, "same id"), (4, "<|endoftext|> a"), (6, "a\x0bb\x1cc\x85d\xa0e")]
