@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from partmill.functions.text import shape, wide_fold
+from partmill.functions.text import let, shape, wide_fold
 
 #: Sizes, alphabetic tokens, separators, and marks of withdrawn codes.
 SIZE = r"^(STD|0\.[0-9]{2}|[0-9]\.[0-9]{2}|0[0-9]{2}|0?[1-9]0|100|075|125|150)$"
@@ -46,12 +46,12 @@ def tokens(rest: Column, table: Suffixes) -> Column:
         compound = (new["sep"] == "/") & alpha & ~new["tok"].rlike(SIZE) & F.forall(F.split(last["tok"], "/"), lambda p: p.rlike(ALPHA))
         two_words = F.array_contains(pairs, F.concat(last["tok"], F.lit(" "), new["tok"])) & alpha & last["tok"].rlike(ALPHA)
         joined = F.when(compound, F.concat(last["tok"], F.lit("/"), new["tok"])).when(two_words, F.concat(last["tok"], F.lit(" "), new["tok"]))
-        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["sep"].alias("sep"), joined.alias("tok"))))
-        return F.when((F.size(done) > 0) & joined.isNotNull(), grown).otherwise(F.concat(done, F.array(new)))
+        grown = lambda tok: F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["sep"].alias("sep"), tok.alias("tok"))))
+        return let(joined, lambda tok: F.when((F.size(done) > 0) & tok.isNotNull(), grown(tok)).otherwise(F.concat(done, F.array(new))))
 
     # An element_at of the empty start must not be looked up.
-    first = F.slice(found, 1, 1)
-    return F.when(F.size(found) > 0, F.aggregate(F.slice(found, 2, F.greatest(F.size(found), F.lit(1))), first, add)).otherwise(first)
+    folded = lambda f: F.when(F.size(f) > 0, F.aggregate(F.slice(f, 2, F.greatest(F.size(f), F.lit(1))), F.slice(f, 1, 1), add)).otherwise(F.slice(f, 1, 1))
+    return let(found, folded)
 
 
 def classify(sep: Column, tok: Column, table: Suffixes, head: Column | None = None) -> Column:
@@ -84,13 +84,13 @@ def chain_of(rest: Column, table: Suffixes, base: Column | None = None, head: Co
     last = F.element_at(F.split(base, "[-.]"), -1) if base is not None else None
 
     def each(x: Column) -> Column:
+        whole = lambda found, alt: F.struct(x["sep"].alias("sep"), x["tok"].alias("tok"), found["cls"].alias("cls"), found["kind"].alias("kind"), alt.alias("alt_code"))
         found = classify(x["sep"], x["tok"], table, head)
-        alt = F.lit(None).cast("string")
-        if base is not None:
-            tail = F.contains(x["sep"], F.lit("/")) & x["tok"].rlike("^[0-9A-Z]{1,6}$") & x["tok"].rlike("[0-9]") & (F.length(x["tok"]) <= F.length(last))
-            alt = F.when(tail, F.concat(F.substr(base, F.lit(1), F.length(base) - F.length(x["tok"])), x["tok"]))
-            found = F.when(alt.isNotNull(), _entry("VARIANT", "alt_oem_tail")).otherwise(found)
-        return F.struct(x["sep"].alias("sep"), x["tok"].alias("tok"), found["cls"].alias("cls"), found["kind"].alias("kind"), alt.alias("alt_code"))
+        if base is None:
+            return let(found, lambda f: whole(f, F.lit(None).cast("string")))
+        tail = F.contains(x["sep"], F.lit("/")) & x["tok"].rlike("^[0-9A-Z]{1,6}$") & x["tok"].rlike("[0-9]") & (F.length(x["tok"]) <= F.length(last))
+        alt = F.when(tail, F.concat(F.substr(base, F.lit(1), F.length(base) - F.length(x["tok"])), x["tok"]))
+        return let(alt, lambda a: let(F.when(a.isNotNull(), _entry("VARIANT", "alt_oem_tail")).otherwise(found), lambda f: whole(f, a)))
 
     return F.transform(tokens(rest, table), each)
 
@@ -105,15 +105,19 @@ def chain_class(chain: Column, lifecycle: Column) -> Column:
 def split_code(code: Column) -> Column:
     """``struct<base, rest, lifecycle>``: up to the last token with a digit, or the first token; what follows; the mark of withdrawal."""
     whole = F.trim(F.regexp_replace(F.regexp_replace(wide_fold(code), "[–—]", "-"), r"\s+", " "))
-    marker = F.regexp_extract(whole, f"({LIFECYCLE})", 1)
-    body = F.when(marker != "", F.regexp_replace(F.substr(whole, F.lit(1), F.length(whole) - F.length(marker)), "[-_ /]+$", "")).otherwise(whole)
-    numbered = F.regexp_extract(body, "^(.*[0-9][^-/_+(). ]*)", 1)
-    base = F.when(numbered != "", numbered).otherwise(F.regexp_extract(body, rf"^({SEPARATOR}*{_TOKEN})", 1))
-    return F.struct(base.alias("base"), F.substr(body, F.length(base) + 1).alias("rest"), F.regexp_replace(marker, "^[-_ /]+|[-_ /]+$", "").alias("lifecycle"))
+
+    def cut(w: Column) -> Column:
+        body = F.when(w["marker"] != "", F.regexp_replace(F.substr(w["whole"], F.lit(1), F.length(w["whole"]) - F.length(w["marker"])), "[-_ /]+$", "")).otherwise(w["whole"])
+        return let(body, lambda b: let(based(b), lambda base: F.struct(base.alias("base"), F.substr(b, F.length(base) + 1).alias("rest"), F.regexp_replace(w["marker"], "^[-_ /]+|[-_ /]+$", "").alias("lifecycle"))))
+
+    def based(body: Column) -> Column:
+        numbered = F.regexp_extract(body, "^(.*[0-9][^-/_+(). ]*)", 1)
+        return F.when(numbered != "", numbered).otherwise(F.regexp_extract(body, rf"^({SEPARATOR}*{_TOKEN})", 1))
+
+    return let(let(whole, lambda w: F.struct(w.alias("whole"), F.regexp_extract(w, f"({LIFECYCLE})", 1).alias("marker"))), cut)
 
 
 def stripped(code: Column, table: Suffixes, head: Column | None = None) -> Column:
     """``struct<base, chain, lifecycle, chain_class>`` of a code."""
-    cut = split_code(code)
-    chain = chain_of(cut["rest"], table, head=head)
-    return F.struct(cut["base"].alias("base"), chain.alias("chain"), cut["lifecycle"].alias("lifecycle"), chain_class(chain, cut["lifecycle"]).alias("chain_class"))
+    whole = lambda cut, chain: F.struct(cut["base"].alias("base"), chain.alias("chain"), cut["lifecycle"].alias("lifecycle"), chain_class(chain, cut["lifecycle"]).alias("chain_class"))
+    return let(split_code(code), lambda cut: let(chain_of(cut["rest"], table, head=head), lambda chain: whole(cut, chain)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,6 +48,12 @@ def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
 SINGLE, SEVERAL = _decompositions()
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with ``value`` computed once however often ``then`` names it: a Column named twice is written out twice, and what
+    names that is written out four times."""
+    return F.transform(F.array(value), then)[0]
+
+
 def fold(text: Column) -> Column:
     """Search folding: the accents of ``ACCENTED`` off, composed or not, upper case."""
     return F.upper(F.translate(F.regexp_replace(text, _COMPOSED, "$1$2"), ACCENTED, PLAIN))
@@ -56,12 +63,16 @@ def wide_fold(text: Column) -> Column:
     """The wider folding: upper case, then compatibility forms decomposed (½, ², º, full-width letters) and all marks off; single spaces.
 
     Letters that only come from decomposing stay as they come: ``Nº`` is ``No``."""
-    upper = F.upper(text)
     several = F.create_map(*[F.lit(x) for pair in SEVERAL.items() for x in pair])
-    spelt = F.array_join(F.transform(F.split(upper, ""), lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
-    upper = F.when(upper.rlike("[" + "".join(SEVERAL) + "]"), spelt).otherwise(upper)
-    plain = F.regexp_replace(F.translate(upper, "".join(SINGLE), "".join(SINGLE.values())), r"\p{M}", "")
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+
+    def plain(upper: Column) -> Column:
+        spelt = F.array_join(F.transform(F.split(upper, ""), lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
+        single = F.when(upper.rlike("[" + "".join(SEVERAL) + "]"), spelt).otherwise(upper)
+        return F.regexp_replace(F.translate(single, "".join(SINGLE), "".join(SINGLE.values())), r"\p{M}", "")
+
+    # Nothing in ASCII decomposes, and most codes are in it.
+    folded = let(F.upper(text), lambda upper: F.when(F.octet_length(upper) == F.length(upper), upper).otherwise(plain(upper)))
+    return F.trim(F.regexp_replace(folded, r"\s+", " "))
 
 
 def compact(text: Column) -> Column:

@@ -8,6 +8,7 @@ from partmill.functions import suffixes
 from partmill.operators import entities, snapshots
 from partmill.sources import recovery
 from partmill.sources.storage import read_table as t
+from partmill.sources.storage import spread
 
 
 def canonical_lines(spark, sf):
@@ -70,7 +71,7 @@ _SUFFIXES = suffixes.Suffixes(
 
 def suffix_chains(spark, sf):
     """Codes with chains of suffixes: their base, the tokens read and what the chain is; the last column reads a tail as another code."""
-    p, k = t(spark, sf, "part"), F.col("p_partkey")
+    p, k = spread(t(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey"), F.col("p_partkey")
     tails = ("-MANDO", "-STD-TAIH", "_NEW_ERA", "-.25", "-KYB/NAK ANULADO", "-ZZZ", "")
     code = F.concat((k + 1000).cast("string"), F.lit("-A"), F.col("p_size").cast("string"), F.element_at(F.array(*map(F.lit, tails)), (k % 7 + 1).cast("int")))
     found = p.select(k, suffixes.stripped(code, _SUFFIXES).alias("s"), suffixes.chain_of(F.concat(F.lit("/"), (k % 90 + 10).cast("string"), F.lit("-G")), _SUFFIXES, base=F.concat((k + 1000).cast("string"), F.lit("-16160"))).alias("c"))

@@ -159,6 +159,12 @@ def test_suffix_chains(spark):
     assert [(r["base"], r["chain_class"]) for r in got] == [("54650-D4000", "tag"), *[("58411-1R000", "lifecycle")] * 4, ("ABC", "tag"), ("12-3.4", "variant"), ("", "bare"), ("5-6", "unknown"), ("1", "lifecycle")]
 
 
+def test_stripped_folds_a_code_once(spark):
+    """A Column named twice is written out twice: a code was folded 517 times in one row."""
+    found = spark.createDataFrame([("1-A2_NEW_ERA",)], "code string").select(suffixes.stripped(F.col("code"), TABLE).alias("s")).select("s.base", "s.chain", "s.lifecycle", "s.chain_class")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+
+
 def flatten(value, path="", out=None):
     out = {} if out is None else out
     if isinstance(value, dict) and value:
