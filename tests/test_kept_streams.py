@@ -6,6 +6,7 @@ import datetime
 import os
 import random
 
+import pandas as pd
 import pytest
 
 from partmill.sources import feed
@@ -54,6 +55,70 @@ def test_holds_expire_without_new_input(spark, tmp_path):
     assert [r[1:] for r in moves.run() if r[1] in (6, 7)] == [(6, "release", 70, 0, 3, True, False), (7, "release", 71, 0, 1, True, True)]
 
 
+class Calls:
+    """A processor's handle and states, in memory; counts what is asked of them."""
+
+    def __init__(self):
+        self.values, self.timers, self.count = {}, set(), 0
+
+    def getValueState(self, *schema):
+        return self
+
+    getMapState = getValueState
+
+    def _called(self, result=None):
+        self.count += 1
+        return result
+
+    def exists(self):
+        return self._called("" in self.values)
+
+    def get(self):
+        return self._called(self.values[""])
+
+    def update(self, value):
+        self._called(self.values.update({"": value}))
+
+    def containsKey(self, key):
+        return self._called(key in self.values)
+
+    def getValue(self, key):
+        return self._called(self.values.get(key))
+
+    def updateValue(self, key, value):
+        self._called(self.values.update({key: value}))
+
+    def removeKey(self, key):
+        self._called(self.values.pop(key))
+
+    def iterator(self):
+        return iter([(k, v) for k, v in self.values.items() if k])
+
+    def listTimers(self):
+        return iter(self._called(self.timers))
+
+    def registerTimer(self, at):
+        self._called(self.timers.add(at))
+
+    getExpiryTimeInMs = getCurrentProcessingTimeInMs = lambda self: 2_000_000
+
+
+def test_holds_ask_little_of_the_state():
+    """4,000 holds with ends of their own: one timer, and a call for each bucket, not for each hold."""
+    calls, item = Calls(), holds.ItemStock()
+    item.init(calls)
+    n = 4000
+    rows = {"item": 1, "id": range(n), "at": AT, "kind": "hold", "units": 1, "hold_id": [388 * k for k in range(n)], "expires_at": pd.to_datetime([1_000_000 + k if k % 2 else 3_000_000 for k in range(n)], unit="ms")}
+    assert list(next(item.handleInputRows((1,), iter([pd.DataFrame(rows)]), calls))["reserved"]) == list(range(1, n + 1))
+    assert calls.timers == {1_000_001}
+    expired = next(item.handleExpiredTimer((1,), calls, calls))
+    assert list(expired["hold_id"]) == [388 * k for k in range(1, n, 2)] and list(expired["reserved"]) == list(range(n - 1, n // 2 - 1, -1))
+    assert calls.timers == {1_000_001, 3_000_000} and calls.count < 1500
+    ended = next(item.handleInputRows((1,), iter([pd.DataFrame(rows | {"id": range(n, 2 * n), "kind": "release"})]), calls))
+    assert list(ended["applied"]) == [k % 2 == 0 for k in range(n)] and list(ended["seq"])[-1] == 2 * n + n // 2
+    assert set(calls.values) == {""}
+
+
 def test_a_ledger_keeps_the_greatest_pair(spark, tmp_path):
     folder, state, schema = str(tmp_path / "in"), f"file:{tmp_path}/state", "item long, at timestamp, id long, change long"
     for rows in ([(1, at(100), 50, 1)], [(1, at(90), 99, 1)], [(1, at(100), 60, 1), (1, at(100), 50, 1)]):
