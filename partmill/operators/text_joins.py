@@ -31,22 +31,34 @@ def expand_aliases(docs: DataFrame, key: str, text_col: str, aliases: DataFrame)
     return docs.join(names, key, "left").withColumn("added", F.coalesce("_added", F.array().cast("array<string>"))).drop("_added")
 
 
-def edits(a: Column, b: Column) -> Column:
+def edits(a: Column, b: Column, between: bool = False) -> Column:
     """Optimal string alignment distance up to 2 (a swap of neighbours is one edit); greater ones may come out greater than they are.
+    With ``between`` it is Damerau and Levenshtein's: letters can be swapped and one put between them (``ANRE``, ``ANENR``), two edits.
 
     Levenshtein's distance counts a swap as two: words at 2 of it are one apart if swapping makes them equal, words at 3 or 4 are two
     apart if undoing the first swap (or both) leaves as much.  The swap is where the common prefix ends."""
     plain = F.levenshtein(a, b)
 
+    def alike(x: Column, y: Column) -> Column:
+        """Length of the common prefix."""
+        return F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.least(F.length(x), F.length(y)), F.lit(1))), lambda k: F.substr(x, F.lit(1), k) == F.substr(y, F.lit(1), k)))
+
+    def parted(x: Column, y: Column) -> Column:
+        """Whether y is x with two neighbours swapped and a letter put between them: what differs begins and ends with these."""
+        n = alike(x, y)
+        crosswise = (F.substr(x, n + 1, F.lit(1)) == F.substr(y, n + 3, F.lit(1))) & (F.substr(x, n + 2, F.lit(1)) == F.substr(y, n + 1, F.lit(1)))
+        return (F.length(y) == F.length(x) + 1) & (F.length(x) >= n + 2) & crosswise & (F.substr(x, n + 3) == F.substr(y, n + 4))
+
     def swapped(x: Column, y: Column) -> Column:
         """x with its first difference from y swapped back, where two neighbours stand crosswise there; null else."""
-        n = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.least(F.length(x), F.length(y)), F.lit(1))), lambda k: F.substr(x, F.lit(1), k) == F.substr(y, F.lit(1), k)))
+        n = alike(x, y)
         crosswise = (F.substr(x, n + 1, F.lit(1)) == F.substr(y, n + 2, F.lit(1))) & (F.substr(x, n + 2, F.lit(1)) == F.substr(y, n + 1, F.lit(1))) & (F.length(x) >= n + 2) & (F.length(y) >= n + 2)
         return F.when(crosswise, F.concat(F.substr(x, F.lit(1), n), F.substr(y, n + 1, F.lit(2)), F.substr(x, n + 3)))
 
     front, back = swapped(a, b), F.reverse(swapped(F.reverse(a), F.reverse(b)))
     both = swapped(back, b)
-    return F.least(plain, F.levenshtein(front, b) + 1, F.levenshtein(back, b) + 1, F.levenshtein(both, b) + 2).cast("int")
+    apart = F.when(parted(a, b) | parted(b, a), 2) if between else F.lit(None).cast("int")
+    return F.least(plain, F.levenshtein(front, b) + 1, F.levenshtein(back, b) + 1, F.levenshtein(both, b) + 2, apart).cast("int")
 
 
 def _pieces(word: Column, length: Column, most: int) -> Column:
@@ -66,9 +78,9 @@ def _without(word: Column, most: int) -> Column:
     return kept
 
 
-def typo_fixes(vocabulary: DataFrame, known: int, most: int = 2, short: int = 5, long: int = 16) -> DataFrame:
+def typo_fixes(vocabulary: DataFrame, known: int, most: int = 2, short: int = 5, long: int = 16, between: bool = False) -> DataFrame:
     """(word, fix, edits): words of ``vocabulary`` (word, n) used less than ``known`` times that are at most ``most`` (1 or 2) edits from
-    one used as often (one edit for words shorter than ``short``).
+    one used as often (one edit for words shorter than ``short``); ``between`` as in ``edits``.
 
     Two words within k edits share what is left after k letters are dropped from each: words of up to ``long`` letters meet on that.
     Of longer ones, which would have too many such keys, a piece is whole in the other: a swap touches two letters, so of
@@ -81,7 +93,7 @@ def typo_fixes(vocabulary: DataFrame, known: int, most: int = 2, short: int = 5,
     by_piece = cut.join(_shifted(common.where(F.length("fix") > long - most), most, 2 * most), ["cut", "k", "piece"]).select("word", "fix")
     pairs = by_rest.unionByName(by_piece).distinct()
     # A swap is two edits for levenshtein, so nothing within reach is lost here.
-    near = pairs.where(F.levenshtein("word", "fix") <= 2 * most).withColumn("edits", edits(F.col("word"), F.col("fix")))
+    near = pairs.where(F.levenshtein("word", "fix") <= 2 * most).withColumn("edits", edits(F.col("word"), F.col("fix"), between))
     return near.where(F.col("edits") <= F.when(F.length("word") >= short, most).otherwise(1))
 
 

@@ -144,7 +144,7 @@ def snippets(spark, sf):
 def typo_words(spark, sf):
     """Rare words of the test items that are one swap, change, drop or addition, or two, from a word in common use."""
     words = t(spark, sf, "benchmark").select(F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit("([A-Z]{2,})"), 1))).alias("word"))
-    return typo_fixes(words.groupBy("word").agg(F.count("*").alias("n")), known=3)
+    return typo_fixes(words.groupBy("word").agg(F.count("*").alias("n")), known=3, between=True)
 
 
 def _part(columns: str, tail: str = "", **raw: str) -> str:

@@ -142,3 +142,14 @@ def test_wide_fold_decomposes_everything(spark):
     texts = ["Nº 5", "1ª", "½ x ²", "ＦＵＬＬ　ｗｉｄｔｈ１", "ﬁltro", "Ⅳ №", "é É ñ ß", "áb", "…"]
     got = [r["x"] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string").select("k", wide_fold(F.col("t")).alias("x")).orderBy("k").collect()]
     assert got == list(map(plain, texts))
+
+
+def test_edits_with_a_letter_between_swapped_ones(spark):
+    from partmill.operators import text_joins
+
+    pairs = [("ANENR", "ANRE"), ("EINCH", "ENLICH"), ("CA", "ABC"), ("XCAY", "XABCY"), ("ABCD", "ABDC"), ("ABCD", "ACBDE"), ("AB", "BXYA"), ("AA", "AXA"), ("", "AB")]
+    got = lambda between: each(spark, lambda a, b: text_joins.edits(a, b, between), pairs, "a string, b string")
+    assert got(True) == [2, 2, 2, 2, 1, 2, 4, 1, 2]
+    assert got(False)[:4] == [3, 3, 3, 3]
+    rows = spark.createDataFrame([("ANENR", 1), ("ANRE", 9), ("HUNDERTMEILENSTEINCH", 1), ("HUNDERTMEILENSTENLICH", 9)], "word string, n long")
+    assert {(r["word"], r["edits"]) for r in text_joins.typo_fixes(rows, 5, between=True).collect()} == {("ANENR", 2), ("HUNDERTMEILENSTEINCH", 2)}
