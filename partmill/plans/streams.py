@@ -25,8 +25,8 @@ def stream_first_events(spark, sf):
 
 def stream_rejects(spark, sf):
     """Events taken in by an id that two share: the first of each, and the other as rejected."""
-    halved = _stream(spark, sf).withColumn("event_id", F.floor(F.col("event_id") / 2).cast("long"))
-    taken, rejected = events.take_events(halved, shared_path(spark, "stream-rejects"))
+    halved = _stream(spark, sf).withColumn("number", F.col("event_id")).withColumn("event_id", F.expr("event_id div 2"))
+    taken, rejected = events.take_events(halved, shared_path(spark, "stream-rejects"), own="number")
     count = lambda df, what: df.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids")).withColumn("outcome", F.lit(what))
     return count(taken, "taken").unionByName(count(rejected, "rejected"))
 

@@ -42,17 +42,21 @@ def run_once(stream: DataFrame, out: str | None = None, mode: str = "append") ->
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def take_events(events: DataFrame, state: str) -> tuple[DataFrame, DataFrame]:
+def take_events(events: DataFrame, state: str, own: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(taken, rejected) of a stream: each event id once, the first; a repeat with other contents is rejected, one with the same is nothing.
 
+    ``own``: a column that tells events of one id apart, the smaller one first of those of one moment; it belongs to their contents.
+    Without it events of one moment come in the order of a digest.
+
     Ids are kept in buckets with a digest of their contents, so a repeat is told however late it comes; a batch reads only the
     buckets of its ids."""
     spark, schema = events.sparkSession, StructType([*events.schema.fields, StructField("digest", StringType())])
+    own_columns = [own] if own else []
     taken, rejected = SeenRows(spark, f"{state}/taken", schema, ["event_id"]), SeenRows(spark, f"{state}/rejected", schema, ["event_id"])
 
     def take(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("digest", _content()).select(schema.fieldNames())
-        first = rows.groupBy("event_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "event_id"]), F.struct("ts", "digest")).alias("_r")).select("event_id", "_r.*")
+        rows = batch.withColumn("digest", _content(*own_columns)).select(schema.fieldNames())
+        first = rows.groupBy("event_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "event_id"]), F.struct("ts", *own_columns, "digest")).alias("_r")).select("event_id", "_r.*")
         had = taken.before(number, rows, ["digest"]).select(F.col("event_id").alias("_id"), F.col("digest").alias("_had"))
         known = first.join(had, F.col("event_id").eqNullSafe(F.col("_id")), "left")
         accepted = known.select(F.col("event_id").alias("_id"), F.coalesce("_had", "digest").alias("_had"), F.col("_had").isNotNull().alias("_known"))
@@ -64,8 +68,8 @@ def take_events(events: DataFrame, state: str) -> tuple[DataFrame, DataFrame]:
     return taken.read().drop("digest"), rejected.read().drop("digest")
 
 
-def _content() -> Column:
-    return F.sha2(F.to_json(F.struct("ts", "user_id", "event_type", "value", "props")), 256)
+def _content(*more: str) -> Column:
+    return F.sha2(F.to_json(F.struct("ts", "user_id", "event_type", "value", "props", *more)), 256)
 
 
 def conflicting_repeats(events: DataFrame) -> DataFrame:
