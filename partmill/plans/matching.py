@@ -27,12 +27,9 @@ def self_join_children(spark, sf):
 
 def tiered_match(spark, sf):
     """A line's name is looked up by (name, brand), else by name and size, else by name alone; several lines in the first tier that has any are a case."""
-    items = t(spark, sf, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("item"), "p_name", "p_brand", "p_size")
-    lines = t(spark, sf, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("line"), "p_name", F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
-    tier = F.when(F.col("p_brand") == F.col("brand"), 1).when(F.col("p_size") == F.col("size"), 2).otherwise(3)
-    found = items.join(lines, "p_name").withColumn("tier", tier.cast("long"))
-    best = found.withColumn("best", F.min("tier").over(Window.partitionBy("item"))).where("tier = best")
-    return best.groupBy("item", "tier").agg(F.count_distinct("line").alias("lines"), F.min("line").alias("line")).withColumn("action", F.when(F.col("lines") == 1, "match").otherwise("case"))
+    items = t(spark, sf, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("item"), "p_name", "p_brand", "p_size").distinct()
+    lines = t(spark, sf, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("line"), "p_name", "p_brand", "p_size")
+    return matching.first_tier(items, lines, "item", "line", (("p_name", "p_brand"), ("p_name", "p_size"), ("p_name",))).withColumn("action", F.when(F.col("lines") == 1, "match").otherwise("case"))
 
 
 def rare_word_hints(spark, sf):
