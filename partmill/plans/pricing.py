@@ -9,6 +9,7 @@ from partmill.operators.pricing import price_lines
 from partmill.operators.pricing import volume_breaks as engine_breaks
 from partmill.operators.relational import top_row
 from partmill.sources.storage import read_table as t
+from partmill.sources.storage import spread
 
 #: Rules: id, target (all, brand, item), value, discount in percent or net price, least quantity, first and last day.
 RULES = (
@@ -149,7 +150,7 @@ def volume_breaks(spark, sf):
     """The next quantities at which the engine's price of a part changes, for client 7, from 2 units on."""
     schema = "rule_id string, scope string, profile_id string, target string, target_value string, kind string, value string, currency string, min_quantity long, valid_from string, valid_until string, active boolean, created_at string"
     rules = spark.createDataFrame(list(ENGINE_RULES), schema).withColumns({"value": F.col("value").cast(_CENTS), "valid_from": F.col("valid_from").cast("date"), "valid_until": F.col("valid_until").cast("date"), "created_at": F.col("created_at").cast("timestamp_ntz")})
-    lines = t(spark, sf, "part").select(
+    lines = spread(t(spark, sf, "part"), "p_partkey").select(
         F.col("p_partkey").alias("line_id"), F.when(F.col("p_partkey") % 2 == 0, "7").otherwise("8").alias("profile_id"), F.col("p_partkey").cast("string").alias("item_id"), F.col("p_brand").alias("brand"), F.col("p_type").alias("discount_group"),
         F.lit(TODAY).cast("date").alias("day"), F.lit(2).cast("long").alias("quantity"), F.lit("USD").alias("currency"), F.when(F.col("p_partkey") % 13 != 0, F.col("p_retailprice").cast(_CENTS)).alias("base_price"), F.lit("USD").alias("base_currency"),
     )
