@@ -218,3 +218,9 @@ def test_priced_lines_stay_where_they_are(spark):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(line_id" not in plan and "SortMergeJoin" not in plan and "BuildLeft" not in plan
     assert {r["rule_id"]: r["n"] for r in pricing.price_lines(lines, rules).groupBy("rule_id").agg(F.count("*").alias("n")).collect()} == {None: 1, "x": 8, "y": 41}
+
+
+def test_pairs_in_group_are_made_on_every_core(spark):
+    from partmill.plans.matching import pairs_in_group
+
+    assert pairs_in_group(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
