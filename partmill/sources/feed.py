@@ -18,6 +18,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as pads
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +49,7 @@ class FolderFeed:
     """A feed that is a folder: ``feed.json`` names the present state, a Parquet table with ``id`` and ``changed_at``."""
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.data, self.groups, self.kept = path, None, [], {}
 
     def _state(self) -> dict:
         with blobs.open_random(f"{self.path}/feed.json") as f:
@@ -57,22 +58,57 @@ class FolderFeed:
     def fetch(self, after: int, since: str | None, limit: int) -> dict:
         state = self._state()
         store, path = blobs.open_store(f"{self.path}/{state['data']}")
-        table = pads.dataset(path, filesystem=store, format="parquet", schema=None)
         page = {"items": [], "next": None, "version": state["version"], "server_time": state["server_time"], "last": state["last"]}
-        if not table.schema.names or not limit:
+        if not limit:
             return page
-        wanted = pads.field("id") > after
+        if state["data"] != self.data:
+            self.data, self.groups, self.kept = state["data"], self._row_groups(pads.dataset(path, filesystem=store, format="parquet")), {}
+        found, rows = [], 0
+        # Row groups come by their least key: those that end before the page are passed over, and what a page does not reach is not read.
+        ahead = [g for g in self.groups if g[1] > after]
+        self.kept = {k: kept for k, kept in self.kept.items() if any(k[0] == g[2] for g in ahead)}
+        for least, _, number, fragment in ahead:
+            if rows > limit and least > max(t.column("id")[min(limit, t.num_rows - 1)].as_py() for t in found):
+                break
+            key = (number, since)
+            if key not in self.kept:
+                self.kept[key] = self._read(fragment, since)
+            keys, items = self.kept[key]
+            start = int(np.searchsorted(keys, after, side="right"))
+            part = items.slice(start, limit + 1)
+            if part.num_rows:
+                found.append(part)
+                rows += part.num_rows
+        if not found:
+            return page
+        items = found[0] if len(found) == 1 else pa.concat_tables(found).sort_by("id")
+        taken = items.slice(0, limit).to_pylist()
+        return page | {"items": [tuple(r.values()) for r in taken], "next": taken[-1]["id"] if rows > limit else None}
+
+    @staticmethod
+    def _row_groups(table: pads.Dataset) -> list[tuple]:
+        """(least key, greatest key, number, fragment) of every row group; one without statistics can hold any key."""
+        found = []
+        for fragment in table.get_fragments():
+            for group in fragment.split_by_row_group():
+                bounds = (group.row_groups[0].statistics or {}).get("id", {"min": -(1 << 63), "max": 1 << 63})
+                found.append((bounds["min"], bounds["max"], len(found), group))
+        return sorted(found, key=lambda g: g[:3])
+
+    @staticmethod
+    def _read(fragment: pads.Fragment, since: str | None) -> tuple[np.ndarray, pa.Table]:
+        """(keys, items) of a row group that changed at ``since`` or later, by key."""
+        wanted, schema = pads.field("id").is_valid(), fragment.physical_schema
         if since:
             moment = datetime.datetime.fromisoformat(since)
             moment = moment.astimezone(datetime.UTC) if moment.tzinfo else moment.replace(tzinfo=datetime.UTC)
-            wanted &= pads.field("changed_at") >= (moment if table.schema.field("changed_at").type.tz else moment.replace(tzinfo=None))
-        items = table.to_table(filter=wanted).sort_by("id")
+            wanted &= pads.field("changed_at") >= (moment if schema.field("changed_at").type.tz else moment.replace(tzinfo=None))
+        items = fragment.to_table(filter=wanted).sort_by("id")
         # Spark writes instants in UTC, in older files without saying so.
         for k, f in enumerate(items.schema):
             if pa.types.is_timestamp(f.type):
                 items = items.set_column(k, f.name, items.column(k).cast(pa.timestamp("us", f.type.tz), safe=False).cast(pa.timestamp("us", "UTC")))
-        rows = items.slice(0, limit).to_pylist()
-        return page | {"items": [tuple(r.values()) for r in rows], "next": rows[-1]["id"] if items.num_rows > limit else None}
+        return items.column("id").to_numpy(), items
 
 
 def write_feed(rows: DataFrame, folder: str, version: str, server_time: datetime.datetime) -> None:

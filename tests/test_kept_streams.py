@@ -219,3 +219,25 @@ def test_plan_of_the_next_pull():
     assert feed.plan(at(0), at(1), at(-3000), at(10)) == ("day", at(0) - day)  # 03:00 has passed since the last repair
     assert feed.plan(at(0), at(1), AT, at(10)) == ("changes", at(0))
     assert feed.plan(at(0), at(1), AT, AT + 7 * day) == ("full", None)
+
+
+def test_a_page_reads_only_the_row_groups_it_reaches(tmp_path, monkeypatch):
+    import json
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "data").mkdir()
+    for k in range(2):  # keys 1 to 100, ten to a row group
+        ids = list(range(50 * k + 1, 50 * k + 51))
+        pq.write_table(pa.table({"id": ids, "changed_at": pa.array([AT] * 50, pa.timestamp("us", "UTC"))}), tmp_path / "data" / f"{k}.parquet", row_group_size=10)
+    (tmp_path / "feed.json").write_text(json.dumps({"data": "data", "version": "1", "server_time": AT.isoformat(), "last": 100}))
+    read, whole = [], feed.FolderFeed._read
+    monkeypatch.setattr(feed.FolderFeed, "_read", staticmethod(lambda fragment, since: read.append(1) or whole(fragment, since)))
+    client, after, seen = feed.FolderFeed(f"file:{tmp_path}"), 0, []
+    while after is not None:
+        page = client.fetch(after, None, 7)
+        seen += [item[0] for item in page["items"]]
+        after = page["next"]
+    assert seen == list(range(1, 101)) and len(read) == 10
+    assert [i[0] for i in feed.FolderFeed(f"file:{tmp_path}").fetch(94, None, 7)["items"]] == [95, 96, 97, 98, 99, 100] and len(read) == 11
